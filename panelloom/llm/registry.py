@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP2_SQL, op2_benchmark_decontamination
+from .langid import op1_language_mixture
 from .simhash import op3_simhash_near_dedup
+from .token_file import op4_token_file
+from .transducer import op7_piece_transducer
 
 QUERIES = {
+    "op1_language_mixture": op1_language_mixture,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_token_file": op4_token_file,
+    "op7_piece_transducer": op7_piece_transducer,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": OP2_SQL,
+}

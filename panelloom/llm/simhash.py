@@ -233,25 +233,23 @@ def _signed(x: int) -> int:
 
 def linked_codes(reps: DataFrame, scratch: Scratch, radius: int = 2, bucket: int = 4096) -> DataFrame:
     """Edges (u, v), u > v, between representatives (fp, rep) of distinct codes; they connect what links connect."""
-    parts = radius + 1
+    parts, bucket = radius + 1, max(bucket, 64)
     masks = _split(0, parts)
     keyed = reps.select("fp", "rep", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"))
     done = None
-    for _ in range(8):
+    while True:  # ends: with r free bits no bucket has over 2^r codes
         keyed = keyed.withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
         hot = keyed.groupBy("mask", "part").agg(F.count("*").alias("n")).where(F.col("n") > bucket)
         hot = scratch.keep(hot.select("mask", "part"), "hot")
-        if hot.isEmpty():
-            done = keyed if done is None else done.unionByName(keyed)
-            break
-        cold = keyed.join(hot, ["mask", "part"], "left_anti")
+        last = hot.isEmpty()
+        cold = keyed if last else keyed.join(hot, ["mask", "part"], "left_anti")
         done = cold if done is None else done.unionByName(cold)
-        masks = [(m, [c for c in _split(m, parts) if c != m]) for m in masks if bin(m).count("1") < 64]
-        finer = F.lit(None)
-        for m, below in masks:
-            finer = F.when(F.col("mask") == _signed(m), F.array(*[F.lit(_signed(c)) for c in below])).otherwise(finer)
-        keyed = keyed.join(hot, ["mask", "part"], "left_semi").select("fp", "rep", F.explode(finer).alias("mask"))
-        masks = [c for _, below in masks for c in below]
+        if last:
+            break
+        below = [(m, c) for m in masks for c in _split(m, parts) if c != m]
+        tree = reps.sparkSession.createDataFrame([(_signed(m), _signed(c)) for m, c in below], "mask long, next long")
+        keyed = keyed.join(hot, ["mask", "part"], "left_semi").join(F.broadcast(tree), "mask").select("fp", "rep", F.col("next").alias("mask"))
+        masks = [c for _, c in below]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []

@@ -53,7 +53,7 @@ def test_index_finds_all_links():
     assert got == {frozenset((int(x), int(y))) for x in c for y in c if x < y and bin(int(x) ^ int(y)).count("1") <= 2}
 
 
-@pytest.mark.parametrize("bucket", [4096, 3])
+@pytest.mark.parametrize("bucket", [4096, 64])
 def test_components_match_brute_force(spark, bucket):
     rng = np.random.default_rng(5)
     c = [int(x) for x in rng.integers(0, 2**63, 40, dtype=np.uint64)]
@@ -61,6 +61,8 @@ def test_components_match_brute_force(spark, bucket):
         for _ in range(3):
             x ^= 1 << int(rng.integers(0, 64))
             c.append(x)
+    for _ in range(120):
+        c.append(c[0] ^ (1 << int(rng.integers(0, 64))) ^ (1 << int(rng.integers(0, 64))))
     rows = [(i, int(np.uint64(x).astype(np.int64))) for i, x in enumerate(c)]
     reps = spark.createDataFrame(rows, "rep long, fp long").groupBy("fp").agg({"rep": "min"}).withColumnRenamed("min(rep)", "rep")
     scratch = Scratch(spark, "test")
