@@ -129,6 +129,17 @@ class Sketches:
                 by.setdefault(n, {}).setdefault(h, []).append(len(self.items))
             self.items.append((item_id, n, sh))
         self.by = {n: (np.array(sorted(x), dtype=np.uint64), [x[h] for h in sorted(x)]) for n, x in by.items()}
+        self.tops: dict[int, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tops": {}}
+
+    def seen(self, n: int) -> np.ndarray:
+        """For the 24 highest bits of a hash, whether a sketch of this shingle size has them; made once a worker."""
+        if n not in self.tops:
+            self.tops[n] = np.zeros(1 << 24, dtype=bool)
+            self.tops[n][(self.by[n][0] >> np.uint64(40)).astype(np.int64)] = True
+        return self.tops[n]
 
     def candidates(self, data: np.ndarray, off: np.ndarray) -> dict[int, set[int]]:
         """Text index to the positions of candidate items."""
@@ -136,8 +147,7 @@ class Sketches:
         h, lo, hi = word_hashes(data, off)
         for n, (keys, owners) in self.by.items():
             sh = shingle_hashes(h, n)
-            low = (sh >> np.uint64(40)).astype(np.int64)  # 24 bits first: a table that is small and mostly empty
-            hits = np.flatnonzero(_seen(keys)[low])
+            hits = np.flatnonzero(self.seen(n)[(sh >> np.uint64(40)).astype(np.int64)])
             if not len(hits):
                 continue
             at = np.searchsorted(keys, sh[hits])
@@ -163,18 +173,6 @@ class Sketches:
                 yield item_id, len(sh), common
 
 
-_tables_of: dict[int, np.ndarray] = {}
-
-
-def _seen(keys: np.ndarray) -> np.ndarray:
-    t = _tables_of.get(id(keys))
-    if t is None:
-        _tables_of.clear()
-        t = _tables_of[id(keys)] = np.zeros(1 << 24, dtype=bool)
-        t[(keys >> np.uint64(40)).astype(np.int64)] = True
-    return t
-
-
 def _pieces(items: DataFrame, id_col: str, text_col: str, bound: int) -> Iterator[list[tuple[int, str]]]:
     """The item table in pieces whose texts take `bound` bytes at most (one larger text: a piece of its own)."""
     piece, held = [], 0

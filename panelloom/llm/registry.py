@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from .decontaminate import OP2_SQL, op2_benchmark_decontamination
 from .langid import op1_language_mixture
+from .pii import op10_personal_data
 from .simhash import op3_simhash_near_dedup
+from .telephony import op5_telephony_audio
 from .token_file import op4_token_file
 from .transducer import op7_piece_transducer
+from .url_rules import OP8_SQL, op8_url_rules
 
 QUERIES = {
     "op1_language_mixture": op1_language_mixture,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_file": op4_token_file,
+    "op5_telephony_audio": op5_telephony_audio,
     "op7_piece_transducer": op7_piece_transducer,
+    "op8_url_rules": op8_url_rules,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_benchmark_decontamination": OP2_SQL,
+    "op8_url_rules": OP8_SQL,
 }
