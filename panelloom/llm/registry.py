@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import OP2_SQL, op2_benchmark_decontamination
+from .html_text import op6_main_text
 from .langid import op1_language_mixture
 from .pii import op10_personal_data
+from .quality import op9_rule_ensemble
 from .simhash import op3_simhash_near_dedup
 from .telephony import op5_telephony_audio
 from .token_file import op4_token_file
@@ -17,8 +19,10 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_file": op4_token_file,
     "op5_telephony_audio": op5_telephony_audio,
+    "op6_main_text": op6_main_text,
     "op7_piece_transducer": op7_piece_transducer,
     "op8_url_rules": op8_url_rules,
+    "op9_rule_ensemble": op9_rule_ensemble,
     "op10_personal_data": op10_personal_data,
 }
 
