@@ -1,6 +1,8 @@
-"""The registered queries of the panel engine, each with its oracle SQL."""
+"""All registered queries of the panel engine and their oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import grids  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
