@@ -1,0 +1,87 @@
+"""Seeded generation of synthetic cases, and sampling models of sensors.
+
+Each case has a generator of its own seeded by a hash of (seed, case, stream), so results don't depend on how cases are dealt
+to tasks."""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .scans import compartment_matrix, taylor
+
+
+def generator(seed: int, entity: int, stream: str) -> np.random.Generator:
+    return np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{entity}:{stream}".encode()).digest()[:8], "little"))
+
+
+def observe(t: np.ndarray, x: np.ndarray, rng: np.random.Generator, every: float, jitter: float = 0.0, dropout: float = 0.0, gap_rate: float = 0.0, gap_mean: float = 0.0, low: float = -np.inf, high: float = np.inf, step: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of a dense signal: a cadence with jitter, random dropouts, exponential gaps, clipping and quantisation."""
+    at = np.arange(t[0], t[-1], every)
+    at = np.sort(np.clip(at + rng.normal(0, jitter, len(at)), t[0], t[-1])) if jitter else at
+    keep = rng.random(len(at)) >= dropout
+    if gap_rate:
+        for s in at[rng.random(len(at)) < gap_rate]:
+            keep &= ~((at >= s) & (at < s + rng.exponential(gap_mean)))
+    at = at[keep]
+    v = np.clip(x[np.searchsorted(t, at, side="right") - 1], low, high)
+    return at, np.rint(v / step) * step if step else v
+
+
+def simulate_case(entity: int, seed: int, duration: float, dt: float) -> pd.DataFrame:
+    """Infusion, effect (three compartments), a depth index, a heart rate with AR(1) noise and stimuli, a cuff pressure."""
+    n = int(duration / dt)
+    t = np.arange(n) * dt
+    rng = generator(seed, entity, "body")
+    weight = rng.normal(75, 12)
+    start, end = 0.05 * duration, (0.8 + 0.15 * rng.random()) * duration
+    rate = np.where((t >= start) & (t < end), rng.uniform(0.08, 0.16) * weight, 0.0)
+    phi, psi = taylor(compartment_matrix(0.119, 0.112, 0.042, 0.055, 0.0033, 0.26) * dt / 60)
+    y, ce = np.zeros(4), np.zeros(n)
+    for i in range(1, n):
+        y = phi @ y + psi[:, 0] * rate[i] * dt / 60 / 15.9
+        ce[i] = y[3]
+    e = generator(seed, entity, "noise").normal(0, 1, (2, n))
+    noise = np.zeros((2, n))
+    for i in range(1, n):
+        noise[:, i] = 0.98 * noise[:, i - 1] + 0.2 * e[:, i]
+    stimuli = np.zeros(n)
+    for s in generator(seed, entity, "stimuli").uniform(start, end, 6):
+        stimuli += np.where(t >= s, 12 * np.exp(-(t - s) / 120), 0)
+    half = np.maximum(ce, 0) ** 2 / (np.maximum(ce, 0) ** 2 + 0.3)
+    signals = {
+        "depth": (97 * (1 - 0.7 * half) + noise[0], dict(every=1.0, dropout=0.03, low=0, high=98, step=1.0)),
+        "heart_rate": (75 - 12 * half + stimuli + 2 * noise[1], dict(every=2.0, jitter=0.2, dropout=0.05, gap_rate=0.001, gap_mean=60.0, low=20, high=220, step=1.0)),
+        "cuff": (92 - 20 * half + 0.5 * stimuli, dict(every=300.0, jitter=5.0, low=20, high=250, step=1.0)),
+        "rate": (rate, dict(every=10.0, step=0.01)),
+    }
+    parts = []
+    for track, (x, how) in signals.items():
+        at, v = observe(t, x, generator(seed, entity, track), **how)
+        parts.append(pd.DataFrame({"entity": entity, "track": track, "t": at, "value": v}))
+    return pd.concat(parts)
+
+
+def simulate(spark: SparkSession, cases: int, seed: int = 0, duration: float = 1800.0, dt: float = 1.0) -> DataFrame:
+    """(entity, track, t, value) of `cases` cases, each made in one task."""
+    schema = "entity long, track string, t double, value double"
+    ids = spark.range(cases).select(F.col("id").alias("entity"))
+    return ids.groupBy("entity").applyInPandas(lambda p: simulate_case(int(p["entity"].iloc[0]), seed, duration, dt), schema)
+
+
+def note_spans(template: str, values: dict[str, str]) -> tuple[str, list[tuple[str, int, int]]]:
+    """A note from a template with {name} slots, and (name, start, end) of each filled slot."""
+    out, spans, rest = "", [], template
+    while rest:
+        head, brace, tail = rest.partition("{")
+        out += head
+        if not brace:
+            break
+        name, _, rest = tail.partition("}")
+        spans.append((name, len(out), len(out) + len(values[name])))
+        out += values[name]
+    return out, spans

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import grids, sequences, statistics, tables  # noqa: F401
+from . import grids, runtime, sequences, statistics, tables  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
