@@ -9,14 +9,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BUCKETS = 64
+
+
 def _cdfs(df: DataFrame, x: str, side: Column, group: list[str]) -> DataFrame:
-    """Distinct values with counts (a, b), running sums before and with the value, and totals."""
+    """Distinct values with counts (a, b), running sums with the value (ca, cb), totals (na, nb) and the next value. The
+    ordered pass runs in value buckets at approximate quantiles, whose sums are then carried over a row a bucket; so neither
+    one group nor the whole table is one task."""
     n = df.where(F.col(x).isNotNull()).groupBy(*group, F.col(x).alias("x")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
-    totals = n.groupBy(*group).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    n = n.join(F.broadcast(totals), group) if group else n.join(F.broadcast(totals))
-    w = Window.partitionBy(*group).orderBy("x") if group else Window.partitionBy(F.lit(0)).orderBy("x")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return n.withColumns({"ca": F.sum("a").over(upto), "cb": F.sum("b").over(upto), "next": F.lead("x").over(w)})
+    edges = n.agg(F.percentile_approx("x", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("__e"))
+    n = n.join(F.broadcast(edges)).withColumn("__k", F.size(F.filter("__e", lambda e: e <= F.col("x")))).drop("__e")
+    one = [F.col(c) for c in group] or [F.lit(0)]
+    k = n.groupBy(*group, "__k").agg(F.sum("a").alias("ka"), F.sum("b").alias("kb"), F.min("x").alias("kx"))
+    order = Window.partitionBy(*one).orderBy("__k")  # BUCKETS rows a group
+    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*one)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    k = k.select(
+        *group, "__k", none(F.sum("ka").over(before)).alias("pa"), none(F.sum("kb").over(before)).alias("pb"), F.sum("ka").over(whole).alias("na"), F.sum("kb").over(whole).alias("nb"),
+        F.lead("kx").over(order).alias("nx"),
+    )
+    inside = Window.partitionBy(*group, "__k").orderBy("x")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    n = n.withColumns({"ia": F.sum("a").over(upto), "ib": F.sum("b").over(upto), "next": F.lead("x").over(inside)})
+    n = n.join(k, [*group, "__k"])
+    return n.select(*group, "x", "a", "b", (F.col("pa") + F.col("ia")).alias("ca"), (F.col("pb") + F.col("ib")).alias("cb"), "na", "nb", F.coalesce("next", "nx").alias("next"))
 
 
 def distances(df: DataFrame, x: str, side: Column, group: list[str]) -> DataFrame:
