@@ -57,10 +57,9 @@ def ffill_asof(
 
     With `bucket` (seconds) the window runs within time buckets and the last sample before a bucket is carried in from the
     buckets' summaries, so that one entity with most rows spreads over many tasks."""
-    own = [c for c in grid.columns]
-    order = seq if seq is not None else None
+    own = grid.columns
     s = samples.where(F.col(value).isNotNull()).select(
-        *keys, F.col("t").alias("__t"), F.lit(0).alias("__g"), (F.col(order) if order else F.lit(0)).cast("long").alias("__o"), F.col(value).alias("__v"), F.lit(None).cast(_struct(grid)).alias("__row")
+        *keys, F.col("t").alias("__t"), F.lit(0).alias("__g"), (F.col(seq) if seq else F.lit(0)).cast("long").alias("__o"), F.col(value).alias("__v"), F.lit(None).cast(grid.schema).alias("__row")
     )
     g = grid.select(*keys, F.col("t").alias("__t"), F.lit(1).alias("__g"), F.lit(0).cast("long").alias("__o"), F.lit(None).cast(samples.schema[value].dataType).alias("__v"), F.struct(*own).alias("__row"))
     both = s.unionByName(g)
@@ -72,10 +71,10 @@ def ffill_asof(
     last = F.last(F.when(F.col("__g") == 0, F.struct(F.col("__t").alias("t"), F.col("__v").alias("v"))), ignorenulls=True).over(w)
     rows = both.withColumn("__l", last).where("__g = 1")
     if bucket:
-        ends = s.groupBy(*keys, F.floor(F.col("__t") / bucket).alias("__b")).agg(F.max_by(F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")), F.struct("__t", "__o")).alias("__e"))
-        asked = g.select(*keys, F.floor(F.col("__t") / bucket).alias("__b")).distinct()
+        sample = lambda c: F.when(F.col("__g") == 0, c)
+        ends = both.groupBy(*part).agg(F.max_by(sample(F.struct(F.col("__t").alias("t"), F.col("__v").alias("v"))), sample(F.struct("__t", "__o"))).alias("__e"))
         before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        carry = asked.join(ends, [*keys, "__b"], "full").withColumn("__c", F.last("__e", ignorenulls=True).over(before)).drop("__e")
+        carry = ends.withColumn("__c", F.last("__e", ignorenulls=True).over(before)).drop("__e")
         rows = rows.join(carry, [*keys, "__b"], "left").withColumn("__l", F.coalesce("__l", "__c"))
     rows = rows.select("__row.*", F.col("__l.t").alias("__lt"), F.col("__l.v").alias("__lv"))
     age = F.col("t") - F.col("__lt")
@@ -83,10 +82,6 @@ def ffill_asof(
     return rows.withColumns({out: F.when(fresh, F.col("__lv")), "age": F.when(fresh, age), "present": fresh.cast("int")}).drop("__lt", "__lv")
 
 
-def _struct(grid: DataFrame):
-    return grid.schema
-
-
 def bin_events(events: DataFrame, grid_bounds: DataFrame, keys: list[str], step: float, value: str = "value", out: str = "total") -> DataFrame:
     """(keys, k, out): sums of the positive finite impulses in the half-open cell (t - step, t] of each grid point. Events
     before the first point count to it; events after the last are dropped."""
