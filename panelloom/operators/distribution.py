@@ -145,3 +145,9 @@ def relative_error(df: DataFrame, a: str, b: str, floor: float = 0.1, least: int
 def impute_mean(df: DataFrame, cols: list[str]) -> DataFrame:
     means = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in cols])
     return df.join(F.broadcast(means)).withColumns({c: F.coalesce(F.col(c).cast("double"), f"__m_{c}") for c in cols}).drop(*[f"__m_{c}" for c in cols])
+
+
+def mae_ratio(df: DataFrame, truth: str, model: str, baseline: str, group: list[str]) -> DataFrame:
+    """(group, mae, mae_baseline, ratio): the ratio is null where the baseline has no error."""
+    g = df.groupBy(*group).agg(F.avg(F.abs(F.col(truth) - F.col(model))).alias("mae"), F.avg(F.abs(F.col(truth) - F.col(baseline))).alias("mae_baseline"))
+    return g.withColumn("ratio", F.col("mae") / F.nullif("mae_baseline", F.lit(0.0)))

@@ -111,3 +111,14 @@ def identity_gate(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str],
     lone = F.col("__ia").isNull() | F.col("__ib").isNull()
     j = left.join(right, keys, "full")
     return j.groupBy(F.coalesce("__x", "__y").alias("exempt")).agg(F.count("*").alias("n"), F.count_if(lone).alias("n_lone"), F.count_if(~lone & d).alias("n_differ"))
+
+
+def differs_after(base: DataFrame, other: DataFrame, cols: list[str], meta: DataFrame, ta: str = "ta") -> DataFrame:
+    """(pair_id, differs): whether any column differs strictly after the action's time."""
+    j = joined(base, other, cols).join(F.broadcast(meta.select("pair_id", ta)), "pair_id")
+    return j.groupBy("pair_id").agg(F.coalesce(F.bool_or(F.when(F.col("t") > F.col(ta), F.col("__d"))), F.lit(False)).alias("differs"))
+
+
+def recorded_vs_applied(recorded: Column, applied: Column, step: float) -> Column:
+    """Whether a quantised record stands for the applied value: within half a step."""
+    return F.coalesce(F.abs(recorded - applied) <= step / 2 + 1e-9, F.lit(False))

@@ -125,3 +125,33 @@ def affine_fit(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def close(a: Column, b: Column, tol: float) -> Column:
     return F.coalesce(F.abs(a - b) <= tol, a.isNull() & b.isNull())
+
+
+def value_at(obs: DataFrame, at: DataFrame, keys: list[str], t: str = "at", value: str = "value", seq: str = "seq") -> DataFrame:
+    """(keys, at, value): the last finite value at or before a time of each key, of which there is one a key."""
+    j = obs.where(F.col(value).isNotNull()).join(at.select(*keys, t), keys).where(F.col("t") <= F.col(t))
+    last = j.groupBy(*keys).agg(F.max_by(value, F.struct("t", seq)).alias(value))
+    return at.select(*keys, t).join(last, keys, "left")
+
+
+def changed(x: str, keys: list[str], order: list[str]) -> Column:
+    """Whether a value differs from the row before (null-safe); the first row doesn't."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return (F.row_number().over(w) > 1) & ~F.col(x).eqNullSafe(F.lag(x).over(w))
+
+
+def classify(x: Column, rules: list[tuple[str, str, str]], default: str) -> Column:
+    """The label of the first rule (how, pattern, label) that fits; how is starts, ends, holds or like (an expression)."""
+    out = F.lit(default)
+    for how, pattern, label in reversed(rules):
+        test = {"starts": x.startswith, "ends": x.endswith, "holds": x.contains, "like": x.rlike}[how](pattern)
+        out = F.when(test, F.lit(label)).otherwise(out)
+    return out
+
+
+def check_columns(df: DataFrame, allowed: set[str], denied: set[str] = frozenset()) -> DataFrame:
+    """`df`, or an error that names the columns that aren't allowed."""
+    bad = sorted(c for c in df.columns if c not in allowed or c in denied)
+    if bad:
+        raise ValueError(f"columns not allowed: {', '.join(bad)}")
+    return df

@@ -120,6 +120,65 @@ def linear_system(df: DataFrame, keys: list[str], order: list[str], rate: str, m
     return df.select(*dict.fromkeys([*keys, *order, rate])).groupBy(*keys).applyInPandas(run, schema)
 
 
+def compartments(df: DataFrame, keys: list[str], order: list[str], rate: str, params: str, dt_min: float, out: str = "ce") -> DataFrame:
+    """`linear_system` with each entity's own parameters (a struct column as `functions.kinetics` makes, constant within an
+    entity; the first row's counts)."""
+    from ..functions.kinetics import NAMES
+
+    kinds = dict(df.dtypes)
+    cols = list(dict.fromkeys([*keys, *order]))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        p = {n: float(pdf[f"__{n}"].iloc[0]) for n in NAMES}
+        phi, psi = taylor(compartment_matrix(p["k10"], p["k12"], p["k13"], p["k21"], p["k31"], p["ke0"]) * dt_min)
+        drive, r = psi[:, 0] * dt_min / p["v1"], np.nan_to_num(pdf[rate].to_numpy(dtype=float))
+        y, ce = np.zeros(4), np.zeros(len(r))
+        for i in range(1, len(r)):
+            y = phi @ y + drive * r[i]
+            ce[i] = y[-1]
+        return pdf[cols].assign(**{out: ce})
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in cols) + f", `{out}` double"
+    return df.select(*dict.fromkeys([*cols, rate]), *[F.col(params)[n].alias(f"__{n}") for n in NAMES]).groupBy(*keys).applyInPandas(run, schema)
+
+
+def infused(grid: DataFrame, infusions: DataFrame, boluses: DataFrame, keys: list[str], matrix: np.ndarray, volume: float, out: str = "ce") -> DataFrame:
+    """Integrates the system over each entity's grid times (seconds) with Runge-Kutta steps as long as their spacing, under
+    infusions (start, end, rate a minute; the first in order that holds a time wins, ends closed) and boluses (t, dose; added
+    at the nearest time, the earlier of two). The three inputs meet in one cogroup a key."""
+    kinds = dict(grid.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = {n: p.sort_values("a", kind="stable") for n, p in pdf.groupby("kind")}
+        t = at["t"]["a"].to_numpy() if "t" in at else np.zeros(0)
+        rate, dose = np.zeros(len(t)), np.zeros(len(t))
+        if len(t) and "i" in at:
+            for a, b, r in at["i"][["a", "b", "r"]].to_numpy()[::-1]:
+                rate[(t >= a) & (t <= b)] = r
+        if len(t) and "b" in at:
+            for a, r in at["b"][["a", "r"]].to_numpy():
+                dose[np.abs(t - a).argmin()] += r
+        y, ce = np.zeros(len(matrix)), np.zeros(len(t))
+        e1 = np.eye(len(matrix))[0]
+        for i in range(len(t)):
+            if i:
+                h, u = (t[i] - t[i - 1]) / 60, e1 * rate[i] / volume
+                k1 = matrix @ y + u
+                k2 = matrix @ (y + h / 2 * k1) + u
+                k3 = matrix @ (y + h / 2 * k2) + u
+                y = y + h / 6 * (k1 + 2 * k2 + 2 * k3 + matrix @ (y + h * k3) + u)
+            y = y + e1 * dose[i] / volume
+            ce[i] = y[-1]
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "t": t, out: ce})
+
+    none = F.lit(None).cast("double")
+    rows = grid.select(*keys, F.lit("t").alias("kind"), F.col("t").alias("a"), none.alias("b"), none.alias("r"))
+    rows = rows.unionByName(infusions.select(*keys, F.lit("i").alias("kind"), F.col("start").alias("a"), F.col("end").alias("b"), F.col("rate").alias("r")))
+    rows = rows.unionByName(boluses.select(*keys, F.lit("b").alias("kind"), F.col("t").alias("a"), none.alias("b"), F.col("dose").alias("r")))
+    return rows.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "t double", f"`{out}` double"]))
+
+
 def controller(df: DataFrame, keys: list[str], order: list[str], x: str, low: float, high: float, step: float, top: float, hold: int, out: str = "level") -> DataFrame:
     """Start at `step` below `low`, escalate by it while below, stop above `high`; no change within `hold` rows of the last."""
     kinds = dict(df.dtypes)

@@ -198,3 +198,75 @@ def pair_delta_on_grid(spark: SparkSession, d: str) -> DataFrame:
 def pair_identity_gate(spark: SparkSession, d: str) -> DataFrame:
     b, o, _ = _branches(spark, d)
     return P.identity_gate(b, o, ["pair_id", "t"], ["x", "y"], F.col("pair_id") % 3 != 2)
+
+
+_WHO = "who AS (SELECT c_custkey AS id, 50.0::DOUBLE + c_custkey % 50 AS w, 20.0::DOUBLE + c_custkey % 60 AS age, 150.0::DOUBLE + c_custkey % 45 AS h, c_custkey % 2 = 0 AS male FROM customer)"
+
+
+@query(
+    f"""WITH {_WHO}, x AS (SELECT *, w / pow(h / 100, 2) AS bmi, CASE WHEN male THEN 1.1 * w - 128 * pow(w / h, 2) ELSE 1.07 * w - 148 * pow(w / h, 2) END AS lbm FROM who),
+y AS (SELECT *, CASE WHEN male THEN (0.88 * w + 12.8 * pow(h / 100, 2)) / (1 + 0.0273 * bmi) ELSE (1.11 * w + 7.52 * pow(h / 100, 2)) / (1 + 0.0236 * bmi) END / (61.6 + 12.8 * 2.89 / (1 + 0.0273 * (70 / 2.89))) AS size,
+  9270 * w / CASE WHEN male THEN 6680 + 216 * bmi ELSE 8780 + 244 * bmi END AS lean FROM x)
+SELECT id, round(0.228 * w, 6) AS marsh_v1, round((1.89 + 0.0456 * (w - 77) - 0.0681 * (lbm - 59) + 0.0264 * (h - 177)) / 4.27, 6) AS schnider_k10,
+  round(1.79 * pow(size, 0.75) * pow(greatest(age, 18) / 35, -0.446) / (6.28 * size), 6) AS eleveld_k10, round(0.146 * pow(age / 35, -0.25), 6) AS eleveld_ke0, round(5.1 - 0.0201 * (age - 40) + 0.0722 * (lean - 50), 6) AS minto_v1,
+  round(0.093 * 0.07 / 0.13, 6) AS wierda_k21 FROM y"""
+)
+def fn_kinetic_parameters(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions import kinetics as K
+
+    k = F.col("c_custkey")
+    who = [c.cast("double") for c in (50 + k % 50, 20 + k % 60, 150 + k % 45)]
+    w, age, h, male = *who, k % 2 == 0
+    return table(spark, d, "customer").select(
+        k.alias("id"), _r(K.marsh(w)["v1"]).alias("marsh_v1"), _r(K.schnider(w, age, h, male)["k10"]).alias("schnider_k10"), _r(K.eleveld(w, age, h, male)["k10"]).alias("eleveld_k10"),
+        _r(K.eleveld(w, age, h, male)["ke0"]).alias("eleveld_ke0"), _r(K.minto(w, age, h, male)["v1"]).alias("minto_v1"), _r(K.wierda(w)["k21"]).alias("wierda_k21"),
+    )
+
+
+@query(
+    """WITH u AS (SELECT event_id, value AS v, value / 3 AS ua, value / 5 AS ub, value / 40 AS ug, value / 10 AS arousal FROM events),
+x AS (SELECT *, greatest(ua + ub + ug + 0.05 * ua * ub + 0.05 * ua * ug - arousal * 0.03, -5) AS u FROM u)
+SELECT event_id, round(least(greatest(93 - 63 * pow(greatest(u, 0), 1.5) / (1 + pow(greatest(u, 0), 1.5)), 0), 100), 6) AS depth,
+  round(least(greatest(200 * 863 / greatest((400 + v - 150) * 12, 500) * pow(1.1, 0.8), 0), 90) * 0.95, 6) AS etco2, round((400 + v) / 50 + 10 * 0.5 + 5, 6) AS pip FROM x"""
+)
+def fn_response_surfaces(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions import kinetics as K
+
+    v, one = F.col("value"), lambda x: F.lit(float(x))
+    return table(spark, d, "events").select(
+        "event_id", _r(K.depth_index(v, v, v, v / 10, (3.0, 5.0, 40.0), 1.5, 93.0, 30.0)).alias("depth"), _r(K.end_tidal(400 + v, one(150), one(12), one(200), one(1.1))).alias("etco2"),
+        _r(K.peak_pressure(400 + v, one(50), one(10), one(0.5), one(5))).alias("pip"),
+    )
+
+
+@query()
+def scan_compartments(spark: SparkSession, d: str) -> DataFrame:
+    """Each entity with its own published parameters, driven by its rates."""
+    from ..functions import kinetics as K
+
+    e = F.col("entity").cast("double")
+    p = K.schnider(60 + e % 40, 25 + e % 50, 155 + e % 40, e % 2 == 0)
+    return S.compartments(_rows(spark, d).withColumn("p", p), ["entity"], ["t", "seq"], "rate", "p", 5 / 60).select("entity", "seq", "ce")
+
+
+@query()
+def scan_infused(spark: SparkSession, d: str) -> DataFrame:
+    """Views as grid times, clicks as infusions of an hour, purchases as boluses."""
+    o = _obs(spark, d)
+    grid = o.where("track = 'view'").select("entity", "t")
+    inf = o.where("track = 'click'").select("entity", F.col("t").alias("start"), (F.col("t") + 3600).alias("end"), F.col("value").alias("rate"))
+    bol = o.where("track = 'purchase'").select("entity", "t", F.col("value").alias("dose"))
+    return S.infused(grid, inf, bol, ["entity"], S.compartment_matrix(0.0119, 0.0112, 0.0042, 0.0055, 0.00033, 0.026), 15.9)
+
+
+@query(f"WITH {_PAIRS}, {_DIV}, an AS (SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(note, '^t=([0-9.]+)s', 1), '') AS DOUBLE), split_t) AS ta FROM meta) SELECT pair_id, coalesce(bool_or(d) FILTER (t > ta), false) AS differs FROM j JOIN an USING (pair_id) GROUP BY pair_id")
+def pair_differs_after(spark: SparkSession, d: str) -> DataFrame:
+    b, o, m = _branches(spark, d)
+    return P.differs_after(b, o, ["x", "y"], m.withColumn("ta", P.action_time(F.col("note"), F.col("split_t"))))
+
+
+@query(f"WITH {_PAIRS} SELECT a.pair_id, a.t, coalesce(abs(round_even(a.x / 5, 0) * 5 - b.x) <= 2.5 + 1e-9, false) AS same FROM base a JOIN other b USING (pair_id, t)")
+def pair_recorded_vs_applied(spark: SparkSession, d: str) -> DataFrame:
+    b, o, _ = _branches(spark, d)
+    j = b.select("pair_id", "t", "x").join(o.select("pair_id", "t", F.col("x").alias("z")), ["pair_id", "t"])
+    return j.select("pair_id", "t", P.recorded_vs_applied(G.quantize(F.col("x"), 5.0), F.col("z"), 5.0).alias("same"))

@@ -271,3 +271,16 @@ def dist_relative_error(spark: SparkSession, d: str) -> DataFrame:
 def dist_impute_mean(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("x"))
     return D.impute_mean(e, ["x"]).withColumn("x", _r("x"))
+
+
+@query(
+    """WITH v AS (SELECT event_type, value AS y, lag(value) OVER w AS m, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_type, round(avg(abs(y - m)), 6) AS mae, round(avg(abs(y - b)), 6) AS mae_baseline, round(avg(abs(y - m)) / nullif(avg(abs(y - b)), 0), 6) AS ratio FROM v GROUP BY 1"""
+)
+def dist_mae_ratio(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    v = table(spark, d, "events").select("event_type", F.col("value").alias("y"), F.lag("value").over(w).alias("m"), F.avg("value").over(w.rowsBetween(-5, -1)).alias("b"))
+    r = D.mae_ratio(v, "y", "m", "b", ["event_type"])
+    return r.select("event_type", *(_r(c).alias(c) for c in ("mae", "mae_baseline", "ratio")))

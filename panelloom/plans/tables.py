@@ -338,3 +338,26 @@ def cmp_tolerance(spark: SparkSession, d: str) -> DataFrame:
     a, b = _ab(spark, d)
     j = a.select("id", "x").join(b.select("id", F.col("x").alias("z")), "id")
     return j.groupBy(R.close(F.col("x"), F.col("z"), 0.1).alias("same")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {OBS}, w AS (SELECT entity, round(avg(t)) AS at FROM obs GROUP BY entity)
+SELECT w.entity, w.at, s.value FROM w ASOF LEFT JOIN (SELECT * FROM obs WHERE track = 'click') s ON w.entity = s.entity AND w.at >= s.t"""
+)
+def rel_value_at(spark: SparkSession, d: str) -> DataFrame:
+    o = _obs(spark, d)
+    return R.value_at(o.where("track = 'click'"), o.groupBy("entity").agg(F.round(F.avg("t")).alias("at")), ["entity"])
+
+
+@query(f"WITH {OBS} SELECT entity, sum((i > 1 AND track IS DISTINCT FROM p)::INT)::BIGINT AS n_changes FROM (SELECT entity, track, lag(track) OVER w AS p, row_number() OVER w AS i FROM obs WINDOW w AS (PARTITION BY entity ORDER BY t, seq)) GROUP BY entity")
+def rel_changes(spark: SparkSession, d: str) -> DataFrame:
+    o = _obs(spark, d).select("entity", R.changed("track", ["entity"], ["t", "seq"]).alias("c"))
+    return o.groupBy("entity").agg(F.count_if("c").alias("n_changes"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_name LIKE 'small%' THEN 'small' WHEN p_name LIKE '%ring' THEN 'ring' WHEN contains(p_name, 'dg') THEN 'dg' WHEN regexp_matches(p_type, '^(ECO|PRO)') THEN 'eco_pro' ELSE 'rest' END AS label FROM part")
+def rel_classify(spark: SparkSession, d: str) -> DataFrame:
+    p = R.check_columns(table(spark, d, "part").select("p_partkey", "p_name", "p_type"), {"p_partkey", "p_name", "p_type"})
+    name = R.classify(F.col("p_name"), [("starts", "small", "small"), ("ends", "ring", "ring"), ("holds", "dg", "dg")], "")
+    kind = R.classify(F.col("p_type"), [("like", "^(ECO|PRO)", "eco_pro")], "rest")
+    return p.select("p_partkey", F.when(name != "", name).otherwise(kind).alias("label"))

@@ -197,3 +197,33 @@ def test_pairs(spark):
     d = lambda v: F.lit(v).cast("double")
     assert one(spark, P.boundary(d(None), d(14.0), 5.0)) == 10.0 and one(spark, P.boundary(d(3.0), d(None), 5.0)) is None
     assert one(spark, P.null_cause(F.lit(False), d(9), d(5), d(0.1), d(0.5), F.lit(True))) == "below_resolution"
+
+
+def test_infused_matches_linear_system(spark):
+    m = N.compartment_matrix(0.119, 0.112, 0.042, 0.055, 0.0033, 0.26)
+    grid = spark.createDataFrame([(1, 5.0 * i) for i in range(121)], "e int, t double")
+    inf = spark.createDataFrame([(1, 0.0, 600.0, 100.0)], "e int, start double, end double, rate double")
+    bol = spark.createDataFrame([(1, 302.4, 50.0), (2, 1.0, 9.0)], "e int, t double, dose double")
+    got = {r["t"]: r["ce"] for r in N.infused(grid, inf, bol.limit(0), ["e"], m, 15.9).collect()}
+    df = steps(spark, 121, rate=lambda i: 100.0)
+    want = [r["ce"] for r in N.linear_system(df, ["e"], ["i"], "rate", m, 15.9, 5 / 60).orderBy("i").collect()]
+    assert np.allclose([got[5.0 * i] for i in range(121)], want, rtol=2e-3, atol=1e-9)
+    more = {r["t"]: r["ce"] for r in N.infused(grid, inf, bol, ["e"], m, 15.9).collect() if r["t"] is not None}
+    assert more[300.0] == got[300.0] and more[310.0] > got[310.0]
+
+
+def test_own_parameters(spark):
+    from panelloom.functions import kinetics as K
+
+    df = steps(spark, 50, rate=lambda i: 10.0).withColumn("p", K.marsh(F.lit(70.0)))
+    got = [r["ce"] for r in N.compartments(df, ["e"], ["i"], "rate", "p", 5 / 60).orderBy("i").collect()]
+    m = N.compartment_matrix(0.119, 0.112, 0.0419, 0.055, 0.0033, 0.26)
+    want = [r["ce"] for r in N.linear_system(df, ["e"], ["i"], "rate", m, 0.228 * 70, 5 / 60).orderBy("i").collect()]
+    assert np.allclose(got, want)
+
+
+def test_guards(spark):
+    with pytest.raises(ValueError, match="secret"):
+        R.check_columns(spark.createDataFrame([(1, 2)], "a int, secret int"), {"a"})
+    df = spark.createDataFrame([(1, 0, None), (1, 1, None), (1, 2, "x"), (1, 3, "x")], "e int, i int, x string")
+    assert [r[0] for r in df.select(R.changed("x", ["e"], ["i"])).collect()] == [False, False, True, False]
