@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker; whole rows, so one longer text passes it.
+BATCH_BYTES = 8 << 20
+
+
+def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow with batches of bounded size, which bound the memory of the Python workers."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage. Each holds the rows of one step, so that a lost executor
     costs a re-read and never a recomputation of the whole chain."""

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._common import table
+from ._common import arrow, table
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -218,7 +218,7 @@ def contained_items(
                 kinds = [pa.int64()] * 4 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "n_shingles", "n_common", "containment"])
 
-        part = src.mapInArrow(run, schema)
+        part = arrow(src, run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -245,7 +245,7 @@ def decontaminate(
                         keep[first + d] = next(held.verify(b.column(at)[first + d].as_py(), its), None) is None
                 yield b.filter(pa.array(keep)) if not keep.all() else b
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = arrow(docs, run, docs.schema)
     return docs
 
 

@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._common import bounded_fraction, hash_unit, is_held_out, table
+from ._common import arrow, bounded_fraction, hash_unit, is_held_out, table
 
 BITS = 16
 _FOLD = np.full(256, 32, dtype=np.uint8)
@@ -46,7 +46,7 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def fit(labelled: DataFrame, docs_per_language: int = 3000, id_col: str = "doc_id", smoothing: float = 0.1) -> dict:
     """{"langs": [...], "table": float32 array of (buckets + 1, languages)}; the last row is for what doesn't count."""
-    rows = labelled.where("lang is not null and text is not null")
+    rows = labelled.where("lang is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
@@ -75,7 +75,7 @@ def fit(labelled: DataFrame, docs_per_language: int = 3000, id_col: str = "doc_i
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(t[at])], names=["lang", "bucket", "n"])
 
-    part = rows.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "lang string, bucket long, n long")
+    part = arrow(rows.select(F.col("lang").cast("string"), F.col("text").cast("string")), run, "lang string, bucket long, n long")
     got = part.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()  # languages x buckets at most
     n = np.zeros((1 << BITS, len(langs)))
     col = np.array([langs.index(x) for x in got["lang"].to_pylist()], dtype=np.int64)
@@ -157,7 +157,7 @@ def mixtures(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), *_predict(b.column(1), held.value)], names=["doc_id", *_NEW])
 
-    return src.mapInArrow(run, "doc_id long, lang_pred string, score double, lettered boolean, mixture map<string,double>")
+    return arrow(src, run, "doc_id long, lang_pred string, score double, lettered boolean, mixture map<string,double>")
 
 
 _NEW = ["lang_pred", "score", "lettered", "mixture"]
@@ -196,12 +196,18 @@ def keep_identified(docs: DataFrame, model: dict, min_share: float = 0.0, text_c
                 keep = keep & (score.to_numpy() >= min_share)
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)
+
+
+def _shares() -> Column:
+    """The mixture as text, languages in order: "en=0.9000,fr=0.1000"."""
+    entry = lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"]))
+    return F.array_join(F.transform(F.sort_array(F.map_entries("mixture")), entry), ",")
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~is_held_out()))
     return mixtures(docs, model).select(
-        "doc_id", is_held_out().alias("held_out"), "lang_pred", "score", F.col("mixture").alias("shares")
+        "doc_id", is_held_out().alias("held_out"), "lang_pred", "score", _shares().alias("shares")
     )

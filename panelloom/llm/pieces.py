@@ -13,7 +13,7 @@ import numpy as np
 
 from . import _text as T
 
-MOST = 1_200_000
+MOST = 800_000
 
 
 class ChunkStore:

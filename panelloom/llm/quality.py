@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from . import trees as G
-from ._common import hash_unit, is_held_out, table
+from ._common import arrow, hash_unit, is_held_out, table
 
 STATS = (
     "log_bytes", "log_words", "word_bytes", "upper", "digit", "symbol", "exclaim", "bar", "stop", "high", "letters",
@@ -93,7 +93,7 @@ def with_stats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: s
             yield pa.RecordBatch.from_arrays([*b.columns[:at], *(pa.array(np.ascontiguousarray(c)) for c in x.T)], names=names)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:at]]
-    return src.mapInArrow(run, ", ".join([*fields, *(f"s_{s} double" for s in STATS)]))
+    return arrow(src, run, ", ".join([*fields, *(f"s_{s} double" for s in STATS)]))
 
 
 @dataclass(frozen=True)

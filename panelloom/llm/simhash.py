@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._common import Scratch, table
+from ._common import Scratch, arrow, table
 
 _P1, _P2, _P3, _P4, _P5 = (
     np.uint64(x)
@@ -134,7 +134,7 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    return arrow(src, run, "doc_id long, fp long")
 
 
 # --- the index -------------------------------------------------------------------------------------------------------
@@ -281,7 +281,7 @@ def linked_codes(reps: DataFrame, scratch: Scratch, radius: int = 2, bucket: int
             yield from edges(rest)
 
     dealt = done.select("part", "mask", "fp", "rep").repartition("part", "mask").sortWithinPartitions("mask", "part")
-    return dealt.mapInArrow(run, "u long, v long")
+    return arrow(dealt, run, "u long, v long")
 
 
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFrame:
@@ -302,6 +302,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFram
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     # A star by now: every node has one edge, to the smallest of its component.
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._common import Scratch, table
+from ._common import Scratch, arrow, table
 from .pieces import ChunkStore, spans_of
 
 SEGMENT = "file_no int, seg_no int, ids_before long, n_docs int, n_ids long, docs binary, blocks binary, planes binary"
@@ -127,7 +127,7 @@ def write(
     block: int = 1 << 16,
     planes: str = "byte",
     segment: int = 1 << 19,
-    docs_per_file: int = 16_000,
+    docs_per_file: int = 8_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
@@ -170,7 +170,7 @@ def write(
 
     dealt = src.repartitionByRange(files, F.col("doc_id").asc_nulls_first()) if files > 1 else src.coalesce(1)
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").select(F.spark_partition_id().alias("file_no"), "doc_id", "text")
-    dealt.mapInArrow(run, SEGMENT).write.option("compression", "none").parquet(path)
+    arrow(dealt, run, SEGMENT).write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -203,7 +203,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
-    return seg.mapInArrow(run, schema)
+    return arrow(seg, run, schema)
 
 
 def op4_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

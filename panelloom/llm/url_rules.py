@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import arrow, table
 
 _TOKEN = re.compile(r"[a-z0-9]+")
 
@@ -130,7 +130,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_
             cols = [pa.array(x, pa.string()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["page_id", "host", "path", "rule", "verdict"])
 
-    return src.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+    return arrow(src, run, "page_id long, host string, path string, rule string, verdict string")
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
