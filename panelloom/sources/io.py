@@ -18,12 +18,17 @@ from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir), or in a new one where none is set."""
+    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir), or in a new one where none is set. What is
+    written there is deleted when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("panelloom.scratch.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="panelloom-")
         spark.conf.set("panelloom.scratch.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(root)
+    store.deleteOnExit(root)
+    return f"{root.toString()}/data"
 
 
 def select_existing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
