@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("panelloom.scratch.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="panelloom-")
-        spark.conf.set("panelloom.scratch.dir", base)
-    return base.rstrip("/")
-
-
 #: Bytes of an Arrow batch between Spark and a Python worker; whole rows, so one longer text passes it.
 BATCH_BYTES = 8 << 20
 
@@ -40,7 +29,7 @@ class Scratch:
     costs a re-read and never a recomputation of the whole chain."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = spark, scratch(spark, name), 0
 
     def path(self, name: str) -> str:
         self.n += 1
