@@ -1,8 +1,8 @@
 """Sequential recurrences over an entity's ordered rows.
 
 Running sums are windows. A first-order recurrence y = a*y + b with constant 0 < a < 1 has a closed form in blocks: within a
-block the sum of b[j] * a^(i-j), and the state before the block carried by the blocks' own recurrence; both are windows and
-sums, so it stays in Catalyst. Systems with several states, and those with varying coefficients, run in
+block the sum of b[j] * a^(i-j), and the state before the block from the blocks' own recurrence, level by level; all are
+windows and equi-joins, so it stays in Catalyst. Systems with several states, and those with varying coefficients, run in
 `applyInPandas` over one entity's rows (numpy), where the whole trajectory is asked for.
 """
 
@@ -37,12 +37,15 @@ def linear_recurrence(df: DataFrame, keys: list[str], order: list[str], a: float
     rows = rows.withColumns({"__k": F.floor(F.col("__i") / block), "__j": F.col("__i") % block})
     inside = Window.partitionBy(*keys, "__k").orderBy("__j").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__s", F.sum(F.col("__b") * F.pow(F.lit(a), -F.col("__j"))).over(inside) * F.pow(F.lit(a), F.col("__j")))
-    # State at the end of each full block: a fold over the blocks, one number each.
-    ends = rows.where(F.col("__j") == block - 1).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__k", "__s"))).alias("__e"))
-    fold = F.aggregate("__e", F.array(F.lit(float(y0))), lambda acc, e: F.concat(acc, F.array(F.element_at(acc, -1) * (a**block) + e["__s"])))
-    carry = ends.select(*keys, fold.alias("__c"))
-    rows = rows.join(carry, keys, "left")
-    before = F.coalesce(F.get("__c", F.col("__k").cast("int")), F.lit(float(y0)))
+    # The states at the ends of full blocks follow the same recurrence with a ** block, on 1 / block of the rows.
+    ends, power = rows.where(F.col("__j") == block - 1).select(*keys, "__k", "__s"), a**block
+    if power < 1e-18:
+        ends = ends.withColumn("__y", F.col("__s") + F.when(F.col("__k") == 0, F.lit(power * y0)).otherwise(0.0))
+    else:
+        ends = linear_recurrence(ends.withColumnsRenamed({"__k": "__o", "__s": "__u"}), keys, ["__o"], power, F.col("__u"), "__y", y0, block)
+        ends = ends.withColumnRenamed("__o", "__k")
+    rows = rows.join(ends.select(*keys, (F.col("__k") + 1).alias("__k"), F.col("__y").alias("__c")), [*keys, "__k"], "left")
+    before = F.when(F.col("__k") == 0, F.lit(float(y0))).otherwise(F.col("__c"))
     return rows.withColumn(out, F.col("__s") + F.pow(F.lit(a), F.col("__j") + 1) * before).drop("__i", "__b", "__k", "__j", "__s", "__c")
 
 
