@@ -11,7 +11,7 @@
   negative score of its piece;
 * byte fallback: a character that is no piece reads as its UTF-8 bytes, at a weight above any path of pieces.
 
-A text is composed with these from left to right, and the shortest path is kept for each (position, last piece). Pieces have
+A text is composed with these from left to right, and the shortest path to each position is kept. Pieces have
 U+2581 at their start only (checked; else whole texts are one chunk), so texts are cut before a space that follows another
 character, and each distinct chunk is composed once a worker.
 
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._common import table
+from ._common import arrow, table
 from .pieces import ChunkStore, spans_of
 
 SPACE = "▁"
@@ -91,6 +91,7 @@ class Model:
 
 class Transducer:
     FALLBACK = 1e6
+    MOST = 400_000  # weights kept
 
     def __init__(self, model: Model):
         self.model = model
@@ -100,8 +101,8 @@ class Transducer:
             for ch in p:
                 node = node.setdefault(ch, {})
             node[""] = i
-        self.weights: dict[tuple[int, int], float] = {}
-        self.alone: dict[int, bool] = {}
+        self.size = len(model.pieces)
+        self.weights: dict[int, float] = {}  # by a * size + b
 
     def merged(self, chars: list[str]) -> list[str]:
         """What merging in score order makes of the characters (ties: the leftmost pair)."""
@@ -122,49 +123,52 @@ class Transducer:
         """Of the arc that writes piece b after piece a; a is -1 at the start and after byte fallback."""
         if self.model.kind != 2:
             return -self.model.scores[b]
-        w = self.weights.get((a, b))
-        if w is None:
-            if len(self.weights) > 3_000_000:
-                self.weights.clear()
-            x, y = self.model.pieces[a] if a >= 0 else "", self.model.pieces[b]
-            want = [x, y] if x else [y]
-            w = self.weights[a, b] = 0.0 if self.merged(list(x + y)) == want else math.inf
+        if len(self.weights) > self.MOST:
+            self.weights.clear()
+        x, y = self.model.pieces[a] if a >= 0 else "", self.model.pieces[b]
+        w = self.weights[a * self.size + b] = 0.0 if self.merged(list(x + y)) == ([x, y] if x else [y]) else math.inf
         return w
 
     def shortest(self, text: str) -> list[int]:
-        """Ids along the shortest path of a normalised text."""
-        n, trie, weight = len(text), self.trie, self.weight
-        paths: list[dict] = [{} for _ in range(n + 1)]  # by last piece: (weight, position before, piece before, ids)
-        paths[0][-1] = (0.0, -1, -1, ())
+        """Ids along the shortest path of a normalised text. Of the states at a position only the best can go on: under
+        merges each prefix has one path of finite weight, and unigram weights don't look back."""
+        n, trie, weights, size = len(text), self.trie, self.weights, self.size
+        best, last, before = [math.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
         for i in range(n):
-            here = paths[i]
-            if not here:
+            here = best[i]
+            if here == math.inf:
                 continue
-            node, j, known = trie.get(text[i]), i + 1, False
+            a, node, j = last[i], trie.get(text[i]), i + 1
             known = node is not None and "" in node
             while node is not None:
                 b = node.get("")
                 if b is not None:
-                    for a, (w, *_) in here.items():
-                        v = w + weight(a, b)
-                        if v < math.inf and (b not in paths[j] or v < paths[j][b][0]):
-                            paths[j][b] = (v, i, a, (b,))
+                    w = weights.get(a * size + b)
+                    if w is None:
+                        w = self.weight(a, b)
+                    if here + w < best[j]:
+                        best[j], last[j], before[j] = here + w, b, i
                 if j == n:
                     break
                 node = node.get(text[j])
                 j += 1
-            if not known:
-                ids = tuple(self.model.byte_id.get(x, self.model.unknown) for x in text[i].encode()) if self.model.byte_id else (self.model.unknown,)
-                a, (w, *_) = min(here.items(), key=lambda x: x[1][0])
-                if -1 not in paths[i + 1] or w + self.FALLBACK < paths[i + 1][-1][0]:
-                    paths[i + 1][-1] = (w + self.FALLBACK, i, a, ids)
+            if not known and here + self.FALLBACK < best[i + 1]:
+                best[i + 1], last[i + 1], before[i + 1] = here + self.FALLBACK, -1, i
         out: list[int] = []
-        at, last = n, min(paths[n].items(), key=lambda x: x[1][0])[0]
-        while at > 0:
-            _, before, last, ids = paths[at][last]
-            out[:0] = ids
-            at = before
-        return out
+        at = n
+        while at:
+            i = before[at]
+            if last[at] >= 0:
+                out.append(last[at])
+            else:  # read backwards
+                out.extend(self.fallback(text[i])[::-1])
+            at = i
+        return out[::-1]
+
+    def fallback(self, char: str) -> list[int]:
+        byte = self.model.byte_id
+        return [byte.get(x, self.model.unknown) for x in char.encode()] if byte else [self.model.unknown]
 
 
 class Codec:
@@ -239,7 +243,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", drop_text: bool =
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], lists, pa.array(n, pa.int64())], names=[*kept, "ids", "n_ids"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:at]]
-    return src.mapInArrow(run, ", ".join([*fields, "ids array<int>", "n_ids long"]))
+    return arrow(src, run, ", ".join([*fields, "ids array<int>", "n_ids long"]))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -256,7 +260,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(text, pa.string())], names=[*kept, "text"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(kept)]]
-    return src.mapInArrow(run, ", ".join([*fields, "text string"]))
+    return arrow(src, run, ", ".join([*fields, "text string"]))
 
 
 def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,7 +281,7 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(n, pa.int64()), *cols], names=["doc_id", "n_ids", "ids_crc32", "decoded_crc32", "round_trip"])
 
-    return src.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
+    return arrow(src, run, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
 
 
 def op7_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
