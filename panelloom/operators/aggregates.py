@@ -88,12 +88,20 @@ def rare_to_other(df: DataFrame, col: str, least: int, other: str = "other") ->
     return df.join(common, F.col(col) == F.col("__c"), "left").withColumn(col, F.coalesce("__c", F.lit(other))).drop("__c")
 
 
+def edges_below(x: Column, edges: str, most: int) -> Column:
+    """How many of an array's first `most` edges are at or below x, as a sum of comparisons that is compiled."""
+    out = F.lit(0)
+    for i in range(most):
+        out = out + F.when(F.get(edges, F.lit(i)) <= x, 1).otherwise(0)
+    return out
+
+
 def bin_means(df: DataFrame, x: str, y: str, n_bins: int = 10, least: int = 10) -> DataFrame:
     """Mean of y by percentile bins of x (distinct edges, half-open, so the maximum falls out), bins of `least` rows or
     more. The edges are one aggregate, `n_bins` + 1 numbers."""
     edges = df.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)]))).alias("__e"))
     rows = df.join(F.broadcast(edges))
-    b = F.size(F.filter("__e", lambda e: e <= F.col(x))) - 1
+    b = edges_below(F.col(x), "__e", n_bins + 1) - 1
     rows = rows.withColumn("bin", b).where(F.col("bin").between(0, F.size("__e") - 2))
     centre = (F.get("__e", F.col("bin")) + F.get("__e", F.col("bin") + 1)) / 2
     out = rows.groupBy("bin", centre.alias("centre")).agg(F.count("*").alias("n"), F.avg(y).alias("mean"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import edges_below
+
 
 BUCKETS = 64
 
@@ -59,11 +61,10 @@ def mutual_information(df: DataFrame, x: str, y: str, bins: int = 10, least: int
     q = lambda c: F.array_distinct(F.percentile(c, F.array(*[F.lit(i / bins) for i in range(bins + 1)])))
     v = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     edges = v.agg(q(x).alias("__ex"), q(y).alias("__ey"))
-    at = lambda c, e: F.size(F.filter(e, lambda a: a <= F.col(c))) - 1
-    b = v.join(F.broadcast(edges)).groupBy(at(x, "__ex").alias("bx"), at(y, "__ey").alias("by")).agg(F.count("*").alias("n"))  # bins x bins
-    px, py = b.groupBy("bx").agg(F.sum("n").alias("nx")), b.groupBy("by").agg(F.sum("n").alias("ny"))
-    t = b.agg(F.sum("n").alias("nt"))
-    j = b.join(F.broadcast(px), "bx").join(F.broadcast(py), "by").join(F.broadcast(t))
+    at = lambda c, e: edges_below(F.col(c), e, bins + 1) - 1
+    b = v.join(F.broadcast(edges)).groupBy(at(x, "__ex").alias("bx"), at(y, "__ey").alias("by")).agg(F.count("*").alias("n"))
+    over = lambda c: F.sum("n").over(Window.partitionBy(c))  # noqa: E731  (bins + 1) ** 2 rows at most
+    j = b.withColumns({"nx": over("bx"), "ny": over("by"), "nt": over(F.lit(0))})
     mi = F.sum(F.col("n") / F.col("nt") * F.log(F.col("n") * F.col("nt") / (F.col("nx") * F.col("ny"))))
     return j.agg(F.when(F.max("nt") >= least, mi).otherwise(F.lit(0.0)).alias("mi"))
 

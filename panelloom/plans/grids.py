@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import grid as G
 from ..operators import windows as W
+from ..sources import io
 from .registry import GRID, OBS, query, table
 
 STEP = 21_600
@@ -130,9 +131,12 @@ SELECT entity, track, CASE WHEN co = 0 THEN 1 WHEN ca = 0 OR x IS NULL THEN 2 EL
   round(sum(CASE WHEN co = 1 AND ca = 1 AND x IS NOT NULL THEN x ELSE 0 END), 4) AS total FROM c GROUP BY 1, 2, 3"""
 )
 def mask_three_state(spark: SparkSession, d: str) -> DataFrame:
-    """Seen in the cohort, the case, the cell: aggregates joined back, so no window holds a whole cohort."""
+    """Seen in the cohort, the case, the cell: aggregates joined back, so no window holds a whole cohort. The filled grid is
+    kept once for both uses."""
     x = F.when(F.col("entity") % 7 == 0, None).when((F.col("track") == "signup") & (F.col("entity") % 2 == 0), None).otherwise(F.col("value"))
-    rows = _filled(spark, d).withColumns({"x": x, "cohort": F.col("entity") % 2})
+    path = io.scratch(spark, "filled")
+    _filled(spark, d).select("entity", "track", x.alias("x"), (F.col("entity") % 2).alias("cohort")).write.parquet(path)
+    rows = spark.read.parquet(path)
     case = rows.groupBy("cohort", "entity", "track").agg(F.max(F.col("x").isNotNull()).alias("ca"))
     cohort = case.groupBy("cohort", "track").agg(F.max("ca").alias("co"))
     seen = case.join(cohort, ["cohort", "track"])
