@@ -21,7 +21,7 @@ def probe(df: DataFrame, features: list[str], label: str, entity: str, folds: in
     """(fold, ks, auc) of a logistic ("linear") or boosted-tree ("trees") classifier of the 0/1 label. Each fold's scaling
     and model come from the other folds; one pass scores it. Missing features count as 0."""
     rows = with_folds(df, entity, folds).select("fold", F.col(label).cast("double").alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
-    rows = VectorAssembler(inputCols=features, outputCol="raw").transform(rows).select("fold", "y", "raw").persist()
+    rows = VectorAssembler(inputCols=features, outputCol="raw").transform(rows).select("fold", "y", "raw")
     out = None
     for k in range(folds):
         train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
