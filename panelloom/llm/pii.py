@@ -36,7 +36,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![0-9A-Za-z])(?=[A-Za-z]{0,40}[0-9])(?=[0-9]{0,40}[A-Za-z])[0-9A-Za-z]{10,80}+(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[0-9A-Za-z]{10,}+",
     "local_phone": r"(?<![0-9+])\(?[0-9]{3}\)?[-.\x20][0-9]{3}[-.\x20][0-9]{4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])",
@@ -107,7 +107,7 @@ def _examples(n: int, seed: int = 11) -> tuple[dict[str, np.ndarray], dict[str,
         word = pick(_WORDS[lead[kind]])
         before = pick((f"{word}=", f"{word} = \"", f"{word}: ", f"my {word} is ", f"{word} ", f"{word}: '"))
         if kind == "secret":
-            x = pick((chars(hexs, 16, 64), chars(dig + low + up, 12, 48)))
+            x = pick((chars(hexs, 16, 64), chars(dig + low + up, 12, 48), chars(hexs, 65, 160), chars(dig + low + up, 49, 160)) if rng.random() < 0.3 else (chars(hexs, 16, 64), chars(dig + low + up, 12, 48)))
             before = before if rng.random() < 0.75 or len(x) < 30 else ""
         elif kind == "local_phone":
             s = pick("-. ")
@@ -122,6 +122,8 @@ def _examples(n: int, seed: int = 11) -> tuple[dict[str, np.ndarray], dict[str,
         before = pick(("", "version ", "item ", "see ", "no. ", "in ", "model ", "id=", "ref: "))
         if kind == "secret":
             x = pick((chars(low, 8, 20) + chars(dig, 1, 4), chars(up, 1, 4) + chars(dig, 6, 12), "the" + chars(low, 6, 14) + chars(dig, 1, 2), chars(dig, 8, 12) + chars(low, 2, 3)))
+            if rng.random() < 0.15:
+                x = pick((chars(low, 21, 160) + chars(dig, 1, 4), chars(dig, 21, 160) + chars(low, 1, 3)))
         elif kind == "local_phone":
             before, x = pick(("isbn ", "sum ", "total ", "rows ", "part ")), f"{chars(dig, 3, 3)} {chars(dig, 3, 3)} {chars(dig, 4, 4)}"
         elif kind == "national_id":

@@ -82,3 +82,20 @@ def test_redaction(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     assert P.digest(docs).count() == 0 and P.redact(docs).count() == 0
+
+
+def test_long_secrets(spark):
+    sha = hashlib.sha512(b"x").hexdigest()
+    tokens = ["a1b2" * 21, sha, "q" * 41 + "7Zk3" * 9, "5" * 41 + "k7Zq" * 9, sha * 40]
+    for x in tokens:
+        assert [m[0] for m in re.finditer(P.PATTERNS["secret"], f"key {x}, {'a' * 90} {'1' * 90}")] == [x]
+    docs = spark.createDataFrame([(i, f"api_key={x} ok", 0) for i, x in enumerate(tokens)], "doc_id long, text string, n_chars long")
+    spans = {r["doc_id"]: r["spans"].split(",") for r in P.digest(docs).collect()}
+    assert all(f"secret:8:{8 + len(x)}" in spans[i] for i, x in enumerate(tokens))
+    assert all(r["text"] == "api_key=<SECRET> ok" for r in P.redact(docs).where("doc_id in (0, 1, 4)").collect())
+
+
+def test_long_runs_take_linear_time(spark):
+    texts = ["a" * 300000, "a" * 300000 + "1", "1" * 300000 + "a", "a1" * 150000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(P.digest(docs).collect()) == len(texts)
