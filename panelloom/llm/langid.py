@@ -3,8 +3,8 @@
 `fit` counts hashed byte trigrams of words (A-Z lowered, everything but letters and non-ASCII bytes is a word end) for each
 language over a bounded sample of labelled rows. `mixtures` cuts each whole text into segments of `span` words, takes each
 segment's log-likelihood under every language, and estimates the languages' proportions by expectation-maximisation over
-the segments. The language set is grown in the order of the proportions as long as the likelihood gains more than the
-penalty of a further language; the proportions are then those of the chosen set.
+the segments. Of the sets that are grown in the order of the proportions, up to all languages, the one with the largest
+likelihood less the penalty for its size is chosen, for each text alone; the proportions are those of that set.
 
 Null texts, and texts without a letter, have the language `und`, score 0 and an empty mixture. Ties go to the language that
 sorts first. With no labelled row at all every text is `und`. A text that is too short to tell still gets the likeliest
@@ -38,6 +38,7 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     c = _FOLD[data] if len(data) else data
     a = np.concatenate(([32, 32], c)).astype(np.uint32)
     key = (a[:-2] << np.uint32(16)) | (a[1:-1] << np.uint32(8)) | a[2:]
+    key[off[:-1]] = np.uint32(0x202000) | c[off[:-1]]  # not the letter that ends the text before
     bucket = ((key * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
     letter = c != 32
     before = np.concatenate(([False], letter[:-1]))
@@ -118,22 +119,24 @@ def estimate(data: np.ndarray, off: np.ndarray, model: dict, span: int = 8, roun
     seg_doc = np.repeat(np.arange(len(has)), n_seg[has])
     doc_start = np.cumsum(n_seg[has]) - n_seg[has]
     bucket[~counts] = 1 << BITS
-    ll = np.add.reduceat(model["table"][bucket], start, axis=0).astype(np.float64)
+    ll = np.add.reduceat(model["table"][bucket], start, axis=0, dtype=np.float64)
     w = np.add.reduceat(counts, start, dtype=np.float64)
     base = np.ones((len(has), langs), dtype=bool)
     pi, _ = _em(ll, w, base, seg_doc, doc_start, rounds)
     rank = np.argsort(np.argsort(-pi, axis=1, kind="stable"), axis=1, kind="stable")
-    best, score = None, None
-    for k in range(1, min(langs, 4) + 1):
-        p, like = _em(ll, w, rank < k, seg_doc, doc_start, rounds if k > 1 else 0)
-        value = like - penalty * (k - 1) * np.log(np.add.reduceat(w, doc_start) + 1)
-        if best is None:
-            best, score = p, value
-        else:
-            better = value > score
-            best, score = np.where(better[:, None], p, best), np.maximum(value, score)
-            if not better.any():
-                break
+    weight = np.add.reduceat(w, doc_start)
+    price = penalty * np.log(weight + 1)
+    most = np.add.reduceat(ll.max(1), doc_start)  # no set of languages has a larger likelihood
+    best, score = _em(ll, w, rank < 1, seg_doc, doc_start, 0)
+    for k in range(2, langs + 1):
+        on = most - price * (k - 1) > score
+        if not on.any():
+            break
+        seg = on[seg_doc]
+        p, like = _em(ll[seg], w[seg], rank[on] < k, (np.cumsum(on) - 1)[seg_doc[seg]], np.cumsum(n_seg[has][on]) - n_seg[has][on], rounds)
+        value = like - price[on] * (k - 1)
+        at = np.flatnonzero(on)[value > score[on]]
+        best[at], score[at] = p[value > score[on]], value[value > score[on]]
     out[has] = best
     return out
 

@@ -35,3 +35,38 @@ def test_no_labels(spark):
     docs = spark.createDataFrame([(1, EN), (2, "")], "doc_id long, text string")
     assert [r["lang_pred"] for r in L.mixtures(docs, model).collect()] == ["und", "und"]
     assert [r["doc_id"] for r in L.keep_identified(docs, model).collect()] == [1]
+
+
+def _six():
+    """Six languages with letters of their own, in which every trigram of another language is unlikely."""
+    langs, table = [f"l{k}" for k in range(6)], L.np.full(((1 << L.BITS) + 1, 6), -14.0, L.np.float32)
+    table[-1] = 0
+    words = ["".join(chr(97 + 4 * k + (i + j) % 4) for j in range(6)) for k in range(6) for i in range(4)]
+    words = [words[4 * k : 4 * k + 4] for k in range(6)]
+    for k in range(6):
+        data = L.np.frombuffer(" ".join(a + " " + b for a in words[k] for b in words[k]).encode(), L.np.uint8)
+        bucket, counts, _ = L.grams(data, L.np.array([0, len(data)]))
+        table[bucket[counts], k] = -5.0
+    return {"langs": langs, "table": table}, [" ".join((words[k] * 100)[:320]) for k in range(6)]
+
+
+def test_as_many_languages_as_a_text_has():
+    model, texts = _six()
+    for n in range(1, 7):
+        mix = dict(L._predict(pa.array([" ".join(texts[:n])]), model)[3][0].as_py())
+        assert set(mix) == set(model["langs"][:n]) and all(abs(x - 1 / n) < 0.01 for x in mix.values())
+
+
+def test_batches_do_not_matter():
+    """A text for which three languages beat one and two do not gets three, whatever stands beside it."""
+    table = L.np.full(((1 << L.BITS) + 1, 5), -9.0, L.np.float32)
+    table += L.np.random.default_rng(4).normal(0, 1.5, table.shape).astype(L.np.float32)
+    table[-1] = 0
+    model = {"langs": list("abcde"), "table": table}
+    rng = L.np.random.default_rng(5)
+    word = lambda: "".join(chr(97 + x) for x in rng.integers(0, 26, 5))
+    texts = [" ".join(word() for _ in range(int(rng.integers(1, 400)))) for _ in range(150)]
+    many = L._predict(pa.array(texts), model)
+    for i, t in enumerate(texts):
+        one = L._predict(pa.array([t]), model)
+        assert one[0][0] == many[0][i] and set(dict(one[3][0].as_py())) == set(dict(many[3][i].as_py())) and abs(one[1][0].as_py() - many[1][i].as_py()) < 1e-9
