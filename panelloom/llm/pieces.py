@@ -1,8 +1,9 @@
 """Encoding by distinct chunks: texts are cut at positions where no token can cross, each distinct chunk is encoded once a
 worker, and the ids of whole texts are gathered from those of their chunks.
 
-Chunks are told apart by a 64-bit hash and their length. The store is emptied when it has over `MOST` chunks, so memory is
-bounded whatever the vocabulary of the corpus.
+A 64-bit hash finds a chunk in the store, and its bytes decide: a chunk whose bytes differ from those kept under its hash is
+encoded by itself. The store is emptied when it has over `MOST` chunks or `MOST_BYTES` of them, so memory is bounded whatever
+the vocabulary of the corpus.
 """
 
 from __future__ import annotations
@@ -14,13 +15,31 @@ import numpy as np
 from . import _text as T
 
 MOST = 800_000
+MOST_BYTES = 64 << 20
+
+
+def _room(held: np.ndarray, need: int) -> np.ndarray:
+    """`held`, or a copy with room for `need` values."""
+    if need <= len(held):
+        return held
+    out = np.zeros(max(need, 2 * len(held)), held.dtype)
+    out[: len(held)] = held
+    return out
+
+
+def differing(x: np.ndarray, x_start: np.ndarray, y: np.ndarray, y_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of `size` bytes at x_start in x and at y_start in y differ."""
+    out = np.zeros(len(size), dtype=bool)
+    off = np.flatnonzero(x[T.ranges(x_start, size)] != y[T.ranges(y_start, size)])
+    out[np.searchsorted(np.cumsum(size), off, side="right")] = True
+    return out
 
 
 class ChunkStore:
-    """Sorted chunk hashes with the ids of each chunk. New chunks go to a small sorted tail, merged as it grows."""
+    """Sorted chunk hashes with the bytes and the ids of each chunk."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list], most: int = MOST):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[bytes]], list], most: int = MOST, most_bytes: int = MOST_BYTES):
+        self.encode, self.most, self.most_bytes = encode, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
@@ -28,6 +47,8 @@ class ChunkStore:
         self.slot = np.zeros(0, np.int64)
         self.first = np.zeros(1, np.int64)  # of each slot, in ids; the last is the end
         self.ids = np.zeros(1 << 12, np.int32)
+        self.at = np.zeros(1, np.int64)  # of each slot, in raw; the last is the end
+        self.raw = np.zeros(1 << 12, np.uint8)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -36,15 +57,21 @@ class ChunkStore:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == keys, self.slot[at], -1)
 
-    def _add(self, keys: np.ndarray, chunks: list[bytes]) -> None:
-        got = self.encode(chunks)
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        end = self.first[-1] + np.cumsum(size)
-        while end[-1] > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.int32)))
-        self.ids[self.first[-1] : end[-1]] = np.concatenate([np.asarray(x, dtype=np.int32) for x in got]) if size.any() else []
-        slot = np.arange(len(got)) + len(self.first) - 1
-        self.first = np.concatenate((self.first, end))
+    def _encoded(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of chunks, one by one."""
+        raw = data.tobytes()
+        got = self.encode([raw[a : a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)])
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        return np.concatenate([np.asarray(x, dtype=np.int32) for x in got]) if n.any() else np.zeros(0, np.int32), n
+
+    def _add(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        ids, n = self._encoded(data, start, size)
+        slot = np.arange(len(keys)) + len(self.first) - 1
+        end, cut = self.first[-1] + np.cumsum(n), self.at[-1] + np.cumsum(size)
+        self.ids, self.raw = _room(self.ids, int(end[-1])), _room(self.raw, int(cut[-1]))
+        self.ids[self.first[-1] : end[-1]] = ids
+        self.raw[self.at[-1] : cut[-1]] = data[T.ranges(start, size)]
+        self.first, self.at = np.concatenate((self.first, end)), np.concatenate((self.at, cut))
         at = np.searchsorted(self.keys, keys)
         self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, slot)
 
@@ -52,21 +79,29 @@ class ChunkStore:
         """(ids, number of ids of each span) of the spans data[start:end]."""
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        size = end - start
         keys, back = np.unique(T.span_hashes(data, start, end), return_inverse=True)
+        one = np.empty(len(keys), np.int64)
+        one[back] = np.arange(len(back))
         slot = self._find(keys)
         new = np.flatnonzero(slot < 0)
         if len(new):
-            if len(self.keys) + len(new) > self.most:
+            if len(self.keys) + len(new) > self.most or self.at[-1] + int(size[one[new]].sum()) > self.most_bytes:
                 self.clear()
                 new = np.arange(len(keys))
-            one = np.empty(len(keys), np.int64)
-            one[back] = np.arange(len(back))
-            raw = data.tobytes()
-            self._add(keys[new], [raw[a:b] for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
+            self._add(keys[new], data, start[one[new]], size[one[new]])
             slot = self._find(keys)
-        first = self.first[slot][back]
-        size = self.first[slot + 1][back] - first
-        return self.ids[T.ranges(first, size)], size
+        own = slot[back]
+        odd = self.at[own + 1] - self.at[own] != size
+        like = np.flatnonzero(~odd)
+        odd[like] = differing(data, start[like], self.raw, self.at[own[like]], size[like])
+        first, n = self.first[own], self.first[own + 1] - self.first[own]
+        odd = np.flatnonzero(odd)
+        if not len(odd):
+            return self.ids[T.ranges(first, n)], n
+        ids, n[odd] = self._encoded(data, start[odd], size[odd])
+        first[odd] = self.first[-1] + np.cumsum(n[odd]) - n[odd]
+        return np.concatenate((self.ids[: self.first[-1]], ids))[T.ranges(first, n)], n
 
 
 def spans_of(data: np.ndarray, off: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
