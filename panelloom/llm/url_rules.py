@@ -1,14 +1,15 @@
 """URL rules indexed by their rarest literal token.
 
 A rule is a host and path prefix ("example.com/de/": the host and all its subdomains, paths that start so) or a pattern
-(a regular expression over the whole lower-cased url, with literal runs). Every rule has literal tokens: the runs of a-z and
-0-9 of its host, or those that its pattern must contain whole. The urls' own tokens are counted over all rows, and each
-rule is filed under its rarest token. A url's tokens fetch the rules filed under them, and only those run their
-regular expressions; rules without a token are always tried.
+(a regular expression over the whole url with A-Z lowered). A rule's literal tokens are the runs of a-z and 0-9 that every url
+it fits has as whole runs: those of its host and path, or those that are derived from its expression. The urls' own tokens are
+counted over all rows, and each rule is filed under its rarest token. A url's tokens fetch the rules filed under them, and
+only those run their regular expressions; rules without a token are always tried.
 
 Of the fitting host rules the longest (host and path) decides; equally long ones: the first in the list. Without one, a
 url is blocked if a pattern fits it, else allowed. Null urls and urls without "://" have an empty host and path, which no
-host rule fits; patterns see a null url as empty. Repeated rows and ids are judged row by row.
+host rule fits; patterns see a null url as empty. Repeated rows and ids are judged row by row. Line feeds and other control
+characters are characters of a url like any other.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from re import _constants as C
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from ._common import arrow, table
 
 _TOKEN = re.compile(r"[a-z0-9]+")
+_ALNUM = frozenset(map(ord, "abcdefghijklmnopqrstuvwxyz0123456789"))
 
 
 @dataclass(frozen=True)
@@ -36,15 +40,66 @@ class Rule:
 
 
 def host_rule(text: str, verdict: str) -> Rule:
-    """`host/path`: over "host\\npath" the rule is an anchored expression, so one machinery serves both kinds."""
+    """`host/path`: over host and path, written together, the rule is an anchored expression, so one machinery serves both
+    kinds. A host has no "/", and a path that isn't empty starts with one."""
     host, slash, path = text.partition("/")
     host = host.lower()
-    return Rule(text, verdict, rf"\A(?:[^\n]*\.)?{re.escape(host)}\n{re.escape(slash + path)}", tuple(_TOKEN.findall(host)), len(text))
-
+    end = re.escape(slash + path) if slash else r"(?:/|\Z)"
+    whole = _TOKEN.findall(re.sub(r"[a-z0-9]+\Z", "", path.lower()))  # a run at the end may go on in the url
+    return Rule(text, verdict, rf"\A(?:[^/]*\.)?{re.escape(host)}{end}", (*_TOKEN.findall(host), *whole), len(text))
+
+
+def pattern_rule(regex: str, verdict: str = "block") -> Rule:
+    return Rule(regex, verdict, regex, literal_tokens(regex), 0)
+
+
+def _apart(nodes: list, first: bool) -> bool:
+    """Whether whatever the nodes match starts (or ends) with a character that is in no token. Nothing at all doesn't count."""
+    if not nodes:
+        return False
+    op, arg = nodes[0 if first else -1]
+    rest = nodes[1:] if first else nodes[:-1]
+    if op is C.LITERAL:
+        return arg not in _ALNUM
+    if op is C.IN:
+        return all(k is C.LITERAL and x not in _ALNUM for k, x in arg)
+    if op is C.SUBPATTERN:
+        return _apart(list(arg[3]), first)
+    if op is C.BRANCH:
+        return all(_apart(list(x), first) for x in arg[1])
+    if op in (C.MAX_REPEAT, C.MIN_REPEAT):
+        return _apart(list(arg[2]), first) and (arg[0] > 0 or _apart(rest, first))
+    return op is C.AT and arg in ((C.AT_BEGINNING, C.AT_BEGINNING_STRING) if not first else (C.AT_END_STRING,))
+
+
+def literal_tokens(regex: str) -> tuple[str, ...]:
+    """Tokens that every text which the expression fits has as whole runs of a-z and 0-9: runs of literals between
+    characters that are in no token. None where letters' case is ignored or inline flags are set."""
+    tree = _parser.parse(regex)
+    if tree.state.flags & ~re.UNICODE:
+        return ()
+    out: set[str] = set()
+
+    def walk(nodes: list) -> None:
+        k = 0
+        while k < len(nodes):
+            op, arg = nodes[k]
+            if op is C.LITERAL and arg in _ALNUM:
+                end = k
+                while end < len(nodes) and nodes[end][0] is C.LITERAL and nodes[end][1] in _ALNUM:
+                    end += 1
+                if _apart(nodes[:k], False) and _apart(nodes[end:], True):
+                    out.add("".join(chr(x) for _, x in nodes[k:end]))
+                k = end
+                continue
+            if op is C.SUBPATTERN:
+                walk(list(arg[3]))
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] > 0:
+                walk(list(arg[2]))
+            k += 1
 
-def pattern_rule(regex: str, tokens: tuple[str, ...], verdict: str = "block") -> Rule:
-    """`tokens` are whole url tokens without which the expression can't fit."""
-    return Rule(regex, verdict, regex, tokens, 0)
+    walk(list(tree))
+    return tuple(sorted(out))
 
 
 #: The rules of the query.
@@ -55,11 +110,11 @@ HOST_RULES = (
     host_rule("org/fr/", "allow"),
 )
 PATTERN_RULES = (
-    pattern_rule(r"://(?:[^/?#]*\.)?spam-farm\.", ("spam", "farm")),
-    pattern_rule(r"://(?:[^/?#]*\.)?cheap-pills\.", ("cheap", "pills")),
-    pattern_rule(r"://(?:[^/?#]*[.-])?casino[.-]", ("casino",)),
-    pattern_rule(r"[?&]adurl=", ("adurl",)),
-    pattern_rule(r"://(?:[^/?#]*\.)?ads?\.doubleclick\.", ("doubleclick",)),
+    pattern_rule(r"://(?:[^/?#]*\.)?spam-farm\."),
+    pattern_rule(r"://(?:[^/?#]*\.)?cheap-pills\."),
+    pattern_rule(r"://(?:[^/?#]*[.-])?casino[.-]"),
+    pattern_rule(r"[?&]adurl="),
+    pattern_rule(r"://(?:[^/?#]*\.)?ads?\.doubleclick\."),
 )
 
 
@@ -96,7 +151,7 @@ class Index:
     def judge(self, url: str | None) -> tuple[str, str, str | None, str]:
         """(host, path, deciding host rule, verdict)."""
         host, path = split_url(url)
-        low, place = (url or "").translate(_AZ), f"{host}\n{path}"
+        low, place = (url or "").translate(_AZ), host + path
         near = [*self.always, *(k for t in url_tokens(url) for k in self.filed.get(t, ()))]
         best, hit = None, None
         for k in sorted(set(near)):
@@ -113,9 +168,12 @@ class Index:
 def token_counts(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url") -> dict[str, int]:
     """For each token of the rules, the urls that have it: one pass over all urls, a row a rule token at most back."""
     wanted = sorted({t for r in rules for t in r.tokens})
+    if not wanted:
+        return {}
+    listed = pages.sparkSession.createDataFrame([(t,) for t in wanted], "t string")  # the caller's rules
     tokens = F.array_distinct(F.split(F.lower(F.coalesce(F.col(url_col), F.lit(""))), "[^a-z0-9]+"))
-    both = F.array_intersect(tokens, F.array(*map(F.lit, wanted))) if wanted else F.array().cast("array<string>")
-    return {r["t"]: r["n"] for r in pages.select(F.explode(both).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    found = pages.select(F.explode(tokens).alias("t")).join(F.broadcast(listed), "t").groupBy("t").agg(F.count("*").alias("n"))
+    return {r["t"]: r["n"] for r in found.collect()}
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = HOST_RULES + PATTERN_RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -155,7 +213,8 @@ m AS (
   SELECT page_id, max_by(name, length(name)) AS rule, max_by(verdict, length(name)) AS v
   FROM p, rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
 )
-SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.v, CASE WHEN regexp_matches(lower(p.url),
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.v, CASE WHEN regexp_matches(
+    translate(p.url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '://([^/?#]*\.)?spam-farm\.|://([^/?#]*\.)?cheap-pills\.|://([^/?#]*[.-])?casino[.-]|[?&]adurl=|://([^/?#]*\.)?ads?\.doubleclick\.')
     THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN m USING (page_id)
