@@ -146,13 +146,14 @@ def _simple(conds: list[tuple[int, str, float]]) -> tuple:
     return tuple(sorted((f, op, t) for (f, op), t in best.items()))
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, rounds: int = 12, depth: int = 3, most: int = 160) -> RuleModel:
+def fit_rules(x: np.ndarray, y: np.ndarray, rounds: int = 12, depth: int = 3) -> RuleModel:
+    """Every path of the trees is a rule: rounds * (2 ** (depth + 1) - 2) at most."""
     if not len(y):
         return RuleModel(0.0, ())
     if y.min() == y.max():
         return RuleModel(4.0 if y[0] else -4.0, ())
     _, trees = G.boost(x, y, rounds=rounds, depth=depth, rate=0.4, least=max(5, len(y) // 400))
-    rules = sorted({_simple(p) for t in trees for p in t.paths()}, key=lambda c: (len(c), c))[:most]
+    rules = sorted({_simple(p) for t in trees for p in t.paths()}, key=lambda c: (len(c), c))
     if not rules:
         p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
         return RuleModel(float(np.log(p / (1 - p))), ())
