@@ -98,21 +98,25 @@ def words_one_space(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.n
     return out, start, end, np.searchsorted(start, at[:-1]), np.searchsorted(start, at[1:])
 
 
-def codes(data: np.ndarray, off: np.ndarray, size: int = 3, seed: int = 42) -> np.ndarray:
-    """The fingerprint of each text."""
+def shingles(data: np.ndarray, off: np.ndarray, size: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, number of each text) of the word shingles, repeats included; a shorter text is one shingle."""
     out, ws, we, lo, hi = words_one_space(data, off)
     n_words = hi - lo
-    n_sh = np.where(n_words >= size, n_words - size + 1, np.minimum(n_words, 1))
-    first = T.ranges(lo, n_sh)
-    last = first + np.repeat(np.where(n_words >= size, size - 1, n_words - 1), n_sh)
+    n = np.where(n_words >= size, n_words - size + 1, np.minimum(n_words, 1))
+    first = T.ranges(lo, n)
+    last = first + np.repeat(np.where(n_words >= size, size - 1, n_words - 1), n)
     s = ws[first]
-    h = xxh64_spans(out, s, we[last] - s, seed)
+    return xxh64_spans(out, s, we[last] - s, seed), n
+
+
+def codes_of(h: np.ndarray, n_sh: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text from its shingles' hashes."""
     # Counts of bits: eight planes with a byte for each bit, summed over 255 shingles at most, then over the text.
     blocks = -(-n_sh // 255)
     sh_at = np.cumsum(n_sh) - n_sh
     b_start = np.repeat(sh_at, blocks) + 255 * T.ranges(np.zeros(len(blocks), np.int64), blocks)
     b_at = np.cumsum(blocks) - blocks
-    code = np.zeros(len(lo), dtype=np.uint64)
+    code = np.zeros(len(n_sh), dtype=np.uint64)
     if not len(h):
         return code
     for k in range(8):
@@ -124,6 +128,11 @@ def codes(data: np.ndarray, off: np.ndarray, size: int = 3, seed: int = 42) -> n
     return code
 
 
+def codes(data: np.ndarray, off: np.ndarray, size: int = 3, seed: int = 42) -> np.ndarray:
+    """The fingerprint of each text."""
+    return codes_of(*shingles(data, off, size, seed))
+
+
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): fp is the code as a signed long."""
 
@@ -177,22 +186,29 @@ class GrayIndex:
         levels[-1].append(levels[-1][1])
         self.levels = levels
 
-    def pairs(self, radius: int, block: int = 1 << 13) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions (i, j), i < j, of linked codes, a block of queries at a time."""
+    def pairs(self, radius: int, block: int = 1 << 13, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (i, j), i < j, of linked codes, a block of queries at a time. A search that has over `most` nodes open is
+        halved, so memory is bounded whatever the codes."""
         top = len(self.levels) - 1
         for lo in range(0, len(self.code), block):
             q = np.arange(lo, min(lo + block, len(self.code)))
-            node, acc = self.roots[q], np.zeros(len(q), np.int64)
-            for k in range(top, -1, -1):
+            open_ = [(top, q, self.roots[q], np.zeros(len(q), np.int64))]
+            while open_:
+                k, q, node, acc = open_.pop()
+                if len(q) > most:
+                    half = len(q) // 2
+                    open_ += [(k, q[half:], node[half:], acc[half:]), (k, q[:half], node[:half], acc[:half])]
+                    continue
                 pat, _, first, count, own = self.levels[k]
                 acc = acc + np.bitwise_count((self.code[q] ^ pat[node]) & own[node])
                 on = acc <= radius
                 q, node, acc = q[on], node[on], acc[on]
                 if k:
                     c = count[node]
-                    q, acc, node = np.repeat(q, c), np.repeat(acc, c), T.ranges(first[node], c)
-            on = q < node
-            yield q[on], node[on]
+                    open_.append((k - 1, np.repeat(q, c), T.ranges(first[node], c), np.repeat(acc, c)))
+                    continue
+                on = q < node
+                yield q[on], node[on]
 
 
 def forest(code: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,6 +265,7 @@ def linked_codes(reps: DataFrame, scratch: Scratch, radius: int = 2, bucket: int
         below = [(m, c) for m in masks for c in _split(m, parts) if c != m]
         tree = reps.sparkSession.createDataFrame([(_signed(m), _signed(c)) for m, c in below], "mask long, next long")
         keyed = keyed.join(hot, ["mask", "part"], "left_semi").join(F.broadcast(tree), "mask").select("fp", "rep", F.col("next").alias("mask"))
+        keyed = scratch.keep(keyed, "keyed")  # the next level starts here
         masks = [c for _, c in below]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
