@@ -2,17 +2,18 @@
 
 Items are short and documents long, so the Jaccard similarity of a document and an item it contains is near zero, and a
 banded signature of whole documents would miss about a quarter of the contained items. The search therefore keeps the
-MinHash on the items' side. Items are partitioned by their number of distinct shingles; a partition of items with n
-shingles has a bottom-k sketch of k = n - ceil(threshold * n) + 1 hashes. A document that holds `threshold` of an item's
-shingles misses fewer than k of them, so it holds one of the k smallest at least: every contained item is a candidate, at
-any length of the document. Candidates are verified by the exact words of their shingles.
+MinHash on the items' side. Items are partitioned by their number of shingles, each partition up to `STEP_UP` times as large
+as the one before; a partition of items with n shingles at most has bottom-k sketches of k = n - ceil(threshold * n) + 1
+hashes. A document that holds `threshold` of an item's shingles misses fewer than k of them, so it holds one of the k smallest
+at least: every contained item is a candidate, at any length of the document. Candidates are verified by the exact words of
+their shingles.
 
 Words are the runs of letters and digits of the lower-cased text; a shingle is `size` words, or all words of a shorter
 item (so that short items are found inside texts, too). Items without a word match nothing. Null texts count as empty;
 repeated rows give repeated results; a null id is kept. Extra columns are ignored.
 
-The items' sketches and shingles are sent to the executors only up to `max_items_bytes`, which is checked; beyond it the
-same search runs in pieces of the item table, each within the bound.
+The items' texts and sketches are sent to the executors only up to `max_items_bytes`, reckoned from what they take in memory;
+beyond it the same search runs in pieces of the item table, each within the bound and each one pass over the documents.
 """
 
 from __future__ import annotations
@@ -110,29 +111,48 @@ def hash_shingle(words: tuple[str, ...]) -> int:
     return int(shingle_hashes(T.span_hashes(d, o[:-1], o[1:]), len(words))[0])
 
 
+STEP_UP = 1.25
+
+
+def partition_of(n: np.ndarray) -> np.ndarray:
+    """The largest number of shingles of the partition that items with n shingles are in."""
+    at = np.ceil(np.log(np.maximum(n, 1)) / math.log(STEP_UP) - 1e-9)
+    return np.maximum(np.floor(STEP_UP**at + 1e-9).astype(np.int64), n)
+
+
+def sketch_length(n: np.ndarray, threshold: float) -> np.ndarray:
+    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+
+
 class Sketches:
-    """The items' bottom-k sketches: by shingle size, sorted hashes and the items that each belongs to."""
+    """The items' bottom-k sketches: by words a shingle, sorted hashes and the items that each belongs to."""
 
     def __init__(self, items: list[tuple[int, str]], size: int, threshold: float):
-        self.threshold = threshold
-        self.items: list[tuple[int, int, set]] = []
-        by: dict[int, dict[int, list[int]]] = {}
-        for item_id, text in items:
-            words = words_of(text)
-            if not words:
-                continue
-            n = min(size, len(words))
-            sh = shingles_of(words, n)
-            need = math.ceil(threshold * len(sh) - 1e-9)
-            k = len(sh) - need + 1
-            for h in sorted(map(hash_shingle, sh))[:k]:
-                by.setdefault(n, {}).setdefault(h, []).append(len(self.items))
-            self.items.append((item_id, n, sh))
-        self.by = {n: (np.array(sorted(x), dtype=np.uint64), [x[h] for h in sorted(x)]) for n, x in by.items()}
+        self.threshold, self.items = threshold, items
+        data, off = T.buffers(pa.array([t for _, t in items], pa.large_string()))
+        h, lo, hi = word_hashes(data, off)
+        n_words = hi - lo
+        self.words = np.minimum(n_words, size)  # of a shingle, 0 for items without a word
+        self.by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.words[self.words > 0]).tolist():
+            own = np.flatnonzero(self.words == w)
+            n = n_words[own] - w + 1  # repeats included: a longer sketch at most
+            sh = shingle_hashes(h, w)[T.ranges(lo[own], n)]
+            item = np.repeat(own, n)
+            order = np.lexsort((sh, item))
+            sh, item = sh[order], item[order]
+            new = np.concatenate(([True], (sh[1:] != sh[:-1]) | (item[1:] != item[:-1])))
+            sh, item = sh[new], item[new]
+            rank = np.arange(len(sh)) - np.searchsorted(item, item)
+            keep = rank < sketch_length(partition_of(n), threshold)[np.searchsorted(own, item)]
+            order = np.argsort(sh[keep], kind="stable")
+            keys, first = np.unique(sh[keep][order], return_index=True)
+            self.by[w] = keys, np.append(first, keep.sum()).astype(np.int64), item[keep][order]
         self.tops: dict[int, np.ndarray] = {}
+        self.sets: dict[int, set] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"tops": {}}
+        return self.__dict__ | {"tops": {}, "sets": {}}
 
     def seen(self, n: int) -> np.ndarray:
         """For the 24 highest bits of a hash, whether a sketch of this shingle size has them; made once a worker."""
@@ -145,7 +165,7 @@ class Sketches:
         """Text index to the positions of candidate items."""
         found: dict[int, set[int]] = {}
         h, lo, hi = word_hashes(data, off)
-        for n, (keys, owners) in self.by.items():
+        for n, (keys, first, owners) in self.by.items():
             sh = shingle_hashes(h, n)
             hits = np.flatnonzero(self.seen(n)[(sh >> np.uint64(40)).astype(np.int64)])
             if not len(hits):
@@ -157,27 +177,38 @@ class Sketches:
             doc = np.searchsorted(lo, hits, side="right") - 1
             inside = hits + n <= hi[doc]
             for d, a in set(zip(doc[inside].tolist(), at[inside].tolist(), strict=True)):
-                found.setdefault(d, set()).update(owners[a])
+                found.setdefault(d, set()).update(owners[first[a] : first[a + 1]].tolist())
         return found
 
+    def _set(self, i: int) -> set:
+        if i not in self.sets:
+            if len(self.sets) >= 10_000:
+                self.sets.clear()
+            self.sets[i] = shingles_of(words_of(self.items[i][1]), int(self.words[i]))
+        return self.sets[i]
+
     def verify(self, text: str, items: set[int]) -> Iterator[tuple[int, int, int]]:
         """(item_id, shingles of the item, those in the text) of the candidates that reach the threshold."""
         words = words_of(text)
         made: dict[int, set] = {}
         for i in sorted(items):
-            item_id, n, sh = self.items[i]
+            n = int(self.words[i])
+            if not n:
+                continue
             if n not in made:
                 made[n] = shingles_of(words, n)
+            sh = self._set(i)
             common = len(sh & made[n])
             if common >= self.threshold * len(sh) - 1e-9:
-                yield item_id, len(sh), common
+                yield self.items[i][0], len(sh), common
 
 
 def _pieces(items: DataFrame, id_col: str, text_col: str, bound: int) -> Iterator[list[tuple[int, str]]]:
-    """The item table in pieces whose texts take `bound` bytes at most (one larger text: a piece of its own)."""
+    """The item table in pieces that take `bound` bytes at most with their sketches (one larger text: a piece of its own)."""
     piece, held = [], 0
     for r in items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
-        n = sys.getsizeof(r["t"] or "")
+        text = r["t"] or ""
+        n = 200 + 2 * sys.getsizeof(text) + 24 * (text.count(" ") // 2)  # text, and hash, owner and bounds of each sketch entry
         if piece and held + n > bound:
             yield piece
             piece, held = [], 0
@@ -192,7 +223,7 @@ def contained_items(
     items: DataFrame,
     size: int = 5,
     threshold: float = 0.8,
-    max_items_bytes: int = 4 << 20,
+    max_items_bytes: int = 64 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -228,7 +259,7 @@ def decontaminate(
     items: DataFrame,
     size: int = 5,
     threshold: float = 0.8,
-    max_items_bytes: int = 4 << 20,
+    max_items_bytes: int = 64 << 20,
     text_col: str = "text",
 ) -> DataFrame:
     """The rows of `docs` that contain no item, with all their columns; one pass and no join for each piece of items."""
