@@ -70,6 +70,67 @@ def test_sql_scores_equal_numpy_scores(spark):
         assert ((a, P.KINDS.index("secret"), z) in [(s["start"], s["kind"], s["end"]) for s in spans]) == (score >= least)
 
 
+def test_held_out_precision_and_recall():
+    """Examples that neither the trees nor the thresholds have seen; half are look-alikes."""
+    xs, ys = P._examples(900, seed=99)
+    for kind, (bias, trees, least) in P.fit().items():
+        on = bias + sum(t.predict(xs[kind]) for t in trees) >= least
+        assert ys[kind][on].mean() > 0.95 and on[ys[kind] == 1].mean() > 0.95, kind
+
+
+REFUSED = [
+    "git commit 3f2a9c01d4e58b7766aa0f1e2d3c4b5a69788f70 fixes it",
+    "index 9f86d081884c7d65..2fb5e13419fc89246 100644",
+    "see checksum: 9e107d9d372bb6826bd81d3542a419d6 ok",
+    "order no. 555-123-4567 came",
+    "isbn 978-12-3456 and order 123-45-6789 came",
+    "+1 (586) 555-8430 is a base match",
+    "version 20240131release2 of it",
+    "serial DE44500105175407324931 of a part",
+]
+TAKEN = [
+    ('api_key = "9f86d081884c7d659a2feaa0c55ad015"', "secret"),
+    ("my password is hunter2A9xQ7zL0p", "secret"),
+    ("call me: 555-123-4567 please", "local_phone"),
+    ("ssn: 123-45-6789", "national_id"),
+    ("iban DE44500105175407324931 please", "account"),
+]
+
+
+def test_trees_refuse_look_alikes(spark):
+    """Every text here has a proposal; only those that are personal data are taken."""
+    for x in REFUSED:
+        assert any(re.search(P.PATTERNS[k].replace(r"\G", "(?!)"), x) for k in P.ADDED), x
+    texts = REFUSED + [x for x, _ in TAKEN]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: {s.split(":")[0] for s in r["spans"].split(",") if s} & set(P.ADDED) for r in P.digest(docs).collect()}
+    assert {texts[i]: s for i, s in spans.items() if i < len(REFUSED) and s} == {}
+    assert [k in spans[len(REFUSED) + i] for i, (_, k) in enumerate(TAKEN)] == [True] * len(TAKEN)
+
+
+def test_features_in_sql_are_those_in_python(spark):
+    x = 'Tel: +1 (586) 555-8430, isbn no. 978-12-3456 $ 123 456 7890 km; key="ab12Cd34eF56" /x_aB3dE6gH9jK2.js commit 0123456789abcdef'
+    from pyspark.sql import functions as F
+
+    df = P._placed(spark.createDataFrame([(x,)], "text string"), P.KINDS)
+    for k in P.ADDED:
+        rows = df.select(F.explode_outer(f"at_{k}").alias("c"), "text").where("c is not null").select("c.start", "c.x", "text").collect()
+        for r in rows:
+            a, z = r["start"], r["start"] + len(r["x"])
+            c = {"x": r["x"], "before": x[max(0, a - P.CONTEXT) : a].lower(), "after": x[z : z + P.AFTER].lower()}
+            one = spark.createDataFrame([(c,)], "c struct<x:string,before:string,after:string>")
+            sql = P._feature_sql()
+            got = one.select(*[F.expr(sql[n]).alias(n) for n in P.FEATURES]).first()
+            assert list(got) == P.feature_row(x, a, z), (k, r["x"])
+
+
+def test_many_spans_are_redacted_block_by_block(spark):
+    x = " ".join(f"u{i}@x.org 10.0.0.{i % 256}" for i in range(1500))
+    docs = spark.createDataFrame([(1, x, 0), (2, "a@b.co" + "y" * 50, 0)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in P.redact(docs).collect()}
+    assert got[1] == " ".join(["<EMAIL> <IP>"] * 1500) and got[2] == "<EMAIL>"
+
+
 def test_redaction(spark):
     rows = [(1, TEXTS[3], len(TEXTS[3])), (2, None, 0), (3, "", 0), (4, "no data", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
