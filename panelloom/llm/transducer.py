@@ -1,26 +1,32 @@
-"""Subword encoding and decoding by a weighted finite-state transducer over the tropical semiring.
+"""Subword encoding and decoding by weighted finite-state transducers over the tropical semiring.
 
-`Model` reads a SentencePiece model file (pieces, scores, kinds, normaliser switches). `Transducer` compiles three machines:
+`Model` reads a SentencePiece model file (pieces, scores, kinds, normaliser rules and switches) and compiles three machines of
+arcs (input, next state) with outputs and weights at their final states:
 
-* the normaliser: one state for the text's start (it writes the dummy prefix) and one that maps a space to U+2581 and every
-  other character to itself;
-* the pieces: a trie of arcs, a path of which reads the characters of a piece and writes its id. The machine's states are
+* the normaliser (`Normaliser`): a machine of the rules of the character map, whose paths read the longest rule and write its
+  replacement, between two states of white space: after a space (where more spaces write nothing, if the model squeezes them)
+  and after anything else. It starts by writing the dummy prefix. Without rules every character writes itself;
+* the pieces (`Transducer.pieces`): a path reads the characters of a piece and writes its id. The machine's states are
   the last piece written. For a merge (BPE) model an arc from piece a to piece b weighs 0 if merging the characters of ab in
   score order gives just (a, b), and infinity (the semiring's zero) else; a sequence of pieces is what the merges give if
   and only if each neighbouring pair is, so the shortest path is the merge result. For a unigram model an arc weighs the
   negative score of its piece;
-* byte fallback: a character that is no piece reads as its UTF-8 bytes, at a weight above any path of pieces.
+* byte fallback (`Transducer.fallback`): a character that is no piece reads as its UTF-8 bytes, at a weight above any path of
+  pieces (merge models) or at the least score's less 10 (unigram models). Without byte pieces, characters in a row that are no
+  piece are one unknown id.
 
-A text is composed with these from left to right, and the shortest path to each position is kept. Pieces have
-U+2581 at their start only (checked; else whole texts are one chunk), so texts are cut before a space that follows another
-character, and each distinct chunk is composed once a worker.
+A text is composed with these from left to right, arcs being made as the text reaches them, and the shortest path to each
+position is kept. Pieces have U+2581 at their start only (checked; else whole texts are one chunk), so normalised texts are cut
+before a space that follows another character, and each distinct chunk is composed once a worker.
 
-Null and empty texts have no ids. Decoding gives back the normalised text: all of it, but for U+2581 read as a space.
+Null and empty texts have no ids. Decoding gives back the normalised text: all of it, but for U+2581 read as a space; null
+ids are a null text.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -63,6 +69,101 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+class Machine:
+    """Arcs by character from state to state; a final state has an output and a weight. State 0 starts."""
+
+    def __init__(self) -> None:
+        self.arcs: list[dict[str, int]] = [{}]
+        self.output: list = [None]
+        self.weight: list[float] = [math.inf]
+
+    def add(self, path: str, output, weight: float = 0.0) -> None:
+        at = 0
+        for ch in path:
+            new = self.arcs[at].get(ch)
+            if new is None:
+                new = self.arcs[at][ch] = len(self.arcs)
+                self.arcs.append({})
+                self.output.append(None)
+                self.weight.append(math.inf)
+            at = new
+        self.output[at], self.weight[at] = output, weight
+
+    def longest(self, text: str, at: int) -> tuple[int, str] | None:
+        """(end, output) of the longest path from `at` that ends in a final state."""
+        state, found, k = 0, None, at
+        while k < len(text):
+            state = self.arcs[state].get(text[k], -1)
+            if state < 0:
+                break
+            k += 1
+            if self.output[state] is not None:
+                found = k, self.output[state]
+        return found
+
+
+def char_rules(charsmap: bytes) -> dict[str, str]:
+    """The rules of a precompiled character map: the size of a double-array trie of 32-bit units, the trie over UTF-8 bytes, and
+    the replacements, each ended by a zero byte, to whose offsets its values point. A unit has its label in the low byte (and
+    the top bit in units of values), in bit 8 whether a value follows, and from bit 10 on the offset to its children, eight
+    bits further up where bit 9 is set."""
+    if not charsmap:
+        return {}
+    size = struct.unpack_from("<I", charsmap)[0]
+    unit = np.frombuffer(charsmap, "<u4", size // 4, 4).astype(np.int64)
+    texts, rules = charsmap[4 + size :], {}
+    below = lambda u: (u >> 10) << ((u & 512) >> 6)
+    byte, open_ = np.arange(256), [(b"", int(below(unit[0])))]
+    while open_:
+        path, base = open_.pop()
+        at = base ^ byte
+        inside = at < len(unit)
+        for c in byte[inside][unit[at[inside]] & 0x800000FF == byte[inside]].tolist():
+            if not c:
+                continue
+            u = int(unit[base ^ c])
+            child = (base ^ c) ^ below(u)
+            if u >> 8 & 1:
+                first = int(unit[child]) & 0x7FFFFFFF
+                rules[(path + bytes([c]))] = texts[first : texts.index(0, first)].decode()
+            open_.append((path + bytes([c]), child))
+    return {k.decode(): v for k, v in rules.items()}
+
+
+class Normaliser:
+    def __init__(self, charsmap: bytes, dummy_prefix: bool, squeeze: bool):
+        self.dummy_prefix, self.squeeze = dummy_prefix, squeeze
+        self.rules = Machine()
+        rules = char_rules(charsmap)
+        for key, text in rules.items():
+            self.rules.add(key, text)
+        self.identity = not rules and not squeeze
+        # Where a path can leave the state after other characters: the first characters of rules, and spaces.
+        self.starts = re.compile("[" + "".join(re.escape(c) for c in sorted({k[0] for k in rules} | {" "})) + "]")
+
+    def __call__(self, text: str) -> str:
+        """The normalised text, with spaces for U+2581."""
+        out: list[str] = []
+        at, n, spaced = 0, len(text), self.squeeze
+        while at < n:
+            m = self.starts.search(text, at)
+            to = m.start() if m else n
+            if to > at:
+                out.append(text[at:to])
+                at, spaced = to, False
+                continue
+            at, part = self.rules.longest(text, at) or (at + 1, text[at])
+            if spaced:
+                part = part.lstrip(" ")
+            if part:
+                out.append(part)
+                spaced = self.squeeze and part[-1] == " "
+        whole = "".join(out)
+        if whole and self.dummy_prefix:
+            whole = " " + whole
+        return whole.rstrip(" " + SPACE) if self.squeeze else whole
+
+
 class Model:
     def __init__(self, raw: bytes):
         self.pieces: list[str] = []
@@ -81,26 +182,23 @@ class Model:
                 x = dict(_fields(value))
                 charsmap = x.get(2, b"")
                 self.dummy_prefix, self.squeeze = bool(x.get(3, 1)), bool(x.get(4, 1))
-        if charsmap or self.squeeze:
-            raise ValueError("only identity normalisation is supported")
+        self.normal = Normaliser(charsmap, self.dummy_prefix, self.squeeze)
         self.id_of = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
         self.byte_id = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
-        self.splits = all(SPACE not in p.lstrip(SPACE) for p in self.id_of)
+        self.splits = all(SPACE not in p.lstrip(SPACE) for p in self.id_of) and (bool(self.byte_id) or SPACE in self.id_of)
 
 
 class Transducer:
-    FALLBACK = 1e6
     MOST = 400_000  # weights kept
 
     def __init__(self, model: Model):
         self.model = model
-        self.trie: dict = {}
+        self.pieces = Machine()
         for p, i in model.id_of.items():
-            node = self.trie
-            for ch in p:
-                node = node.setdefault(ch, {})
-            node[""] = i
+            self.pieces.add(p, i, -model.scores[i])
+        least = min((model.scores[i] for i in model.id_of.values()), default=0.0)
+        self.off_pieces = 1e6 if model.kind == 2 else 10.0 - least  # weight of a character that is no piece
         self.size = len(model.pieces)
         self.weights: dict[int, float] = {}  # by a * size + b
 
@@ -132,43 +230,47 @@ class Transducer:
     def shortest(self, text: str) -> list[int]:
         """Ids along the shortest path of a normalised text. Of the states at a position only the best can go on: under
         merges each prefix has one path of finite weight, and unigram weights don't look back."""
-        n, trie, weights, size = len(text), self.trie, self.weights, self.size
+        n, arcs, output, weights, size, off = len(text), self.pieces.arcs, self.pieces.output, self.weights, self.size, self.off_pieces
         best, last, before = [math.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
         for i in range(n):
             here = best[i]
             if here == math.inf:
                 continue
-            a, node, j = last[i], trie.get(text[i]), i + 1
-            known = node is not None and "" in node
-            while node is not None:
-                b = node.get("")
+            a, state, j = last[i] * size, arcs[0].get(text[i]), i + 1
+            known = state is not None and output[state] is not None
+            while state is not None:
+                b = output[state]
                 if b is not None:
-                    w = weights.get(a * size + b)
+                    w = weights.get(a + b)
                     if w is None:
-                        w = self.weight(a, b)
+                        w = self.weight(last[i], b)
                     if here + w < best[j]:
                         best[j], last[j], before[j] = here + w, b, i
                 if j == n:
                     break
-                node = node.get(text[j])
+                state = arcs[state].get(text[j])
                 j += 1
-            if not known and here + self.FALLBACK < best[i + 1]:
-                best[i + 1], last[i + 1], before[i + 1] = here + self.FALLBACK, -1, i
+            if not known and here + off < best[i + 1]:
+                best[i + 1], last[i + 1], before[i + 1] = here + off, -1, i
         out: list[int] = []
-        at = n
+        at, joined = n, False
         while at:
             i = before[at]
             if last[at] >= 0:
                 out.append(last[at])
-            else:  # read backwards
+                joined = False
+            elif self.model.byte_id:  # read backwards
                 out.extend(self.fallback(text[i])[::-1])
+            elif not joined:
+                out.append(self.model.unknown)
+                joined = True
             at = i
         return out[::-1]
 
     def fallback(self, char: str) -> list[int]:
         byte = self.model.byte_id
-        return [byte.get(x, self.model.unknown) for x in char.encode()] if byte else [self.model.unknown]
+        return [byte.get(x, self.model.unknown) for x in char.encode()]
 
 
 class Codec:
@@ -193,7 +295,12 @@ class Codec:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text)."""
-        if self.model.dummy_prefix:  # the normaliser's start state: a space before every text that is not empty
+        if not self.model.normal.identity:
+            raw = data.tobytes()
+            texts = [self.model.normal(raw[a:z].decode("utf-8", "replace")).encode() for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            off = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+            data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        elif self.model.dummy_prefix:  # the same without rules: a space before every text that is not empty
             full = (np.diff(off) > 0).astype(np.int64)
             new = off + np.concatenate(([0], np.cumsum(full)))
             out = np.full(int(new[-1]), 32, dtype=np.uint8)
@@ -210,10 +317,14 @@ class Codec:
         return ids, upto[hi] - upto[lo]
 
     def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-        if self.model.dummy_prefix and raw[:1] == b" ":
-            raw = raw[1:]
-        return raw.decode("utf-8", "replace")
+        parts = list(map(self.bytes_of.__getitem__, ids.tolist()))
+        if self.model.dummy_prefix or self.model.squeeze:  # one space at the start; with squeezing one of each piece until there is text
+            for k, part in enumerate(parts):
+                if self.model.pieces[ids[k]].startswith(SPACE):
+                    parts[k] = part[1:]
+                if parts[k] or part and not self.model.squeeze:
+                    break
+        return b"".join(parts).decode("utf-8", "replace")
 
 
 _codecs: dict[str, Codec] = {}
@@ -256,7 +367,8 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
         for b in batches:
             col = b.column(len(kept))
             off, flat = col.offsets.to_numpy().astype(np.int64), col.values.to_numpy(zero_copy_only=False)
-            text = [c.decode(flat[a:z]) for a, z in zip(off[:-1], off[1:], strict=True)]
+            there = col.is_valid().to_pylist()
+            text = [c.decode(flat[a:z]) if ok else None for a, z, ok in zip(off[:-1], off[1:], there, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(text, pa.string())], names=[*kept, "text"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(kept)]]
