@@ -2,8 +2,8 @@
 
 `to_wav` stores a payload losslessly as 8-bit mu-law samples in a RIFF/WAVE file (format tag 7, 8 kHz, mono); `payload_of`
 reads the samples back. `expand` turns companded samples into 16-bit PCM through a 256-entry table, `decode_adpcm` decodes IMA
-ADPCM blocks, all blocks of a batch in step, and `resample` doubles the rate by linear interpolation and can be stored as PCM
-(`pcm_wav`).
+ADPCM blocks, all blocks of a batch in step (`encode_adpcm` makes them), and `resample` doubles the rate by linear interpolation.
+`resampled` gives the PCM as WAVE files to store; the digest query keeps the crc32 of it only (README: its size).
 
 Payloads of the digest query are a text's UTF-8 bytes (null: empty) with zero bytes up to a positive multiple of 64. Equal
 payloads have equal results. Null and empty texts give a payload of 64 zero bytes.
@@ -85,6 +85,25 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
+def encode_adpcm(pcm: np.ndarray) -> np.ndarray:
+    """IMA ADPCM blocks (blocks, bytes) of int16 (blocks, samples), all blocks in step; an odd number of samples. The first sample
+    and step index 0 are the header."""
+    x = np.ascontiguousarray(pcm.T).astype(np.int32)
+    last, at = x[0].copy(), np.zeros(x.shape[1], np.int32)
+    out = np.zeros((4 + (len(x) - 1) // 2, x.shape[1]), dtype=np.uint8)
+    out[0], out[1] = last & 255, last >> 8 & 255
+    for k in range(1, len(x)):
+        step, d = STEPS[at >> 4], x[k] - last
+        n, d = np.where(d < 0, 8, 0), np.abs(d)
+        for bit in (4, 2, 1):
+            on = d >= step
+            n, d, step = n + bit * on, d - step * on, step >> 1
+        key = at + n
+        last, at = np.clip(last + _DIFF[key], -32768, 32767), _NEXT[key]
+        out[4 + (k - 1) // 2] |= (n << (4 * ((k - 1) & 1))).astype(np.uint8)
+    return np.ascontiguousarray(out.T)
+
+
 def resample(pcm: np.ndarray) -> np.ndarray:
     """Twice the rate: each sample and the mean (towards minus infinity) of it and the next; the last one twice."""
     out = np.empty(2 * len(pcm), dtype=np.int16)
@@ -143,32 +162,34 @@ def store(docs: DataFrame, law: int = MU_LAW, id_col: str = "doc_id", text_col:
     return arrow(src, run, "doc_id long, n_bytes long, media binary")
 
 
+BLOCK = 65  # samples of an ADPCM block in the features: a header and 32 bytes
+
+
 def _features(parts: list[bytes], tags: list[int]) -> list[str]:
-    """Of each payload: mean square and zero crossings of its expansion, mean square of its decoding as ADPCM blocks of 64
-    bytes, and the crc32 of its resampled PCM."""
+    """Of each payload: mean square and zero crossings of its expansion, mean square of the samples read by the other law, mean
+    square error of its samples once coded as ADPCM blocks and decoded, and the crc32 of its resampled PCM."""
     data = np.frombuffer(b"".join(parts), dtype=np.uint8)
     size = np.array([len(p) for p in parts])
     end = np.cumsum(size)
     start = end - size
-    pcm = MU[data]
-    law = np.repeat(np.array(tags) == A_LAW, size)
-    if law.any():
-        pcm = np.where(law, A[data], pcm)
-    power = T.reduce_sum(pcm.astype(np.int64) ** 2, start, end) // np.maximum(size, 1)
+    a_law = np.repeat(np.array(tags) == A_LAW, size)
+    pcm, other = np.where(a_law, A[data], MU[data]), np.where(a_law, MU[data], A[data])
+    mean = lambda x: T.reduce_sum(x.astype(np.int64) ** 2, start, end) // np.maximum(size, 1)
+    power, crossed = mean(pcm), mean(other)
     flip = np.concatenate(((pcm[1:] < 0) != (pcm[:-1] < 0), [False]))
     flip[end - 1] = False
     cross = T.reduce_sum(flip, start, end, np.int64)
     # ADPCM: the blocks of all payloads in step; a last short block is padded with zeros.
-    n_blocks = -(-size // PAD)
-    grid = np.zeros((int(n_blocks.sum()), PAD), dtype=np.uint8)
+    n_blocks = -(-size // BLOCK)
+    grid = np.zeros((int(n_blocks.sum()), BLOCK), dtype=np.int16)
     at = np.cumsum(n_blocks) - n_blocks
-    grid.reshape(-1)[T.ranges(at * PAD, size)] = data
-    loud = (decode_adpcm(grid).astype(np.int64) ** 2).sum(1)
-    adpcm = T.reduce_sum(loud, at, at + n_blocks) // np.maximum(n_blocks * (1 + 2 * (PAD - 4)), 1)
+    place = T.ranges(at * BLOCK, size)
+    grid.reshape(-1)[place] = pcm
+    error = mean(decode_adpcm(encode_adpcm(grid)).reshape(-1)[place].astype(np.int32) - pcm)
     out = []
     for k, (a, z) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
         crc = zlib.crc32(resample(pcm[a:z]).astype("<i2").tobytes())
-        out.append(f"power={power[k]};crossings={cross[k]};adpcm={adpcm[k]};pcm16k={crc:08x}")
+        out.append(f"power={power[k]};crossings={cross[k]};other_law={crossed[k]};adpcm_error={error[k]};pcm16k={crc:08x}")
     return out
 
 
@@ -200,14 +221,20 @@ def read_back(stored: DataFrame) -> DataFrame:
 
 
 def resampled(stored: DataFrame) -> DataFrame:
-    """`stored` with `pcm`: its samples expanded, at twice the rate, as 16-bit PCM WAVE files."""
+    """`stored` as (doc_id, pcm): the samples expanded by their file's law, at twice the rate, as 16-bit PCM WAVE files (null
+    media: null). The result is for writing: four bytes a payload byte before compression."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                samples, tag = payload_of(b.column(1)[k].as_py())
-                pcm = pcm_wav(resample(expand(np.frombuffer(samples, dtype=np.uint8), tag)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([pcm], pa.binary())], names=["doc_id", "pcm"])
+            for first, end, data, off in T.slices(b.column(1), 1 << 21):
+                raw, pcm = data.tobytes(), []
+                for k, (a, z) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+                    if not b.column(1)[first + k].is_valid:
+                        pcm.append(None)
+                        continue
+                    samples, tag = payload_of(raw[a:z])
+                    pcm.append(pcm_wav(resample(expand(np.frombuffer(samples, dtype=np.uint8), tag))))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(pcm, pa.binary())], names=["doc_id", "pcm"])
 
     return arrow(stored.select("doc_id", "media"), run, "doc_id long, pcm binary")
 

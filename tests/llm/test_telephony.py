@@ -49,3 +49,38 @@ def test_round_trip(spark):
     with wave.open(BytesIO(bytes(pcm[3]))) as w:
         assert (w.getframerate(), w.getsampwidth(), w.getnframes()) == (16000, 2, 128)
     assert P.read_back(P.store(docs.limit(0))).count() == 0
+
+
+def test_encoded_blocks_decode_to_nearly_their_samples():
+    t = np.arange(65 * 30)
+    pcm = (8000 * np.sin(t / 7) + 2000 * np.sin(t / 3)).astype(np.int16).reshape(30, 65)
+    blocks = P.encode_adpcm(pcm)
+    back = P.decode_adpcm(blocks).astype(int)
+    assert blocks.shape == (30, 36) and [adpcm_one(b) for b in blocks] == back.tolist()
+    assert (back[:, 0] == pcm[:, 0]).all() and np.abs(back - pcm)[:, 30:].mean() < 400
+    assert (P.decode_adpcm(P.encode_adpcm(np.zeros((3, 65), np.int16))) == 0).all() and P.encode_adpcm(np.zeros((0, 65), np.int16)).shape == (0, 36)
+
+
+def test_features_against_loops(spark):
+    texts = ["", "Some text, with é and 123.", "x" * 500, "ab" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for law, mine, other in ((P.MU_LAW, P.MU, P.A), (P.A_LAW, P.A, P.MU)):
+        stored = P.store(docs, law)
+        pcm = {r["doc_id"]: bytes(r["pcm"]) for r in P.resampled(stored).collect()}
+        for r in P.read_back(stored).collect():
+            pay = P.padded(texts[r["doc_id"]].encode())
+            x = [int(mine[b]) for b in pay]
+            error = 0
+            for k in range(0, len(x), P.BLOCK):
+                part = np.array([x[k : k + P.BLOCK] + [0] * (P.BLOCK - len(x[k : k + P.BLOCK]))], np.int16)
+                error += sum((a - b) ** 2 for a, b in zip(adpcm_one(P.encode_adpcm(part)[0]), x[k : k + P.BLOCK]))
+            got = dict(p.split("=") for p in r["feature"].split(";"))
+            assert int(got["power"]) == sum(v * v for v in x) // len(x) and int(got["other_law"]) == sum(int(other[b]) ** 2 for b in pay) // len(x)
+            assert int(got["crossings"]) == sum((a < 0) != (b < 0) for a, b in zip(x, x[1:])) and int(got["adpcm_error"]) == error // len(x)
+            with wave.open(BytesIO(pcm[r["doc_id"]])) as w:
+                assert f"{zlib.crc32(w.readframes(w.getnframes())):08x}" == got["pcm16k"]
+            assert r["payload_sha256"] == hashlib.sha256(pay).hexdigest()
+
+
+def test_null_media_have_null_pcm(spark):
+    assert P.resampled(spark.createDataFrame([(1, None)], "doc_id long, media binary")).first()["pcm"] is None
