@@ -1,5 +1,7 @@
+import numpy as np
 import pyarrow as pa
 
+from panelloom.llm import _text as T
 from panelloom.llm import langid as L
 
 EN = "the house and the garden of the king with a river that was in the north"
@@ -70,3 +72,88 @@ def test_batches_do_not_matter():
     for i, t in enumerate(texts):
         one = L._predict(pa.array([t]), model)
         assert one[0][0] == many[0][i] and set(dict(one[3][0].as_py())) == set(dict(many[3][i].as_py())) and abs(one[1][0].as_py() - many[1][i].as_py()) < 1e-9
+
+
+def plain_mixture(text, model, span=8, rounds=12, penalty=2.0):
+    """The shares of one text by loops over its segments and letters."""
+    import math
+
+    langs = len(model["langs"])
+    raw = (text + " ").encode()
+    fold = [b if b >= 128 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in raw]
+    segs, words, two = [], 0, [32, 32]
+    for k, c in enumerate(fold):
+        before = fold[k - 1] if k else 32
+        if c != 32 and before == 32:
+            if words % span == 0:
+                segs.append([[0.0] * langs, 0])
+            words += 1
+        if segs and (c != 32 or before != 32):
+            key = (two[0] << 16 | two[1] << 8 | c) * 2654435761 % (1 << 32) >> (32 - L.BITS)
+            row = model["table"][key]
+            segs[-1] = [[a + float(b) for a, b in zip(segs[-1][0], row)], segs[-1][1] + 1]
+        two = [two[1], c]
+    if not segs:
+        return [0.0] * langs
+
+    def em(on, rounds):
+        pi = [1 / len(on) if k in on else 0.0 for k in range(langs)]
+        for r in range(rounds + 1):
+            like, new = 0.0, [0.0] * langs
+            for ll, w in segs:
+                x = [ll[k] + math.log(pi[k]) if pi[k] > 0 else -math.inf for k in range(langs)]
+                top = max(x)
+                p = [math.exp(v - top) for v in x]
+                like += top + math.log(sum(p))
+                for k in range(langs):
+                    new[k] += w * p[k] / sum(p)
+            if r == rounds:
+                return pi, like
+            pi = [v / sum(w for _, w in segs) for v in new]
+
+    pi, _ = em(set(range(langs)), rounds)
+    rank = sorted(range(langs), key=lambda k: (-pi[k], k))
+    price = penalty * math.log(sum(w for _, w in segs) + 1)
+    best, score = em(set(rank[:1]), 0)
+    for k in range(2, langs + 1):
+        p, like = em(set(rank[:k]), rounds)
+        if like - price * (k - 1) > score:
+            best, score = p, like - price * (k - 1)
+    return best
+
+
+def many_languages(n):
+    rng = np.random.default_rng(8)
+    words = [["".join(chr(97 + (x + 3 * k) % 26) for x in rng.integers(0, 9, int(rng.integers(2, 7)))) for _ in range(150)] for k in range(n)]
+    text = lambda k, n: " ".join(words[k][i] for i in rng.integers(0, 150, n))
+    return words, text, rng
+
+
+def test_plain_em_agrees_and_slices_and_order_do_not_matter(spark):
+    _, text, rng = many_languages(8)
+    rows = [(8 * i + k, text(k, 60), f"l{k}") for i in range(12) for k in range(8)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model["langs"]) == 8
+    texts = [" ".join(text(int(k), 40) for k in rng.permutation(8)[: 1 + i % 8]) for i in range(24)] + ["", "12 34", "ab", text(3, 5)]
+    whole = L.estimate(*T.buffers(pa.array(texts)), model)
+    for t, got in zip(texts, whole, strict=True):
+        assert np.allclose(got, plain_mixture(t, model), atol=1e-6), t
+        assert np.allclose(got, L.estimate(*T.buffers(pa.array([t])), model)[0], atol=1e-12)
+    order = rng.permutation(len(texts))
+    assert np.allclose(L.estimate(*T.buffers(pa.array([texts[i] for i in order])), model), whole[order], atol=1e-12)
+
+
+def test_six_languages_get_six_shares(spark):
+    _, text, _ = many_languages(8)
+    rows = [(8 * i + k, text(k, 60), f"l{k}") for i in range(12) for k in range(8)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = L.estimate(*T.buffers(pa.array([" ".join(text(k, 80) for k in range(6))])), model)[0]
+    assert (np.abs(got[:6] - 1 / 6) < 0.03).all() and (got[6:] < 0.01).all()
+
+
+def test_ties_go_to_the_language_that_sorts_first(spark):
+    rows = [(1, "same words here", "b"), (2, "same words here", "a"), (3, None, "c")]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(9, "same words")], "doc_id long, text string")
+    assert L.mixtures(docs, {"langs": model["langs"][:2], "table": np.ascontiguousarray(model["table"][:, :2])}).first()["lang_pred"] == "a"
+    assert L.mixtures(docs.limit(0), model).count() == 0 and L.keep_identified(docs.limit(0), model).count() == 0
