@@ -38,3 +38,51 @@ def test_no_labels(spark):
     model = Q.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert Q.score(docs, model).first()["score"] == 0.5
     assert Q.score(docs.limit(0), model).count() == 0
+
+
+def test_lasso_weights_meet_the_conditions_of_the_minimum():
+    rng = np.random.default_rng(0)
+    r = rng.integers(0, 2, (400, 12)).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * r[:, 0] - 1.5 * r[:, 3])))).astype(float)
+    for lam in (0.03, 0.003):
+        w = Q._lasso(r, y, lam, np.zeros(13), rounds=5000)
+        slope = np.hstack((np.ones((400, 1)), r)).T @ (1 / (1 + np.exp(-(w[0] + r @ w[1:]))) - y) / 400
+        assert abs(slope[0]) < 1e-4 and (np.abs(slope[1:]) <= lam + 1e-4).all()
+        on = np.abs(w[1:]) > 1e-4
+        assert on.any() and np.allclose(slope[1:][on], -lam * np.sign(w[1:][on]), atol=1e-4)
+
+
+def test_boosting_against_plain_stumps():
+    """Depth 1 on one statistic: the first tree's split has the best gain of all splits."""
+    from panelloom.llm import trees as G
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 9, (120, 1)).astype(float)
+    y = (x[:, 0] + rng.normal(0, 2, 120) > 4).astype(float)
+    bias, trees = G.boost(x, y, rounds=1, depth=1, rate=1.0, least=1, l2=1.0)
+    p = y.mean()
+    gain = {}
+    for t in np.unique(x)[:-1] + 0.5:
+        left = x[:, 0] < t
+        gain[t] = sum((y - p)[s].sum() ** 2 / (s.sum() * p * (1 - p) + 1) for s in (left, ~left))
+    f, t, a, b = trees[0].nodes[0]
+    assert t == max(gain, key=gain.get) and abs(bias - np.log(p / (1 - p))) < 1e-12
+    left = x[:, 0] < t
+    assert np.isclose(trees[0].nodes[a], (y - p)[left].sum() / (left.sum() * p * (1 - p) + 1))
+
+
+def test_order_and_repeats_do_not_matter(spark):
+    docs = spark.createDataFrame(rows(), "doc_id long, text string, quality int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    a, b = Q.fit(docs, labels), Q.fit(docs.orderBy(Q.F.desc("doc_id")).repartition(7), labels.repartition(5))
+    assert a == b
+    twice = Q.score(docs.unionAll(docs), a).collect()
+    assert len(twice) == 120 and len({(r["doc_id"], r["score"]) for r in twice}) == 60
+
+
+def test_no_cap_on_rules():
+    rng = np.random.default_rng(3)
+    x = rng.random((3000, len(Q.STATS)))
+    y = (np.sin(40 * x[:, 0]) + np.cos(50 * x[:, 5]) + x[:, 16] > 0.5).astype(float)
+    model = Q.fit_rules(x, y, rounds=60, depth=4)
+    assert len(model.rules) > 160
