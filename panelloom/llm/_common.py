@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +20,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BATCH_BYTES = 8 << 20
 
 
-def arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """mapInArrow with batches of bounded size, which bound the memory of the Python workers."""
+#: What a Python worker keeps between tasks: by the name of the step that uses it.
+CACHES: dict[str, dict] = {"pieces": {}, "tokens": {}}
+
+
+def _trim() -> None:
+    """Gives freed memory back, so that a worker's size is what it uses."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def arrow(df: DataFrame, run: Callable, schema, keeps: str | None = None) -> DataFrame:
+    """mapInArrow with batches of bounded size, which bound the memory of the Python workers. A task first drops what earlier
+    steps left in its worker, but for the cache that it `keeps` using."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def trimming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b
+            del b
+            _trim()
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, held in CACHES.items():
+            if name != keeps and held:
+                held.clear()
+        yield from run(trimming(batches))
+        _trim()
+
+    return df.mapInArrow(bounded, schema)
 
 
 class Scratch:

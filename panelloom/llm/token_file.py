@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._common import Scratch, arrow, table
+from ._common import CACHES, Scratch, arrow, table
 from .pieces import ChunkStore, spans_of
 
 SEGMENT = "file_no int, seg_no int, ids_before long, n_docs int, n_ids long, docs binary, blocks binary, planes binary"
@@ -86,7 +86,7 @@ def unpack(blocks: bytes, planes: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-_stores: dict[str, ChunkStore] = {}
+_stores: dict[str, ChunkStore] = CACHES["tokens"]
 
 
 def _store(path: str) -> ChunkStore:
@@ -170,7 +170,7 @@ def write(
 
     dealt = src.repartitionByRange(files, F.col("doc_id").asc_nulls_first()) if files > 1 else src.coalesce(1)
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").select(F.spark_partition_id().alias("file_no"), "doc_id", "text")
-    arrow(dealt, run, SEGMENT).write.option("compression", "none").parquet(path)
+    arrow(dealt, run, SEGMENT, "tokens").write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._common import arrow, table
+from ._common import CACHES, arrow, table
 from .pieces import ChunkStore, spans_of
 
 SPACE = "▁"
@@ -327,7 +327,7 @@ class Codec:
         return b"".join(parts).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Codec] = CACHES["pieces"]
 
 
 def codec(path: str) -> Codec:
@@ -354,7 +354,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", drop_text: bool =
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], lists, pa.array(n, pa.int64())], names=[*kept, "ids", "n_ids"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:at]]
-    return arrow(src, run, ", ".join([*fields, "ids array<int>", "n_ids long"]))
+    return arrow(src, run, ", ".join([*fields, "ids array<int>", "n_ids long"]), "pieces")
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -372,7 +372,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], pa.array(text, pa.string())], names=[*kept, "text"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(kept)]]
-    return arrow(src, run, ", ".join([*fields, "text string"]))
+    return arrow(src, run, ", ".join([*fields, "text string"]), "pieces")
 
 
 def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -393,7 +393,7 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.bool_()), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(n, pa.int64()), *cols], names=["doc_id", "n_ids", "ids_crc32", "decoded_crc32", "round_trip"])
 
-    return arrow(src, run, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
+    return arrow(src, run, "doc_id long, n_ids long, ids_crc32 long, decoded_crc32 long, round_trip boolean", "pieces")
 
 
 def op7_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
