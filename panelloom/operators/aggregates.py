@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import cumulated, quantiles, row_numbers
+
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -24,8 +26,11 @@ def masked_mean(x: Column, mask: Column) -> Column:
 
 def marginals(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Count, mean, deviation and the seven quantiles (linear interpolation) of each group."""
-    q = F.percentile(x, F.array(*map(F.lit, QUANTILES)))
-    out = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), q.alias("__q"))
+    names = [f"__g_{k}" for k in keys]
+    q = quantiles(df, x, list(QUANTILES), keys, "__q").withColumnsRenamed(dict(zip(keys, names, strict=True)))
+    out = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
+    on = [F.col(k).eqNullSafe(F.col(g)) for k, g in zip(keys, names, strict=True)]
+    out = out.join(q, on or F.lit(True), "left")
     return out.select(*keys, "n", "mean", "std", *(F.col("__q")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(QUANTILES)))
 
 
@@ -59,6 +64,14 @@ def macro_average(df: DataFrame, entity: list[str], group: list[str], x: Column)
     return per.groupBy(*group).agg(F.count("__m").alias("n_entities"), F.avg("__m").alias("macro"))
 
 
+def persistence_error(df: DataFrame, keys: list[str], order: list[str], x: str, horizons: tuple[int, ...] = (1, 12, 60), group: list[str] | None = None) -> DataFrame:
+    """(group, horizon, n, mae): mean absolute error of taking x for its value `horizon` rows later in the same entity; rows where one
+    of the two is missing don't count."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = df.select(*(group or []), *[F.abs(F.lead(x, h).over(w) - F.col(x)).alias(f"__h{h}") for h in horizons])
+    return unpivot(rows, group or [], [f"__h{h}" for h in horizons]).groupBy(*(group or []), F.substring("col", 4, 10).cast("int").alias("horizon")).agg(F.count("value").alias("n"), F.avg("value").alias("mae"))
+
+
 def prevalence(df: DataFrame, entity: str, group: str) -> DataFrame:
     """Share of all entities that have the group at all."""
     pairs = df.select(entity, group).distinct()
@@ -69,7 +82,7 @@ def prevalence(df: DataFrame, entity: str, group: str) -> DataFrame:
 def coverage_table(facts: DataFrame, rows: DataFrame, cols: DataFrame, row: str, col: str) -> DataFrame:
     """Counts for every pair of two small dimensions (a row each), zeros included."""
     n = facts.groupBy(row, col).agg(F.count("*").alias("n"))
-    return rows.join(F.broadcast(cols)).join(n, [row, col], "left").select(row, col, F.coalesce("n", F.lit(0)).alias("n"))
+    return rows.crossJoin(cols).join(n, [row, col], "left").select(row, col, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def checksums(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -99,7 +112,7 @@ def edges_below(x: Column, edges: str, most: int) -> Column:
 def bin_means(df: DataFrame, x: str, y: str, n_bins: int = 10, least: int = 10) -> DataFrame:
     """Mean of y by percentile bins of x (distinct edges, half-open, so the maximum falls out), bins of `least` rows or
     more. The edges are one aggregate, `n_bins` + 1 numbers."""
-    edges = df.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)]))).alias("__e"))
+    edges = quantiles(df, x, [i / n_bins for i in range(n_bins + 1)], []).select(F.array_distinct("q").alias("__e"))
     rows = df.join(F.broadcast(edges))
     b = edges_below(F.col(x), "__e", n_bins + 1) - 1
     rows = rows.withColumn("bin", b).where(F.col("bin").between(0, F.size("__e") - 2))
@@ -109,16 +122,20 @@ def bin_means(df: DataFrame, x: str, y: str, n_bins: int = 10, least: int = 10)
 
 
 def interpolate(curve: DataFrame, at: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """`at` with `y` of the piecewise linear curve, ends clamped. Both are small (bins, grid points): one window."""
-    both = curve.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.lit(0).alias("__q")).unionByName(at.select(F.col(x).alias("__x"), F.lit(None).cast("double").alias("__y"), F.lit(1).alias("__q")))
-    point = F.when(F.col("__q") == 0, F.struct("__x", "__y"))
-    w = Window.orderBy("__x", "__q")
-    lo = F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hi = F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    rows = both.withColumns({"__lo": lo, "__hi": hi}).where("__q = 1")
-    slope = F.when(F.col("__hi.__x") > F.col("__lo.__x"), (F.col("__hi.__y") - F.col("__lo.__y")) / (F.col("__hi.__x") - F.col("__lo.__x"))).otherwise(F.lit(0.0))
-    value = F.when(F.col("__lo").isNull(), F.col("__hi.__y")).when(F.col("__hi").isNull(), F.col("__lo.__y")).otherwise(F.col("__lo.__y") + (F.col("__x") - F.col("__lo.__x")) * slope)
-    return rows.select(F.col("__x").alias(x), value.alias(y))
+    """`at` with `y` of the piecewise linear curve, ends clamped. Points are numbered, and each place gets the number of the points
+    up to it; the two points around it come by equi-joins."""
+    points = row_numbers(curve.select(F.col(x).cast("double").alias("px"), F.col(y).alias("py")), "px", [], out="i")
+    last = points.agg(F.max("i").alias("last"))
+    both = points.select(F.col("px").alias("x"), F.lit(True).alias("p")).unionByName(at.select(F.col(x).cast("double").alias("x"), F.lit(False).alias("p")))
+    upto = cumulated(both, "x", F.col("p"), []).where("b > 0").select("x", "b", F.col("ca").alias("i")).join(F.broadcast(last))
+    lo = points.select(F.col("i").alias("il"), F.col("px").alias("xl"), F.col("py").alias("yl"))
+    hi = points.select(F.col("i").alias("ih"), F.col("px").alias("xh"), F.col("py").alias("yh"))
+    rows = upto.join(lo, F.greatest("i", F.lit(1)) == F.col("il")).join(hi, F.least(F.col("i") + 1, F.col("last")) == F.col("ih"))
+    inside = F.col("xh") > F.col("xl")
+    value = F.col("yl") + F.when(inside & (F.col("i") > 0), (F.col("x") - F.col("xl")) * (F.col("yh") - F.col("yl")) / (F.col("xh") - F.col("xl"))).otherwise(0.0)
+    rows = rows.withColumn("v", value)
+    found = rows.select(F.col("x").alias("__x"), F.col("v").alias(y))
+    return at.select(x).join(found, F.col(x).cast("double") == F.col("__x"), "left").select(x, y)
 
 
 def fit_normalization(df: DataFrame, cols: list[str], train: Column) -> DataFrame:

@@ -9,38 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import edges_below
-
-
-BUCKETS = 64
-
-
-def _cdfs(df: DataFrame, x: str, side: Column, group: list[str]) -> DataFrame:
-    """Distinct values with counts (a, b), running sums with the value (ca, cb), totals (na, nb) and the next value. The
-    ordered pass runs in value buckets at approximate quantiles, whose sums are then carried over a row a bucket; so neither
-    one group nor the whole table is one task."""
-    n = df.where(F.col(x).isNotNull()).groupBy(*group, F.col(x).alias("x")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
-    edges = n.agg(F.percentile_approx("x", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("__e"))
-    n = n.join(F.broadcast(edges)).withColumn("__k", F.size(F.filter("__e", lambda e: e <= F.col("x")))).drop("__e")
-    one = [F.col(c) for c in group] or [F.lit(0)]
-    k = n.groupBy(*group, "__k").agg(F.sum("a").alias("ka"), F.sum("b").alias("kb"), F.min("x").alias("kx"))
-    order = Window.partitionBy(*one).orderBy("__k")  # BUCKETS rows a group
-    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*one)
-    none = lambda c: F.coalesce(c, F.lit(0))
-    k = k.select(
-        *group, "__k", none(F.sum("ka").over(before)).alias("pa"), none(F.sum("kb").over(before)).alias("pb"), F.sum("ka").over(whole).alias("na"), F.sum("kb").over(whole).alias("nb"),
-        F.lead("kx").over(order).alias("nx"),
-    )
-    inside = Window.partitionBy(*group, "__k").orderBy("x")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    n = n.withColumns({"ia": F.sum("a").over(upto), "ib": F.sum("b").over(upto), "next": F.lead("x").over(inside)})
-    n = n.join(k, [*group, "__k"])
-    return n.select(*group, "x", "a", "b", (F.col("pa") + F.col("ia")).alias("ca"), (F.col("pb") + F.col("ib")).alias("cb"), "na", "nb", F.coalesce("next", "nx").alias("next"))
+from .ordered import cumulated, quantiles, row_numbers
 
 
 def distances(df: DataFrame, x: str, side: Column, group: list[str]) -> DataFrame:
     """(group, wasserstein, ks, auc): of the rows where `side` holds against the others. auc is the chance that a row of
     the first is larger, ties half; null without rows on both sides."""
-    c = _cdfs(df, x, side, group)
+    c = cumulated(df, x, side, group)
     gap = F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))
     both = (F.col("na") > 0) & (F.col("nb") > 0)
     win = F.col("a") * (F.col("cb") - F.col("b") / 2)
@@ -50,6 +25,14 @@ def distances(df: DataFrame, x: str, side: Column, group: list[str]) -> DataFram
     return out
 
 
+def ks_p_value(ks: Column, na: Column, nb: Column, terms: int = 100) -> Column:
+    """Of the two-sample statistic, by the asymptotic series 2 * sum of (-1)^(k-1) * exp(-2 k^2 s^2), s^2 = ks^2 * na nb / (na + nb);
+    within 0 and 1."""
+    s2 = ks * ks * na * nb / (na + nb)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda a, k: a + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2 * k * k * s2))
+    return F.when(s2 <= 0.02, F.lit(1.0)).otherwise(F.least(F.greatest(2 * series, F.lit(0.0)), F.lit(1.0)))
+
+
 def total_variation(df: DataFrame, category: str, side: Column, missing: str = "<none>") -> DataFrame:
     n = df.groupBy(F.coalesce(F.col(category), F.lit(missing)).alias("c")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
     t = n.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
@@ -58,9 +41,9 @@ def total_variation(df: DataFrame, category: str, side: Column, missing: str = "
 
 def mutual_information(df: DataFrame, x: str, y: str, bins: int = 10, least: int = 50) -> DataFrame:
     """In nats, over bins at the distinct deciles; the maximum has a bin of its own; 0 below `least` rows."""
-    q = lambda c: F.array_distinct(F.percentile(c, F.array(*[F.lit(i / bins) for i in range(bins + 1)])))
+    q = lambda c, e: quantiles(v, c, [i / bins for i in range(bins + 1)], []).select(F.array_distinct("q").alias(e))
     v = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    edges = v.agg(q(x).alias("__ex"), q(y).alias("__ey"))
+    edges = q(x, "__ex").join(F.broadcast(q(y, "__ey")))
     at = lambda c, e: edges_below(F.col(c), e, bins + 1) - 1
     b = v.join(F.broadcast(edges)).groupBy(at(x, "__ex").alias("bx"), at(y, "__ey").alias("by")).agg(F.count("*").alias("n"))
     over = lambda c: F.sum("n").over(Window.partitionBy(c))  # noqa: E731  (bins + 1) ** 2 rows at most
@@ -86,8 +69,8 @@ def correlation_difference(df: DataFrame, cols: list[str], side: Column) -> Data
 
 def tail_exceedance(df: DataFrame, x: str, side: Column, group: list[str], p: float = 0.99) -> DataFrame:
     """Share of the rows where `side` holds above the others' p-quantile."""
-    cut = df.where(~side).groupBy(*group).agg(F.percentile(x, F.lit(p)).alias("cut"))
-    return df.where(side).join(F.broadcast(cut), group).groupBy(*group, "cut").agg(F.count("*").alias("n"), F.avg((F.col(x) > F.col("cut")).cast("int")).alias("above"))
+    cut = quantiles(df.where(~side), x, [p], group).select(*group, F.col("q")[0].alias("cut"))
+    return df.where(side).join(cut, group).groupBy(*group, "cut").agg(F.count("*").alias("n"), F.avg((F.col(x) > F.col("cut")).cast("int")).alias("above"))
 
 
 def accuracy(df: DataFrame, truth: str, guess: str) -> DataFrame:
@@ -97,9 +80,8 @@ def accuracy(df: DataFrame, truth: str, guess: str) -> DataFrame:
 
 
 def nearest(queries: DataFrame, base: DataFrame, vec: str, id_col: str, k: int) -> DataFrame:
-    """(query, id, rank, distance) of the k nearest base vectors of each query, itself excluded; ties by id. Exact, by
-    blocks: `queries` is a stated set (checked small, see `neighbour_overlap`) sent to all, each base row makes a partial
-    top k a task, and the partial lists are merged."""
+    """(query, id, rank, distance) of the k nearest base vectors of each query, itself excluded; ties by id. Exact: `queries` is a
+    stated set (a block of bounded size, see `neighbour_overlap`) sent to all; each task keeps its own top k before the shuffle."""
     d = F.aggregate(F.zip_with("__qv", vec, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
     q = F.broadcast(queries.select(F.col(id_col).alias("query"), F.col(vec).alias("__qv")))
     rows = base.join(q, F.col(id_col) != F.col("query")).select("query", F.col(id_col).alias("id"), F.sqrt(d).alias("distance"))
@@ -109,11 +91,13 @@ def nearest(queries: DataFrame, base: DataFrame, vec: str, id_col: str, k: int)
 
 def neighbour_overlap(df: DataFrame, vec: str, id_col: str, label: str, k: int = 20, every: int = 1, most: int = 20_000) -> DataFrame:
     """(label, n, mean, median) of the share of other labels among the k nearest of each query. Queries are the ids that
-    `every` divides; there may be `most` at most (else an error: choose a larger `every`)."""
+    `every` divides, taken in blocks of about `most`, each against all rows."""
     queries = df.where(F.col(id_col) % every == 0)
-    if queries.count() > most:
-        raise ValueError(f"more than {most} queries")
-    n = nearest(queries, df, vec, id_col, k)
+    blocks = -(-queries.count() // most)
+    n = nearest(queries, df, vec, id_col, k) if blocks <= 1 else None
+    for i in range(blocks if blocks > 1 else 0):
+        part = nearest(queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i), df, vec, id_col, k)
+        n = part if n is None else n.unionByName(part)
     tags = df.select(F.col(id_col).alias("id"), F.col(label).alias("__l"))
     j = n.join(tags, "id").join(queries.select(F.col(id_col).alias("query"), F.col(label).alias("label")), "query")
     per = j.groupBy("query", "label").agg(F.avg((F.col("__l") != F.col("label")).cast("int")).alias("share"))
@@ -133,8 +117,9 @@ def first_below(errors: DataFrame, k: str, cols: list[str], limit: float) -> Dat
     ok = F.lit(True)
     for c in cols:
         ok = ok & (F.col(c) < limit)
-    w = Window.partitionBy(F.lit(0)).orderBy(k)
-    rows = errors.withColumns({"__ok": ok, "__down": F.coalesce(F.col(cols[0]) <= F.lag(cols[0]).over(w), F.lit(True))})
+    rows = row_numbers(errors.withColumn("__ok", ok), k, [], out="__i")
+    before = rows.select((F.col("__i") + 1).alias("__i"), F.col(cols[0]).alias("__before"))
+    rows = rows.join(before, "__i", "left").withColumn("__down", F.coalesce(F.col(cols[0]) <= F.col("__before"), F.lit(True)))
     return rows.agg(F.min(F.when(F.col("__ok"), F.col(k))).alias("first_k"), F.bool_and("__down").alias("monotone"))
 
 

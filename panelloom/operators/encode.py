@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import row_numbers
+
 from ..functions.scalar import bucket, normalize_item, to_number, truthy
 
 
@@ -17,7 +19,7 @@ def emit_tokens(df: DataFrame, key: str, continuous: list[str], binary: list[str
         name = F.concat(F.lit(f"{c}:"), normalize_item(F.col(c)))
         cells.append(F.struct(name.alias("item"), F.lit("categorical").alias("kind"), F.when(F.col(c).isNotNull(), F.lit(1.0)).alias("value")))
     long = df.select(key, F.explode(F.array(*cells)).alias("x")).select(key, "x.*").where("value is not null")
-    z = long.join(F.broadcast(stats.withColumnRenamed("col", "item")), "item", "left")
+    z = long.join(stats.withColumnRenamed("col", "item"), "item", "left")
     return z.select(key, "item", "kind", F.when(F.col("kind") == "continuous", (F.col("value") - F.col("mean")) / F.col("std")).otherwise(F.col("value")).alias("value"))
 
 
@@ -41,7 +43,7 @@ def token_coverage(tokens: DataFrame, cases: DataFrame, key: str, group: str, it
     """(item, group, n_cases, n_emitted, fraction, mask): mask 1 where no case of the group has the item, else null."""
     n_cases = cases.groupBy(group).agg(F.countDistinct(key).alias("n_cases"))
     n = tokens.join(cases.select(key, group), key).groupBy("item", group).agg(F.countDistinct(key).alias("n_emitted"))
-    dims = items.select("item").distinct().join(F.broadcast(n_cases))  # items x groups
+    dims = items.select("item").distinct().crossJoin(n_cases)  # items x groups
     out = dims.join(n, ["item", group], "left").withColumn("n_emitted", F.coalesce("n_emitted", F.lit(0)))
     return out.select("item", group, "n_cases", "n_emitted", (F.col("n_emitted") / F.col("n_cases")).alias("fraction"), F.when(F.col("n_emitted") == 0, 1).alias("mask"))
 
@@ -76,9 +78,32 @@ def sample_per_group(df: DataFrame, group: list[str], key: Column, n: int, seed:
 
 
 def quota(df: DataFrame, group: list[str], order: list[str], share: Column) -> DataFrame:
-    """Marks the first round(share * N) rows of each group."""
-    w = Window.partitionBy(*group)
-    return df.withColumn("picked", F.row_number().over(w.orderBy(*order)) <= F.round(share * F.count("*").over(w)))
+    """Marks the first round(share * N) rows of each group, in the order of a number and then of the other columns."""
+    rows = row_numbers(df, order[0], group, order[1:], "__r", "__n")
+    return rows.withColumn("picked", F.col("__r") <= F.round(share * F.col("__n"))).drop("__r", "__n")
+
+
+def stratified_folds(df: DataFrame, group: list[str], key: Column, folds: int = 5, seed: str = "f") -> DataFrame:
+    """`df` with `fold`: rows of each class are dealt in the order of their keys' hash."""
+    rows = df.withColumn("__h", F.sha2(F.concat(F.lit(seed + ":"), key.cast("string")), 256))
+    rows = rows.withColumn("__x", F.conv(F.substring("__h", 1, 13), 16, 10).cast("double"))
+    return row_numbers(rows, "__x", group, ["__h"], "__r").withColumn("fold", F.col("__r") % folds).drop("__h", "__x", "__r")
+
+
+def largest_remainder(counts: DataFrame, group: list[str], n: str, total: int) -> DataFrame:
+    """(group, n, take): `total` shared out in proportion to the counts; what rounding down leaves goes to the largest remainders
+    (ties: the larger group, then the first). A row a group; never more than a group has."""
+    whole = counts.agg(F.sum(n).alias("__t"))
+    rows = counts.join(F.broadcast(whole)).withColumn("__q", F.col(n) * F.least(F.lit(total), F.col("__t")) / F.col("__t"))
+    rows = rows.withColumn("__f", F.floor("__q"))
+    rows = row_numbers(rows.withColumn("__neg", F.round(F.col("__f") - F.col("__q"), 12)), "__neg", [], [F.col(n).desc(), *group], "__i")
+    left = rows.agg((F.least(F.lit(total), F.max("__t")) - F.sum("__f")).alias("__left"))
+    return rows.join(F.broadcast(left)).select(*group, n, (F.col("__f") + (F.col("__i") <= F.col("__left")).cast("long")).alias("take"))
+
+
+def in_scope(items: DataFrame, scopes: tuple[str, ...], item: str = "item", mark: str = ":") -> DataFrame:
+    """The items whose scope, the part of their name before the mark (or all of it), is one of `scopes`."""
+    return items.where(F.element_at(F.split(item, mark), 1).isin(*scopes))
 
 
 def uniform(seed: str, *keys: Column) -> Column:

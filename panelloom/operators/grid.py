@@ -58,7 +58,8 @@ def ffill_asof(
     With `bucket` (seconds) the window runs within time buckets and the last sample before a bucket is carried in from the
     buckets' summaries, so that one entity with most rows spreads over many tasks."""
     own = grid.columns
-    s = samples.where(F.col(value).isNotNull()).select(
+    numeric = samples.schema[value].dataType.typeName() in ("double", "float")
+    s = samples.where((finite(value) if numeric else F.col(value)).isNotNull()).select(
         *keys, F.col("t").alias("__t"), F.lit(0).alias("__g"), (F.col(seq) if seq else F.lit(0)).cast("long").alias("__o"), F.col(value).alias("__v"), F.lit(None).cast(grid.schema).alias("__row")
     )
     g = grid.select(*keys, F.col("t").alias("__t"), F.lit(1).alias("__g"), F.lit(0).cast("long").alias("__o"), F.lit(None).cast(samples.schema[value].dataType).alias("__v"), F.struct(*own).alias("__row"))
@@ -87,7 +88,7 @@ def bin_events(events: DataFrame, grid_bounds: DataFrame, keys: list[str], step:
     before the first point count to it; events after the last are dropped."""
     n = F.ceil((F.col("a1") - F.col("a0")) / step)
     k = F.greatest(F.lit(0), F.ceil((F.col("t") - F.col("a0")) / step)).cast("int")
-    e = events.where(F.col(value) > 0).join(grid_bounds, keys).withColumn("k", k).where(F.col("k") < n)
+    e = events.where(finite(value) > 0).join(grid_bounds, keys).withColumn("k", k).where(F.col("k") < n)
     return e.groupBy(*keys, "k").agg(F.sum(value).alias(out))
 
 
@@ -167,6 +168,17 @@ def endpoint_cascade(x0: Column, x1: Column, p0: Column, p1: Column) -> tuple[Co
     return pick(x0, p0), pick(x1, p1), F.when(a, 0).when(b, 1).otherwise(2)
 
 
+def case_bounds(obs: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a0, a1) of cases with marks (keys, case_start, case_end, ane_start, ane_end): from the latest of the first observation
+    and the starts to the earliest of the last observation, the second end, and the first end where that is positive. Missing marks
+    don't bound. A grid over it starts at a0 and is empty where a1 <= a0."""
+    o = obs.groupBy(*keys).agg(F.min("t").alias("__lo"), F.max("t").alias("__hi"))
+    j = o.join(marks.select(*keys, "case_start", "case_end", "ane_start", "ane_end"), keys, "left")
+    a0 = F.greatest("ane_start", "case_start", "__lo")
+    a1 = F.least("ane_end", F.when(F.col("case_end") > 0, F.col("case_end")), "__hi")
+    return j.select(*keys, a0.alias("a0"), a1.alias("a1"))
+
+
 def step_hold(held: Column) -> Column:
     """A held step signal is 0, not null, before its first event."""
     return F.coalesce(held, F.lit(0.0))

@@ -33,7 +33,7 @@ def after_action(t1: Column, ta: Column, step: float) -> Column:
 def assemble(base: DataFrame, other: DataFrame, meta: DataFrame) -> DataFrame:
     """(pair_id, n_base, n_other, n_pre, n_post, usable): counts of windows, and whether both branches have the same t0s.
     One full join; set equality is a count of lone rows."""
-    j = base.select("pair_id", "t", F.lit(1).alias("a")).join(other.select("pair_id", "t", F.lit(1).alias("b")), ["pair_id", "t"], "full").join(F.broadcast(meta.select("pair_id", "split_t")), "pair_id")
+    j = base.select("pair_id", "t", F.lit(1).alias("a")).join(other.select("pair_id", "t", F.lit(1).alias("b")), ["pair_id", "t"], "full").join(meta.select("pair_id", "split_t"), "pair_id")
     n = lambda c: F.count_if(c)
     out = j.groupBy("pair_id").agg(
         F.count("a").alias("n_base"), F.count("b").alias("n_other"), n(F.col("a").isNotNull() & (F.col("t") < F.col("split_t"))).alias("n_pre"),
@@ -60,13 +60,13 @@ def first_divergence(base: DataFrame, other: DataFrame, cols: list[str]) -> Data
 
 def prefix_identity(base: DataFrame, other: DataFrame, cols: list[str], meta: DataFrame) -> DataFrame:
     """(pair_id, n_prefix, same): whether all columns agree strictly before the split."""
-    j = joined(base, other, cols).join(F.broadcast(meta.select("pair_id", "split_t")), "pair_id").where("t < split_t")
+    j = joined(base, other, cols).join(meta.select("pair_id", "split_t"), "pair_id").where("t < split_t")
     return j.groupBy("pair_id").agg(F.count("*").alias("n_prefix"), F.bool_and(~F.col("__d")).alias("same"))
 
 
 def effect_lag(base: DataFrame, other: DataFrame, cols: list[str], meta: DataFrame) -> DataFrame:
     """(pair_id, lag): how many rows after the split the first difference is; null if there is none."""
-    j = joined(base, other, cols).join(F.broadcast(meta.select("pair_id", "split_t")), "pair_id").where("t >= split_t")
+    j = joined(base, other, cols).join(meta.select("pair_id", "split_t"), "pair_id").where("t >= split_t")
     k = F.row_number().over(Window.partitionBy("pair_id").orderBy("t")) - 1
     return j.withColumn("k", k).groupBy("pair_id").agg(F.min(F.when(F.col("__d"), F.col("k"))).alias("lag"))
 
@@ -115,7 +115,7 @@ def identity_gate(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str],
 
 def differs_after(base: DataFrame, other: DataFrame, cols: list[str], meta: DataFrame, ta: str = "ta") -> DataFrame:
     """(pair_id, differs): whether any column differs strictly after the action's time."""
-    j = joined(base, other, cols).join(F.broadcast(meta.select("pair_id", ta)), "pair_id")
+    j = joined(base, other, cols).join(meta.select("pair_id", ta), "pair_id")
     return j.groupBy("pair_id").agg(F.coalesce(F.bool_or(F.when(F.col("t") > F.col(ta), F.col("__d"))), F.lit(False)).alias("differs"))
 
 

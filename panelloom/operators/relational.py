@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def only_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -59,9 +60,15 @@ def actions_to_intervals(actions: DataFrame, keys: list[str], order: list[str],
     return actions.select(*keys, F.col(t).alias("start"), F.lead(t).over(w).alias("end"), F.col(rate).alias("rate")).where("rate > 0")
 
 
-def split_intervals(intervals: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, id, start, end): each interval cut at the points within it."""
-    c = intervals.join(cuts, keys).where((F.col("cut") > F.col("start")) & (F.col("cut") < F.col("end"))).select(*keys, "id", F.col("cut").alias("p"), "end")
+def split_intervals(intervals: DataFrame, cuts: DataFrame, keys: list[str], span: float | None = None) -> DataFrame:
+    """(keys, id, start, end): each interval cut at the points within it. With `span` both sides are dealt by time buckets of that
+    width, so that a key with many intervals and cuts is no join of all with all."""
+    c = cuts.select(*keys, F.col("cut").alias("p"))
+    if span:
+        j = intervals_at(c, intervals.select(*keys, "id", "start", "end"), keys, span, "p")
+    else:
+        j = intervals.join(c, keys)
+    c = j.where((F.col("p") > F.col("start")) & (F.col("p") < F.col("end"))).select(*keys, "id", "p", "end")
     p = intervals.select(*keys, "id", F.col("start").alias("p"), "end").unionByName(c).distinct()
     w = Window.partitionBy(*keys, "id").orderBy("p")
     return p.select(*keys, "id", F.col("p").alias("start"), F.coalesce(F.lead("p").over(w), F.col("end")).alias("end"))
@@ -97,22 +104,27 @@ def top_abs(df: DataFrame, x: str, tie: str, k: int = 10) -> DataFrame:
     return df.orderBy(F.abs(x).desc_nulls_last(), tie).limit(k)
 
 
-def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str], where: Column | None = None) -> DataFrame:
-    """(col, n, n_differ, n_pattern, max_abs): null-safe comparison by key; a key on one side only counts as differing.
-    NaN equals NaN. `where` restricts both sides (for prefixes). n_pattern: null on one side only."""
+def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str], where: Column | None = None, pattern_inf: bool = False) -> DataFrame:
+    """(col, n, n_differ, n_pattern, max_abs): null-safe comparison by key, each column as its own type; a key on one side only counts
+    as differing. NaN equals NaN. `where` restricts both sides (for prefixes). n_pattern: null on one side only. max_abs is null for
+    columns that aren't numbers; with `pattern_inf` it is infinite where a row is null on one side only."""
     if where is not None:
         a, b = a.where(where), b.where(where)
     left = a.select(*keys, *[F.col(c).alias(f"__a_{c}") for c in cols], F.lit(1).alias("__ia"))
     right = b.select(*keys, *[F.col(c).alias(f"__b_{c}") for c in cols], F.lit(1).alias("__ib"))
     both = left.join(right, keys, "full")
-    cells = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"__a_{c}").cast("double").alias("x"), F.col(f"__b_{c}").cast("double").alias("y")) for c in cols])
-    c = both.select(F.explode(cells).alias("__c"), "__ia", "__ib").select("__c.*", "__ia", "__ib")
+    numeric = lambda df, c: isinstance(df.schema[c].dataType, NumericType)
+
+    def cell(c: str) -> Column:
+        x, y = F.col(f"__a_{c}"), F.col(f"__b_{c}")
+        gap = F.abs(x - y).cast("double") if numeric(a, c) and numeric(b, c) else F.lit(None).cast("double")
+        return F.struct(F.lit(c).alias("col"), x.eqNullSafe(y).alias("same"), (x.isNull() != y.isNull()).alias("half"), gap.alias("gap"))
+
+    c = both.select(F.explode(F.array(*map(cell, cols))).alias("__c"), "__ia", "__ib").select("__c.*", "__ia", "__ib")
     lone = F.col("__ia").isNull() | F.col("__ib").isNull()
+    gap = F.when(~lone & F.col("half"), F.lit(float("inf"))).otherwise(F.col("gap")) if pattern_inf else F.col("gap")
     return c.groupBy("col").agg(
-        F.count("*").alias("n"),
-        F.count_if(lone | ~F.col("x").eqNullSafe(F.col("y"))).alias("n_differ"),
-        F.count_if(~lone & (F.col("x").isNull() != F.col("y").isNull())).alias("n_pattern"),
-        F.max(F.abs(F.col("x") - F.col("y"))).alias("max_abs"),
+        F.count("*").alias("n"), F.count_if(lone | ~F.col("same")).alias("n_differ"), F.count_if(~lone & F.col("half")).alias("n_pattern"), F.max(gap).alias("max_abs")
     )
 
 

@@ -29,9 +29,13 @@ def running_sum(x: str | Column, keys: list[str], order: list[str], strict: bool
 
 
 def linear_recurrence(df: DataFrame, keys: list[str], order: list[str], a: float, b: Column, out: str = "y", y0: float = 0.0, block: int = 64) -> DataFrame:
-    """y[i] = a * y[i-1] + b[i], y before the first row is y0. Blocks bound the powers of a."""
-    if not 0 < a < 1:
-        raise ValueError("a must be between 0 and 1")
+    """y[i] = a * y[i-1] + b[i], y before the first row is y0. Blocks bound the powers of a: of `block` rows, fewer for small a, so
+    that no power passes 1e250."""
+    if not 0 <= a < 1:
+        raise ValueError("a must be at least 0 and below 1")
+    if a < 1e-250:
+        return df.withColumn(out, b)
+    block = max(1, min(block, int(250 / max(-np.log10(a), 1e-9))))
     w = Window.partitionBy(*keys).orderBy(*order)
     rows = df.withColumns({"__i": F.row_number().over(w) - 1, "__b": b})
     rows = rows.withColumns({"__k": F.floor(F.col("__i") / block), "__j": F.col("__i") % block})

@@ -148,10 +148,7 @@ def split_quota(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY sha256('f:' || event_id)) % 5 AS fold FROM events")
 def split_stratified_folds(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_type").orderBy(F.sha2(F.concat(F.lit("f:"), F.col("event_id").cast("string")), 256))
-    return table(spark, d, "events").select("event_id", (F.row_number().over(w).cast("long") % 5).alias("fold"))
+    return E.stratified_folds(table(spark, d, "events"), ["event_type"], F.col("event_id")).select("event_id", "fold")
 
 
 @query(

@@ -236,7 +236,7 @@ SELECT entity, id, p AS "start", coalesce(lead(p) OVER (PARTITION BY entity, id
 def rel_split_intervals(spark: SparkSession, d: str) -> DataFrame:
     _, iv = _iv(spark, d)
     cuts = _obs(spark, d).where("track = 'error'").select("entity", F.col("t").alias("cut"))
-    return R.split_intervals(iv.select("entity", F.col("seq").alias("id"), "start", "end"), cuts, ["entity"])
+    return R.split_intervals(iv.select("entity", F.col("seq").alias("id"), "start", "end"), cuts, ["entity"], 86_400.0)
 
 
 _DUP = "dup AS (SELECT l_orderkey AS id, round(l_extendedprice * 100)::BIGINT AS seq, CASE WHEN l_quantity > 25 THEN l_quantity END AS a, CASE WHEN l_discount > 0.04 THEN l_discount END AS b, CASE WHEN l_tax > 0.03 THEN l_returnflag END AS c FROM lineitem)"
@@ -361,3 +361,62 @@ def rel_classify(spark: SparkSession, d: str) -> DataFrame:
     name = R.classify(F.col("p_name"), [("starts", "small", "small"), ("ends", "ring", "ring"), ("holds", "dg", "dg")], "")
     kind = R.classify(F.col("p_type"), [("like", "^(ECO|PRO)", "eco_pro")], "rest")
     return p.select("p_partkey", F.when(name != "", name).otherwise(kind).alias("label"))
+
+
+# --- by type, at horizons, by marks ----------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH j AS (SELECT o_orderkey AS id, o_orderpriority AS s1, CASE WHEN o_orderkey % 7 = 0 THEN upper(o_orderpriority) || '!' WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS s2,
+  o_custkey AS n1, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey + 1 WHEN o_orderkey % 13 <> 0 THEN o_custkey END AS n2 FROM orders)
+SELECT 's' AS col, count(*)::BIGINT AS n, count(*) FILTER (s1 IS DISTINCT FROM s2)::BIGINT AS n_differ, count(*) FILTER ((s1 IS NULL) <> (s2 IS NULL))::BIGINT AS n_pattern,
+  CASE WHEN count(*) FILTER ((s1 IS NULL) <> (s2 IS NULL)) > 0 THEN 'inf'::DOUBLE END AS max_abs FROM j
+UNION ALL SELECT 'n', count(*), count(*) FILTER (n1 IS DISTINCT FROM n2), count(*) FILTER ((n1 IS NULL) <> (n2 IS NULL)),
+  CASE WHEN count(*) FILTER ((n1 IS NULL) <> (n2 IS NULL)) > 0 THEN 'inf'::DOUBLE ELSE max(abs(n1 - n2)) END FROM j"""
+)
+def cmp_types(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("s"), F.col("o_custkey").alias("n"))
+    s = F.when(F.col("id") % 7 == 0, F.concat(F.upper("s"), F.lit("!"))).when(F.col("id") % 11 != 0, F.col("s"))
+    n = F.when(F.col("id") % 5 == 0, F.col("n") + 1).when(F.col("id") % 13 != 0, F.col("n"))
+    return R.compare_tables(o, o.select("id", s.alias("s"), n.alias("n")), ["id"], ["s", "n"], pattern_inf=True)
+
+
+@query(
+    f"""WITH {OBS}, w AS (SELECT track, value AS x, lead(value, 1) OVER p AS a, lead(value, 12) OVER p AS b, lead(value, 60) OVER p AS c FROM obs WINDOW p AS (PARTITION BY entity, track ORDER BY t, seq)),
+u AS (SELECT track, 1 AS horizon, abs(a - x) AS e FROM w UNION ALL SELECT track, 12, abs(b - x) FROM w UNION ALL SELECT track, 60, abs(c - x) FROM w)
+SELECT track, horizon, count(e)::BIGINT AS n, round(avg(e), 6) AS mae FROM u GROUP BY 1, 2"""
+)
+def agg_persistence(spark: SparkSession, d: str) -> DataFrame:
+    p = A.persistence_error(_obs(spark, d), ["entity", "track"], ["t", "seq"], "value", group=["track"])
+    return p.withColumn("mae", _r("mae"))
+
+
+@query(
+    f"""WITH {OBS}, o AS (SELECT entity, min(t) AS lo, max(t) AS hi FROM obs GROUP BY entity),
+m AS (SELECT entity, min(t) FILTER (track = 'purchase') AS s, max(t) FILTER (track = 'error') AS e, CASE WHEN entity % 3 = 0 THEN 0.0 ELSE max(t) FILTER (track = 'purchase') END AS c FROM obs GROUP BY entity)
+SELECT entity, greatest(s, lo) AS a0, least(e, CASE WHEN c > 0 THEN c END, hi) AS a1 FROM o JOIN m USING (entity)"""
+)
+def grid_case_bounds(spark: SparkSession, d: str) -> DataFrame:
+    o = _obs(spark, d)
+    at = lambda f, k: f(F.when(F.col("track") == k, F.col("t")))
+    m = o.groupBy("entity").agg(at(F.min, "purchase").alias("ane_start"), at(F.max, "error").alias("ane_end"), F.when(F.col("entity") % 3 == 0, F.lit(0.0)).otherwise(at(F.max, "purchase")).alias("case_end"))
+    return G.case_bounds(o, m.withColumn("case_start", F.lit(None).cast("double")), ["entity"])
+
+
+@query(
+    """WITH c AS (SELECT c_mktsegment AS g, count(*) AS n FROM customer GROUP BY 1), q AS (SELECT g, n, n * 37 / sum(n) OVER () AS q FROM c),
+r AS (SELECT g, n, floor(q)::BIGINT AS f, row_number() OVER (ORDER BY round(floor(q) - q, 12), n DESC, g) AS i FROM q)
+SELECT g, n::BIGINT AS n, f + (i <= 37 - (SELECT sum(f) FROM r))::BIGINT AS take FROM r"""
+)
+def split_largest_remainder(spark: SparkSession, d: str) -> DataFrame:
+    from panelloom.operators import encode as E
+
+    c = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("g")).agg(F.count("*").alias("n"))
+    return E.largest_remainder(c, ["g"], "n", 37)
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE split_part(p_type, ' ', 1) IN ('STANDARD', 'PROMO', 'SMALL')")
+def enc_scope(spark: SparkSession, d: str) -> DataFrame:
+    from panelloom.operators import encode as E
+
+    return E.in_scope(table(spark, d, "part").select("p_partkey", "p_type"), ("STANDARD", "PROMO", "SMALL"), "p_type", " ")

@@ -22,6 +22,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     written there is deleted when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("panelloom.scratch.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all hosts share")
         base = "file://" + tempfile.mkdtemp(prefix="panelloom-")
         spark.conf.set("panelloom.scratch.dir", base)
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")

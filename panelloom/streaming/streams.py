@@ -44,33 +44,46 @@ def first_seen(df: DataFrame, keys: list[str], ts: str = "ts", watermark: str =
     return df.dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
-def asof_previous(df: DataFrame, key: str, track: str, wanted: str, max_age_s: float, ts: str = "ts", value: str = "value", id_col: str = "event_id") -> DataFrame:
+def asof_previous(
+    df: DataFrame, key: str, track: str, wanted: str, max_age_s: float, ts: str = "ts", value: str = "value", id_col: str = "event_id", watermark: str = "2 days"
+) -> DataFrame:
     """For each row of a stream the last value of the wanted track before it, not older than `max_age_s`; state is one
-    number a key. Within a micro-batch rows are taken in time order."""
+    number a key, and ends when the watermark has passed its age. Within a micro-batch rows are taken in time order. A row that is
+    older than the value held has none (it is never answered from a later one) and doesn't replace it."""
     schema = f"{id_col} long, {key} long, held double"
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         at, held = state.get if state.exists else (float("nan"), float("nan"))
         pdf = pd.concat(list(parts)).sort_values([ts, id_col])  # a micro-batch's rows of one key
         t = pdf[ts].astype("int64").to_numpy() / (1e9 if str(pdf[ts].dtype).endswith("[ns]") else 1e6)
         out = []
         for a, kind, v in zip(t, pdf[track], pdf[value], strict=True):
-            out.append(held if a - at <= max_age_s else None)
-            if kind == wanted and v == v:
+            out.append(held if 0 <= a - at <= max_age_s else None)
+            if kind == wanted and v == v and not a < at:
                 at, held = float(a), float(v)
-        state.update((at, held))
+        if at == at:
+            state.update((at, held))
+            ends = int((at + max_age_s) * 1000) + 1
+            state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), key: k[0], "held": pd.array(out, dtype="Float64")})
 
-    src = df.select(id_col, key, F.col(ts).cast("timestamp").alias(ts), track, value)
-    return src.groupBy(key).applyInPandasWithState(run, schema, "at double, held double", "append", GroupStateTimeout.NoTimeout)
+    src = _marked(df.select(id_col, key, ts, track, value), ts, watermark)
+    timeout = GroupStateTimeout.EventTimeTimeout if df.isStreaming else GroupStateTimeout.NoTimeout
+    return src.groupBy(key).applyInPandasWithState(run, schema, "at double, held double", "append", timeout)
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what its source has now and gives its sink's table. In complete mode each micro-batch replaces the
-    result, in append mode it adds to it."""
+    result, in append mode it has a folder of its own, so that a batch that is run again replaces its first try."""
     spark = stream.sparkSession
     out = scratch(spark, name)
-    write: Callable = lambda b, _: b.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    write: Callable = lambda b, i: b.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/{i}")
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, f"{name}-state")).trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)

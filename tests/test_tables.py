@@ -10,6 +10,7 @@ from panelloom.functions import scalar as S
 from panelloom.operators import aggregates as A
 from panelloom.operators import distribution as D
 from panelloom.operators import encode as E
+from panelloom.operators import grid as G
 from panelloom.operators import pairs as P
 from panelloom.operators import relational as R
 from panelloom.operators import scans as N
@@ -129,8 +130,10 @@ def test_neighbours(spark):
     mk = lambda gap: spark.createDataFrame([(i, vec(gap * (i % 2)), i % 2) for i in range(120)], "id long, v array<float>, l int")
     near = lambda gap: np.mean([r["mean"] for r in D.neighbour_overlap(mk(gap), "v", "id", "l", 10).collect()])
     assert near(0) > 0.4 and near(20) < 0.05
-    with pytest.raises(ValueError):
-        D.neighbour_overlap(mk(0), "v", "id", "l", 10, most=5)
+    df = mk(0)
+    whole = D.neighbour_overlap(df, "v", "id", "l", 10)
+    rounded = lambda d: sorted((r["label"], r["n"], round(r["mean"], 9), round(r["median"], 9)) for r in d.collect())
+    assert rounded(D.neighbour_overlap(df, "v", "id", "l", 10, most=17)) == rounded(whole)
 
 
 def steps(spark, n, **cols):
@@ -227,3 +230,65 @@ def test_guards(spark):
         R.check_columns(spark.createDataFrame([(1, 2)], "a int, secret int"), {"a"})
     df = spark.createDataFrame([(1, 0, None), (1, 1, None), (1, 2, "x"), (1, 3, "x")], "e int, i int, x string")
     assert [r[0] for r in df.select(R.changed("x", ["e"], ["i"])).collect()] == [False, False, True, False]
+
+
+@pytest.mark.parametrize("a", [0.0, 1e-300, 1e-12, 1e-6, 1e-4, 0.5, 1 - 1e-12])
+def test_recurrence_over_all_coefficients(spark, a):
+    b = [float(x) for x in np.random.default_rng(2).normal(0, 1, 150)]
+    want, y = [], 3.0
+    for x in b:
+        y = a * y + x
+        want.append(y)
+    df = spark.createDataFrame([("e", i, x) for i, x in enumerate(b)], "e string, i int, x double")
+    got = [r["y"] for r in N.linear_recurrence(df, ["e"], ["i"], a, F.col("x"), y0=3.0).orderBy("i").collect()]
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
+def test_events_and_samples_that_are_no_numbers_do_not_count(spark):
+    nan, inf = float("nan"), float("inf")
+    events = spark.createDataFrame([("e", 1.0, nan), ("e", 2.0, 5.0), ("e", 3.0, inf), ("e", 4.0, -1.0), ("e", 4.0, None)], "e string, t double, value double")
+    bounds = spark.createDataFrame([("e", 0.0, 10.0)], "e string, a0 double, a1 double")
+    assert [tuple(r) for r in G.bin_events(events, bounds, ["e"], 5.0).collect()] == [("e", 1, 5.0)]
+    grid = spark.createDataFrame([("e", 0, 3.5)], "e string, k int, t double")
+    assert G.ffill_asof(events, grid, ["e"]).first()["value"] == 5.0
+
+
+def test_comparison_by_type(spark):
+    a = spark.createDataFrame([(1, "x", 2**60, 1.0), (2, None, 5, float("nan")), (3, "z", 7, None)], "k int, s string, n long, d double")
+    b = spark.createDataFrame([(1, "y", 2**60 + 1, 1.5), (2, None, 5, float("nan")), (3, "z", None, 2.0), (4, "w", 1, 1.0)], "k int, s string, n long, d double")
+    got = {r["col"]: tuple(r)[1:] for r in R.compare_tables(a, b, ["k"], ["s", "n", "d"], pattern_inf=True).collect()}
+    assert got["s"] == (4, 2, 0, None) and got["n"] == (4, 3, 1, float("inf")) and got["d"][:3] == (4, 3, 1)
+
+
+def test_quantiles_and_row_numbers_match_numpy(spark):
+    from panelloom.operators import ordered as O
+
+    rng = np.random.default_rng(6)
+    rows = [(g, float(v)) for g, n in (("a", 1), ("b", 2), ("c", 700), (None, 55)) for v in rng.integers(0, 90, n)] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    ps = [0.0, 0.01, 0.33, 0.5, 0.99, 1.0]
+    got = {r["g"]: r["q"] for r in O.quantiles(df, "x", ps, ["g"]).collect()}
+    for g in ("a", "b", "c", None):
+        assert np.allclose(got[g], np.quantile([x for k, x in rows if k == g and x is not None], ps))
+    assert np.allclose(O.quantiles(df, "x", ps, []).first()["q"], np.quantile([x for _, x in rows if x is not None], ps))
+    ranks = sorted((r["g"] or "", r["rank"], r["n"]) for r in O.row_numbers(df, "x", ["g"], count="n").collect())
+    assert ranks == sorted((g or "", i + 1, sum(k == g for k, _ in rows)) for g in {k for k, _ in rows} for i in range(sum(k == g for k, _ in rows)))
+
+
+def test_case_bounds_by_hand(spark):
+    obs = spark.createDataFrame([(1, 5.0), (1, 90.0), (2, 5.0), (2, 90.0), (3, 5.0)], "c int, t double")
+    marks = spark.createDataFrame([(1, 0.0, 80.0, 10.0, None), (2, 20.0, 0.0, 10.0, 70.0)], "c int, case_start double, case_end double, ane_start double, ane_end double")
+    assert sorted(map(tuple, G.case_bounds(obs, marks, ["c"]).collect())) == [(1, 10.0, 80.0), (2, 20.0, 70.0), (3, 5.0, 5.0)]
+    assert G.make_grid(G.case_bounds(obs, marks, ["c"]), 5.0).where("c = 3").count() == 0
+
+
+def test_shared_out_totals(spark):
+    n = spark.createDataFrame([("a", 50), ("b", 30), ("c", 21), ("d", 1)], "g string, n long")
+    take = lambda t: [r["take"] for r in E.largest_remainder(n, ["g"], "n", t).orderBy("g").collect()]
+    assert take(10) == [5, 3, 2, 0] and take(0) == [0, 0, 0, 0] and take(500) == [50, 30, 21, 1] and sum(take(37)) == 37
+
+
+def test_ks_p_value(spark):
+    row = spark.range(1).select(D.ks_p_value(F.lit(0.2), F.lit(100.0), F.lit(120.0)).alias("p"), D.ks_p_value(F.lit(0.0), F.lit(5.0), F.lit(5.0)).alias("one")).first()
+    lam2 = 0.04 * 100 * 120 / 220
+    assert abs(row["p"] - 2 * sum((-1) ** (k - 1) * np.exp(-2 * k * k * lam2) for k in range(1, 60))) < 1e-12 and row["one"] == 1.0
