@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -73,11 +74,17 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
+        """Deletes a table that isn't read again. Spark deletes the shuffles of plans that are gone when the driver collects garbage."""
         path = getattr(df, "_scratch_path", None)
         if path:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
+    def sweep(self) -> None:
+        """Collects the driver's garbage, and with it the shuffles of plans that are gone."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def is_held_out(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id's decimal text, modulo 3, is 1. Null ids are not held out."""
