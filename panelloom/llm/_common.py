@@ -34,6 +34,12 @@ def _trim() -> None:
         pass
 
 
+def _drop_caches(keeps: str | None) -> None:
+    for name, held in CACHES.items():
+        if name != keeps:
+            held.clear()
+
+
 def arrow(df: DataFrame, run: Callable, schema, keeps: str | None = None) -> DataFrame:
     """mapInArrow with batches of bounded size, which bound the memory of the Python workers. A task first drops what earlier
     steps left in its worker, but for the cache that it `keeps` using."""
@@ -46,9 +52,7 @@ def arrow(df: DataFrame, run: Callable, schema, keeps: str | None = None) -> Dat
             _trim()
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, held in CACHES.items():
-            if name != keeps and held:
-                held.clear()
+        _drop_caches(keeps)
         yield from run(trimming(batches))
         _trim()
 

@@ -72,3 +72,16 @@ def test_op4_and_op7_encode_texts_of_one_hash_as_the_libraries_do(spark, order):
         assert ids.tolist() == [i for x in group for i in [*t.encode(x, add_special_tokens=False).ids, 2]]
         ids, n = transducer.codec(path).encode(data, off)
         assert ids.tolist() == [i for x in group for i in sp.encode(x)]
+
+
+def test_spans_are_compared_byte_by_byte():
+    from panelloom.llm import pieces
+
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 3, 5000).astype(np.uint8)
+    y = x.copy()
+    y[rng.integers(0, 4900, 60)] = 9
+    start = rng.integers(0, 4000, 800)
+    size = np.where(rng.random(800) < 0.1, rng.integers(200, 900, 800), rng.integers(0, 30, 800))
+    got = pieces.differing(x, start, y, start, size)
+    assert got.tolist() == [bool((x[a : a + n] != y[a : a + n]).any()) for a, n in zip(start, size)] and 50 < got.sum() < 700
