@@ -22,7 +22,7 @@ BATCH_BYTES = 8 << 20
 
 
 #: What a Python worker keeps between tasks: by the name of the step that uses it.
-CACHES: dict[str, dict] = {"pieces": {}, "tokens": {}}
+CACHES: dict[str, dict] = {"pieces": {}, "tokens": {}, "chat": {}}
 
 
 def _trim() -> None:
