@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ._common import Scratch, arrow, table
 
@@ -135,8 +135,8 @@ def _rows(col: pa.Array, width: int) -> np.ndarray:
 
 
 def _schema(df: DataFrame, carry: list[str], extra: str) -> StructType:
-    head = StructType([df.schema[c] for c in carry])
-    return StructType([*head.fields, *StructType.fromDDL(extra).fields])
+    head = [StructField(c, df.schema[c].dataType) for c in carry]  # null in the rows of sums
+    return StructType([*head, *StructType.fromDDL(extra).fields])
 
 
 _STATE = "__v array<int>, __code binary, __upper array<float>, __lower array<float>, __part int, __entry int, __n long, __scans long, __sums array<long>"
