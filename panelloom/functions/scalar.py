@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,17 +13,40 @@ from ..operators.grid import finite
 
 __all__ = [
     "age_hours", "alveolar_oxygen", "attenuation", "bucket", "clip", "emax", "field", "finite", "hill", "is_missing", "lean_mass",
-    "normalize_item", "number_in", "per_minute", "saturation", "scaled", "time_in_text", "to_number", "truthy",
+    "normalize_item", "number_in", "per_minute", "saturation", "scaled", "time_in_text", "to_ascii", "to_number", "truthy",
 ]
 
-_ACCENTS = "àáâãäåāăąçćčďèéêëēęěğìíîïīłñńňòóôõöøōőřśšşťùúûüūůűýÿźżž"
-_PLAIN = "aaaaaaaaacccdeeeeeeegiiiiilnnnoooooooorssstuuuuuuuyyzzz"
+
+
+@cache
+def _compatibility() -> tuple[dict[str, str], dict[str, str]]:
+    """What Unicode's compatibility decomposition (NFKD) leaves of each character beyond ASCII once all that isn't ASCII is dropped:
+    (one character for one, several or another number of characters for one). Characters that leave nothing are in neither."""
+    one, more = {}, {}
+    for i in range(0x80, sys.maxunicode + 1):
+        if not 0xD800 <= i < 0xE000:
+            left = "".join(c for c in unicodedata.normalize("NFKD", chr(i)) if ord(c) < 0x80)
+            if left:
+                (one if len(left) == 1 else more)[chr(i)] = left
+    return one, more
+
+
+def to_ascii(x: Column) -> Column:
+    """The text in compatibility decomposition without all that isn't ASCII. ASCII text is left as it is; characters that stand for one
+    are translated, and only a text with one that stands for several is taken apart."""
+    one, more = _compatibility()
+    several = "[" + "".join(more) + "]"
+    known = F.create_map(*[F.lit(v) for pair in more.items() for v in pair])
+    apart = F.array_join(F.transform(F.regexp_extract_all(x, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
+    whole = F.when(x.rlike(several), apart).otherwise(x)
+    plain = F.regexp_replace(F.translate(whole, "".join(one), "".join(one.values())), r"[^\x00-\x7F]+", "")
+    return F.when(x.rlike(r"[^\x00-\x7F]"), plain).otherwise(x)
 
 
 def normalize_item(x: Column) -> Column:
-    """Lower case without accents, other runs than letters and digits as one underscore, none at the ends; whole numbers
-    without their decimals."""
-    plain = F.translate(F.lower(F.regexp_replace(x.cast("string"), r"^(-?[0-9]+)\.0+$", "$1")), _ACCENTS, _PLAIN)
+    """Lower case of the text's ASCII form (accents, ligatures, widths and superscripts resolved, what has no ASCII form dropped), other
+    runs than letters and digits as one underscore, none at the ends; whole numbers without their decimals."""
+    plain = F.lower(to_ascii(F.regexp_replace(x.cast("string"), r"^(-?[0-9]+)\.0+$", "$1")))
     return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 

@@ -2,7 +2,7 @@
 
 Rows are dealt by value buckets at approximate quantiles; each bucket is ordered for itself, and the buckets' counts are then
 carried over `BUCKETS` rows a group. The approximation decides only how even the buckets are. Nulls take no part; null group
-keys are a group like any other."""
+keys are a group like any other. NaN and infinite values count as missing, as everywhere."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grid import finite
+
 BUCKETS = 64
 
 
@@ -29,7 +31,8 @@ def in_buckets(df: DataFrame, x: str, name: str = "__k") -> DataFrame:
 
 def cumulated(df: DataFrame, x: str, side: Column, group: list[str]) -> DataFrame:
     """Distinct values with counts (a, b), running sums with the value (ca, cb), totals (na, nb) and the next value."""
-    n = df.where(F.col(x).isNotNull()).groupBy(*group, F.col(x).alias("x")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
+    real = dict(df.dtypes)[x] in ("double", "float")
+    n = df.where((finite(x) if real else F.col(x)).isNotNull()).groupBy(*group, F.col(x).alias("x")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
     n = in_buckets(n, "x")
     one = [F.col(c) for c in group] or [F.lit(0)]
     k = n.groupBy(*group, "__k").agg(F.sum("a").alias("ka"), F.sum("b").alias("kb"), F.min("x").alias("kx"))

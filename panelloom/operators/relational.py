@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from .intervals import covered, intervals_at, last_writer, split_intervals
+
+__all__ = ["covered", "intervals_at", "last_writer", "split_intervals"]
+
 
 def only_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys.select(*on).distinct(), on, "left_semi")
@@ -27,23 +31,6 @@ def left_counts(rows: DataFrame, facts: DataFrame, on: list[str], out: str = "n"
     return rows.join(facts.groupBy(*on).agg(F.count("*").alias(out)), on, "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
 
-def intervals_at(points: DataFrame, intervals: DataFrame, keys: list[str], span: float, t: str = "t", closed: bool = True) -> DataFrame:
-    """Points joined with the intervals (start, end, …) of their keys that hold them. Both sides are dealt by time buckets
-    of `span`, so the join is an equi-join: an interval has a row for each bucket that it touches."""
-    b = lambda c: F.floor(F.col(c) / span)
-    iv = intervals.where(F.col("end") >= F.col("start")).withColumn("__b", F.explode(F.sequence(b("start"), b("end"))))
-    inside = (F.col(t) >= F.col("start")) & ((F.col(t) <= F.col("end")) if closed else (F.col(t) < F.col("end")))
-    return points.withColumn("__b", b(t)).join(iv, [*keys, "__b"]).where(inside).drop("__b")
-
-
-def last_writer(points: DataFrame, intervals: DataFrame, keys: list[str], row: str, value: str, seq: str, baseline: Column, span: float, last: bool = True) -> DataFrame:
-    """(row, value): of the intervals over a point the one written last (or first), else the baseline."""
-    hit = intervals_at(points, intervals, keys, span)
-    pick = F.max_by if last else F.min_by
-    best = hit.groupBy(row).agg(pick(F.col(value), F.col(seq)).alias("__v"))
-    return points.withColumn("__base", baseline).join(best, row, "left").select(row, F.coalesce("__v", "__base").alias(value))
-
-
 def islands(df: DataFrame, keys: list[str], order: list[str], on: Column, t: str = "t", x: str | None = None) -> DataFrame:
     """Runs of rows where `on` holds: (keys, island, start, stop, n[, mean of x])."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -60,20 +47,6 @@ def actions_to_intervals(actions: DataFrame, keys: list[str], order: list[str],
     return actions.select(*keys, F.col(t).alias("start"), F.lead(t).over(w).alias("end"), F.col(rate).alias("rate")).where("rate > 0")
 
 
-def split_intervals(intervals: DataFrame, cuts: DataFrame, keys: list[str], span: float | None = None) -> DataFrame:
-    """(keys, id, start, end): each interval cut at the points within it. With `span` both sides are dealt by time buckets of that
-    width, so that a key with many intervals and cuts is no join of all with all."""
-    c = cuts.select(*keys, F.col("cut").alias("p"))
-    if span:
-        j = intervals_at(c, intervals.select(*keys, "id", "start", "end"), keys, span, "p")
-    else:
-        j = intervals.join(c, keys)
-    c = j.where((F.col("p") > F.col("start")) & (F.col("p") < F.col("end"))).select(*keys, "id", "p", "end")
-    p = intervals.select(*keys, "id", F.col("start").alias("p"), "end").unionByName(c).distinct()
-    w = Window.partitionBy(*keys, "id").orderBy("p")
-    return p.select(*keys, "id", F.col("p").alias("start"), F.coalesce(F.lead("p").over(w), F.col("end")).alias("end"))
-
-
 def n_filled(cols: list[str]) -> Column:
     out = F.lit(0)
     for c in cols:

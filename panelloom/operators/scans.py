@@ -2,17 +2,22 @@
 
 Running sums are windows. A first-order recurrence y = a*y + b with constant 0 < a < 1 has a closed form in blocks: within a
 block the sum of b[j] * a^(i-j), and the state before the block from the blocks' own recurrence, level by level; all are
-windows and equi-joins, so it stays in Catalyst. Systems with several states, and those with varying coefficients, run in
-`applyInPandas` over one entity's rows (numpy), where the whole trajectory is asked for.
+windows and equi-joins, so it stays in Catalyst. Systems with several states, those with varying coefficients, and controllers with a
+few states are scans of composed maps (`carried`), in which a hot entity spreads over tasks.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .asof import asof_join
+from .carried import Affine, Columns, Finite, scan
+from .intervals import intervals_at
+
 
 def running_dose(df: DataFrame, keys: list[str], order: list[str], bolus: str, rate: str, dt: float, out: str = "dose") -> DataFrame:
     """Cumulative bolus plus rate * dt / 60; the infusion leaves out the first row."""
@@ -23,9 +28,14 @@ def running_dose(df: DataFrame, keys: list[str], order: list[str], bolus: str, r
 
 
 def running_sum(x: str | Column, keys: list[str], order: list[str], strict: bool = False) -> Column:
-    """Sum up to the row (strictly before its order value with `strict`)."""
+    """Sum up to the row; with `strict` over the rows strictly before its order values, however close those are: the sum up to
+    the row's peers less the peers' own."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return F.coalesce(F.sum(x).over(w.rangeBetween(Window.unboundedPreceding, -1) if strict else w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    if not strict:
+        return none(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    upto = F.sum(x).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return none(upto) - none(F.sum(x).over(Window.partitionBy(*keys, *order)))
 
 
 def linear_recurrence(df: DataFrame, keys: list[str], order: list[str], a: float, b: Column, out: str = "y", y0: float = 0.0, block: int = 64) -> DataFrame:
@@ -70,24 +80,17 @@ def effect_site(df: DataFrame, keys: list[str], order: list[str], rate: str, bol
 
 
 def decayed_sum(points: DataFrame, events: DataFrame, keys: list[str], tau: float, dose: str = "dose", out: str = "decayed") -> DataFrame:
-    """For each point the sum of dose * exp(-(t - te) / tau) over the events at or before it: a merge of points and events
-    and one fold along time, linear in both, instead of a range join."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "__p", "__o"], kind="stable")
-        t, d = pdf["t"].to_numpy(), pdf["__d"].to_numpy()
-        y, last, state = np.empty(len(t)), t[0], 0.0
-        for i in range(len(t)):
-            state = state * np.exp(-(t[i] - last) / tau) + d[i]
-            last = t[i]
-            y[i] = state
-        return pdf.assign(**{out: y})[pdf["__p"].to_numpy() == 1][[*keys, "id", "t", out]]
-
-    e = events.select(*keys, F.lit(-1).cast("long").alias("id"), "t", F.col(dose).alias("__d"), F.lit(0).alias("__p"), F.xxhash64(dose).alias("__o"))
-    p = points.select(*keys, F.col("id").cast("long").alias("id"), "t", F.lit(0.0).alias("__d"), F.lit(1).alias("__p"), F.lit(0).cast("long").alias("__o"))
-    kinds = dict(points.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "id long", "t double", f"`{out}` double"])
-    return e.unionByName(p).groupBy(*keys).applyInPandas(run, schema)
+    """For each point the sum of dose * exp(-(t - te) / tau) over the events at or before it: a merge of points and events and one
+    scan along time, linear in both, instead of a range join."""
+    e = events.select(*keys, F.lit(-1).cast("long").alias("id"), F.col("t").cast("double").alias("t"), F.col(dose).cast("double").alias("__d"), F.lit(0).alias("__p"))
+    p = points.select(*keys, F.col("id").cast("long").alias("id"), F.col("t").cast("double").alias("t"), F.lit(0.0).alias("__d"), F.lit(1).alias("__p"))
+
+    def step(before: Columns, here: Columns) -> tuple[np.ndarray, np.ndarray]:
+        return np.exp(-(here["t"] - before["t"]) / tau)[:, None, None], np.nan_to_num(here["__d"])[:, None]
+
+    kind = Affine(1, step, lambda here: np.nan_to_num(here["__d"])[:, None], ((1.0,),))
+    rows = scan(e.unionByName(p), keys, ["t", "__p", "id"], kind, ["t", "__d"], [out])
+    return rows.where("__p = 1").select(*keys, "id", "t", out)
 
 
 def taylor(h: np.ndarray, terms: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -108,102 +111,153 @@ def compartment_matrix(k10: float, k12: float, k13: float, k21: float, k31: floa
     return np.array([[-(k10 + k12 + k13), k21, k31, 0.0], [k12, -k21, 0.0, 0.0], [k13, 0.0, -k31, 0.0], [ke0, 0.0, 0.0, -ke0]])
 
 
-def linear_system(df: DataFrame, keys: list[str], order: list[str], rate: str, matrix: np.ndarray, volume: float, dt_min: float, out: str = "ce") -> DataFrame:
-    """y <- Phi y + Psi (rate[i+1] / volume * dt) e1 along each entity; `out` is the last state. The first row is at rest."""
+def transitions(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`taylor` of many matrices, n x size x size."""
+    eye = np.eye(h.shape[-1])
+    h2 = h @ h
+    h3 = h2 @ h
+    return eye + h + h2 / 2 + h3 / 6 + h2 @ h2 / 24, eye + h / 2 + h2 / 6 + h3 / 24
+
+
+def linear_system(df: DataFrame, keys: list[str], order: list[str], rate: str, matrix: np.ndarray, volume: float, dt_min: float, out: str = "ce", bolus: str | None = None) -> DataFrame:
+    """y <- Phi (y + bolus[i] / volume e1) + Psi (rate[i] / volume * dt) e1 along each entity; `out` is the last state. The first row
+    is at rest but for its bolus."""
     phi, psi = taylor(matrix * dt_min)
-    drive = psi[:, 0] * dt_min / volume
-    kinds = dict(df.dtypes)
+    drive, size = psi[:, 0] * dt_min / volume, len(matrix)
+
+    def given(here: Columns) -> np.ndarray:
+        u = np.zeros((len(here[rate]), size))
+        if bolus:
+            u[:, 0] = np.nan_to_num(here[bolus]) / volume
+        return u
+
+    def step(before: Columns, here: Columns) -> tuple[np.ndarray, np.ndarray]:
+        return phi, np.nan_to_num(here[rate])[:, None] * drive + given(here) @ phi.T
+
+    last = tuple(float(i == size - 1) for i in range(size))
+    return scan(df, keys, order, Affine(size, step, given, (last,)), [rate, *([bolus] if bolus else [])], [out])
+
+
+def compartments(df: DataFrame, keys: list[str], order: list[str], rate: str, params: str, dt_min: float, out: str = "ce", bolus: str | None = None) -> DataFrame:
+    """`linear_system` with each entity's own parameters (a struct column as `functions.kinetics` makes)."""
+    drug = Drug("linear", F.col(rate), F.col(bolus) if bolus else F.lit(0.0), F.col(params))
+    return drug_effects(df, keys, order, {"": drug}, dt_min * 60, out).drop("drug")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        r = np.nan_to_num(pdf[rate].to_numpy(dtype=float))
-        y, ce = np.zeros(len(phi)), np.zeros(len(r))
-        for i in range(1, len(r)):
-            y = phi @ y + drive * r[i]
-            ce[i] = y[-1]
-        return pdf[[*keys, *order]].assign(**{out: ce})
+@dataclass(frozen=True)
+class Drug:
+    """kind `linear`: three compartments and an effect site with the struct `params`; `exponential`: one compartment with the
+    elimination `ke` (1/s), an infusion going to its steady state rate / ke; `rate`: the rate itself. rate is a dose a minute."""
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in dict.fromkeys([*keys, *order])) + f", `{out}` double"
-    return df.select(*dict.fromkeys([*keys, *order, rate])).groupBy(*keys).applyInPandas(run, schema)
+    kind: str
+    rate: Column
+    bolus: Column
+    params: Column | None = None
+    ke: float = 1.0
 
 
-def compartments(df: DataFrame, keys: list[str], order: list[str], rate: str, params: str, dt_min: float, out: str = "ce") -> DataFrame:
-    """`linear_system` with each entity's own parameters (a struct column as `functions.kinetics` makes, constant within an
-    entity; the first row's counts)."""
+def drug_effects(df: DataFrame, keys: list[str], order: list[str], drugs: dict[str, Drug], dt_s: float, out: str = "ce") -> DataFrame:
+    """(keys, drug, order, out) of all drugs in one scan, with the grid's rows dt_s seconds apart. Null rates and boluses are 0. A
+    bolus acts at the beginning of its cell, that is on the row before: at once on an exponential effect, and through the
+    compartments on a linear one."""
     from ..functions.kinetics import NAMES
 
-    kinds = dict(df.dtypes)
-    cols = list(dict.fromkeys([*keys, *order]))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        p = {n: float(pdf[f"__{n}"].iloc[0]) for n in NAMES}
-        phi, psi = taylor(compartment_matrix(p["k10"], p["k12"], p["k13"], p["k21"], p["k31"], p["ke0"]) * dt_min)
-        drive, r = psi[:, 0] * dt_min / p["v1"], np.nan_to_num(pdf[rate].to_numpy(dtype=float))
-        y, ce = np.zeros(4), np.zeros(len(r))
-        for i in range(1, len(r)):
-            y = phi @ y + drive * r[i]
-            ce[i] = y[-1]
-        return pdf[cols].assign(**{out: ce})
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in cols) + f", `{out}` double"
-    return df.select(*dict.fromkeys([*cols, rate]), *[F.col(params)[n].alias(f"__{n}") for n in NAMES]).groupBy(*keys).applyInPandas(run, schema)
-
-
-def infused(grid: DataFrame, infusions: DataFrame, boluses: DataFrame, keys: list[str], matrix: np.ndarray, volume: float, out: str = "ce") -> DataFrame:
-    """Integrates the system over each entity's grid times (seconds) with Runge-Kutta steps as long as their spacing, under
-    infusions (start, end, rate a minute; the first in order that holds a time wins, ends closed) and boluses (t, dose; added
-    at the nearest time, the earlier of two). The three inputs meet in one cogroup a key."""
-    kinds = dict(grid.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {n: p.sort_values("a", kind="stable") for n, p in pdf.groupby("kind")}
-        t = at["t"]["a"].to_numpy() if "t" in at else np.zeros(0)
-        rate, dose = np.zeros(len(t)), np.zeros(len(t))
-        if len(t) and "i" in at:
-            for a, b, r in at["i"][["a", "b", "r"]].to_numpy()[::-1]:
-                rate[(t >= a) & (t <= b)] = r
-        if len(t) and "b" in at:
-            for a, r in at["b"][["a", "r"]].to_numpy():
-                dose[np.abs(t - a).argmin()] += r
-        y, ce = np.zeros(len(matrix)), np.zeros(len(t))
-        e1 = np.eye(len(matrix))[0]
-        for i in range(len(t)):
-            if i:
-                h, u = (t[i] - t[i - 1]) / 60, e1 * rate[i] / volume
-                k1 = matrix @ y + u
-                k2 = matrix @ (y + h / 2 * k1) + u
-                k3 = matrix @ (y + h / 2 * k2) + u
-                y = y + h / 6 * (k1 + 2 * k2 + 2 * k3 + matrix @ (y + h * k3) + u)
-            y = y + e1 * dose[i] / volume
-            ce[i] = y[-1]
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "t": t, out: ce})
-
-    none = F.lit(None).cast("double")
-    rows = grid.select(*keys, F.lit("t").alias("kind"), F.col("t").alias("a"), none.alias("b"), none.alias("r"))
-    rows = rows.unionByName(infusions.select(*keys, F.lit("i").alias("kind"), F.col("start").alias("a"), F.col("end").alias("b"), F.col("rate").alias("r")))
-    rows = rows.unionByName(boluses.select(*keys, F.lit("b").alias("kind"), F.col("t").alias("a"), none.alias("b"), F.col("dose").alias("r")))
-    return rows.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "t double", f"`{out}` double"]))
+    kinds = ("linear", "exponential", "rate")
+    none = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    one = []
+    for name, g in drugs.items():
+        own = [(g.params[n].cast("double") if g.params is not None else F.lit(0.0)).alias(f"__{n}") for n in NAMES]
+        one.append(F.struct(F.lit(name).alias("drug"), F.lit(kinds.index(g.kind)).alias("__kind"), F.lit(float(g.ke)).alias("__ke"), none(g.rate).alias("__rate"), none(g.bolus).alias("__bolus"), *own))
+    rows = df.select(*dict.fromkeys([*keys, *order]), F.explode(F.array(*one)).alias("__d")).select(*dict.fromkeys([*keys, *order]), "__d.*")
+    need, by = ["__kind", "__ke", "__rate", "__bolus", *[f"__{n}" for n in NAMES]], [*keys, "drug"]
+
+    def parts(here: Columns) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, p = len(here["__rate"]), {k: here[f"__{k}"] for k in NAMES}
+        h = np.zeros((n, 4, 4))
+        h[:, 0, 0], h[:, 0, 1], h[:, 0, 2] = -(p["k10"] + p["k12"] + p["k13"]), p["k21"], p["k31"]
+        h[:, 1, 0], h[:, 1, 1], h[:, 2, 0], h[:, 2, 2] = p["k12"], -p["k21"], p["k13"], -p["k31"]
+        h[:, 3, 0], h[:, 3, 3] = p["ke0"], -p["ke0"]
+        phi, psi = transitions(h * (dt_s / 60))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            b = psi[:, :, 0] * np.where(p["v1"] > 0, here["__rate"] * (dt_s / 60) / p["v1"], 0.0)[:, None]
+        a, k = np.exp(-here["__ke"] * dt_s), here["__kind"]
+        for code, decay, add in ((1, a, here["__rate"] / 60 / here["__ke"] * (1 - a)), (2, np.zeros(n), here["__rate"])):
+            at = k == code
+            phi[at], b[at] = 0.0, 0.0
+            phi[at, 3, 3], b[at, 3] = decay[at], add[at]
+        return phi, b, start(here)
+
+    def start(here: Columns) -> np.ndarray:
+        u, k = np.zeros((len(here["__rate"]), 4)), here["__kind"]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            u[:, 0] = np.where(k == 0, here["__bolus"] / here["__v1"], 0.0)
+        u[:, 3] = np.where(k == 1, here["__bolus"], np.where(k == 2, here["__rate"], 0.0))
+        return u
+
+    def step(before: Columns, here: Columns) -> tuple[np.ndarray, np.ndarray]:
+        phi, b, u = parts(here)
+        u[here["__kind"] == 2] = 0.0
+        return phi, b + (phi @ u[:, :, None])[:, :, 0]
+
+    rows = _with_next(rows, by, order, "__bolus", "__next") if any(g.kind == "exponential" for g in drugs.values()) else rows.withColumn("__next", F.lit(0.0))
+    kind = Affine(4, step, start, ((0.0, 0.0, 0.0, 1.0),))
+    done = scan(rows, by, order, kind, need, [out], carry=["__next", "__kind"])
+    return done.withColumn(out, F.col(out) + F.when(F.col("__kind") == 1, F.col("__next")).otherwise(0.0)).drop("__next", "__kind")
+
+
+def _with_next(df: DataFrame, keys: list[str], order: list[str], x: str, out: str) -> DataFrame:
+    """The value of x on the entity's next row, 0 on the last: a scan back from the end whose state is the value itself."""
+    kind = Affine(1, lambda before, here: (np.zeros((1, 1)), before[x][:, None]), lambda here: np.zeros((len(here[x]), 1)), ((1.0,),))
+    rest = [c for c in df.columns if c not in {*keys, *order}]
+    return scan(df, keys, order, kind, [x], [out], carry=rest, descending=True)
+
+
+def infused(grid: DataFrame, infusions: DataFrame, boluses: DataFrame, keys: list[str], matrix: np.ndarray, volume: float, out: str = "ce", span: float = 3600.0) -> DataFrame:
+    """Integrates the system over each entity's distinct grid times (seconds) with Runge-Kutta steps as long as their spacing, under
+    infusions (start, end, rate a minute; the first to start that holds a time wins, ends closed, null is open) and boluses (t, dose;
+    added at the nearest time, the earlier of two). The rates come from the interval index, the boluses from a nearest as-of join, and
+    as a step is affine in the state, the integration is a scan. `span`: the infusions' usual length."""
+    t = grid.select(*keys, F.col("t").cast("double").alias("t")).distinct()
+    rate = intervals_at(t, infusions.select(*keys, "start", "end", F.col("rate").cast("double").alias("rate")), keys, span)
+    rate = rate.groupBy(*keys, "t").agg(F.min_by("rate", F.struct("start", "rate")).alias("__rate"))
+    dose = asof_join(boluses.select(*keys, F.col("t").cast("double").alias("t"), F.col("dose").cast("double").alias("dose")), t.select(*keys, "t", F.col("t").alias("at")), keys, ["at"])
+    dose = dose.where("at is not null").groupBy(*keys, F.col("at").alias("t")).agg(F.sum("dose").alias("__dose"))
+    rows, size = t.join(rate, [*keys, "t"], "left").join(dose, [*keys, "t"], "left"), len(matrix)
+
+    def start(here: Columns) -> np.ndarray:
+        u = np.zeros((len(here["t"]), size))
+        u[:, 0] = np.nan_to_num(here["__dose"]) / volume
+        return u
+
+    def step(before: Columns, here: Columns) -> tuple[np.ndarray, np.ndarray]:
+        h = np.nan_to_num(here["t"] - before["t"]) / 60
+        phi, psi = transitions(h[:, None, None] * matrix[None])
+        return phi, psi[:, :, 0] * (h * np.nan_to_num(here["__rate"]) / volume)[:, None] + start(here)
+
+    last = tuple(float(i == size - 1) for i in range(size))
+    return scan(rows, keys, ["t"], Affine(size, step, start, (last,)), ["t", "__rate", "__dose"], [out]).select(*keys, "t", out)
 
 
 def controller(df: DataFrame, keys: list[str], order: list[str], x: str, low: float, high: float, step: float, top: float, hold: int, out: str = "level") -> DataFrame:
-    """Start at `step` below `low`, escalate by it while below, stop above `high`; no change within `hold` rows of the last."""
-    kinds = dict(df.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        v, level, since, got = pdf[x].to_numpy(dtype=float), 0.0, hold, np.zeros(len(pdf))
-        for i, a in enumerate(v):
-            since += 1
-            if since > hold and a == a:
-                new = min(top, level + step) if a < low else 0.0 if a > high else level
-                if new != level:
-                    level, since = new, 0
-            got[i] = level
-        return pdf[[*keys, *order]].assign(**{out: got})
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in dict.fromkeys([*keys, *order])) + f", `{out}` double"
-    return df.select(*dict.fromkeys([*keys, *order, x])).groupBy(*keys).applyInPandas(run, schema)
+    """Start at `step` below `low`, escalate by it while below, up to `top`, stop above `high`; no change within `hold` rows of the
+    last. The states are the levels by the rows since the last change, so a row is a table of few states."""
+    levels = [0.0]
+    while levels[-1] < top:
+        levels.append(min(top, levels[-1] + step))
+    n, wide = len(levels), hold + 1
+    tables = np.zeros((4, n * wide), np.int64)  # for x missing, below, above, between
+    for i in range(n):
+        for since in range(wide):
+            for k in range(4):
+                new = i if since < hold or k in (0, 3) else min(n - 1, i + 1) if k == 1 else 0
+                tables[k, i * wide + since] = new * wide if new != i else i * wide + min(since + 1, hold)
+
+    def code(here: Columns) -> np.ndarray:
+        v = here[x]
+        return np.where(np.isnan(v), 0, np.where(v < low, 1, np.where(v > high, 2, 3)))
+
+    kind = Finite(n * wide, lambda before, here: tables[code(here)], lambda here: tables[code(here), hold], tuple(levels[s // wide] for s in range(n * wide)))
+    return scan(df, keys, order, kind, [x], [out])
 
 
 def ar1(df: DataFrame, keys: list[str], order: list[str], phi: float, noise: Column, out: str = "noise") -> DataFrame:

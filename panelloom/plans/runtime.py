@@ -78,7 +78,9 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """SELECT event_type, epoch_us(time_bucket(INTERVAL 6 HOUR, ts)) - o * 21600000000 AS start_us, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events, (SELECT unnest([0, 1, 2, 3]) AS o) GROUP BY 1, 2"""
 )
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
-    out = streams.window_counts(table(spark, d, "events"), ["event_type"], "24 hours", "6 hours")
+    """A file stream through overlapping windows, drained."""
+    s = streams.window_counts(streams.file_stream(spark, f"{d}/events.parquet"), ["event_type"], "24 hours", "6 hours")
+    out = streams.drain(s, "sliding", "complete")
     return out.select("event_type", G.wall_micros("start").alias("start_us"), "n", F.round("total", 4).alias("total"))
 
 
@@ -88,7 +90,9 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 28800000000 AS end_us, count(*)::BIGINT AS n FROM s GROUP BY user_id, s"""
 )
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    out = streams.session_counts(table(spark, d, "events"), ["user_id"], "8 hours")
+    """A file stream through session windows, drained."""
+    s = streams.session_counts(streams.file_stream(spark, f"{d}/events.parquet"), ["user_id"], "8 hours")
+    out = streams.drain(s, "sessions", "complete")
     return out.select("user_id", G.wall_micros("start").alias("start_us"), G.wall_micros("end").alias("end_us"), "n")
 
 
@@ -97,9 +101,9 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 FROM events a ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id AND a.ts > b.ts"""
 )
 def stream_asof_state(spark: SparkSession, d: str) -> DataFrame:
-    """The last purchase before each event, kept as state of a stream."""
+    """The last purchase before each event, kept as state of a stream that corrects itself, so that files may come in any order."""
     s = streams.asof_previous(streams.file_stream(spark, f"{d}/events.parquet"), "user_id", "event_type", "purchase", 172_800.0)
-    return streams.drain(s, "asof")
+    return streams.drain(s, "asof", latest="event_id").select("event_id", "user_id", "held")
 
 
 @query()

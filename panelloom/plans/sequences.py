@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import grid as G
 from ..operators import pairs as P
 from ..operators import scans as S
+from ..operators.asof import asof_join
 from .registry import OBS, query, table
 
 
@@ -43,6 +44,15 @@ def scan_nested_sums(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("n", S.running_sum("s", ["entity"], ["t", "seq"])).select("seq", _r("s", 4).alias("volume"), _r("n", 3).alias("nested"))
 
 
+@query(
+    f"WITH {OBS} SELECT seq, round(coalesce(sum(value) OVER (PARTITION BY entity ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0), 4) AS below FROM obs WHERE value IS NOT NULL"
+)
+def scan_strict_sum(spark: SparkSession, d: str) -> DataFrame:
+    """The sum of an entity's smaller values; values lie closer than 1 to each other."""
+    o = _obs(spark, d).where("value is not null")
+    return o.select("seq", _r(S.running_sum("value", ["entity"], ["value"], strict=True), 4).alias("below"))
+
+
 _FOLD = """WITH RECURSIVE {rows}, m AS (SELECT entity, seq, i, {b} AS b FROM {src}),
 y AS (SELECT entity, seq, i, b AS y FROM m WHERE i = 1 UNION ALL SELECT m.entity, m.seq, m.i, {a!r}::DOUBLE * y.y + m.b FROM y JOIN m ON m.entity = y.entity AND m.i = y.i + 1)
 SELECT seq, round(y, 5) AS {out} FROM y"""
@@ -75,14 +85,40 @@ def scan_decayed_sum(spark: SparkSession, d: str) -> DataFrame:
     return S.decayed_sum(p, e, ["entity"], 86_400.0).select("id", _r("decayed").alias("decayed"))
 
 
-@query()
+def _rk4(src: str, keep: str, k: dict[str, str], h: str, u: str, c1: str = "c1") -> str:
+    """SQL of one Runge-Kutta step of three compartments and an effect site: `keep` and c1 … c4 of the rows of `src`."""
+    f = lambda x: [f"-({k['k10']} + {k['k12']} + {k['k13']}) * {x[0]} + {k['k21']} * {x[1]} + {k['k31']} * {x[2]} + {u}", f"{k['k12']} * {x[0]} - {k['k21']} * {x[1]}", f"{k['k13']} * {x[0]} - {k['k31']} * {x[2]}", f"{k['ke0']} * ({x[0]} - {x[3]})"]
+    sql = f"SELECT *, {c1} AS x1, c2 AS x2, c3 AS x3, c4 AS x4 FROM {src}"
+    at = [f"x{i}" for i in range(1, 5)]
+    for n, w in ((1, "0"), (2, f"{h} / 2"), (3, f"{h} / 2"), (4, h)):
+        x = at if n == 1 else [f"({a} + {w} * s{n - 1}_{i})" for i, a in enumerate(at, 1)]
+        sql = f"SELECT *, {', '.join(f'{e} AS s{n}_{i}' for i, e in enumerate(f(x), 1))} FROM ({sql})"
+    return f"SELECT {keep}, {', '.join(f'x{i} + {h} / 6 * (s1_{i} + 2 * s2_{i} + 2 * s3_{i} + s4_{i}) AS c{i}' for i in range(1, 5))} FROM ({sql})"
+
+
+_M1 = dict(k10="0.119", k12="0.112", k13="0.042", k21="0.055", k31="0.0033", ke0="0.26")
+
+
+@query(
+    f"""WITH RECURSIVE {_ROWS}, m AS (SELECT entity, seq, i, bolus AS b, rate AS r FROM o),
+y AS (SELECT entity, seq, i, r / 15.9 AS c1, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS c3, 0.0::DOUBLE AS c4 FROM m WHERE i = 1
+  UNION ALL {_rk4("(SELECT m.*, y.c1, y.c2, y.c3, y.c4 FROM y JOIN m ON m.entity = y.entity AND m.i = y.i + 1)", "entity, seq, i", _M1, "(5.0::DOUBLE / 60)", "b / 15.9", "c1 + r / 15.9")})
+SELECT entity, seq, round(c4, 6) AS ce FROM y"""
+)
 def scan_linear_system(spark: SparkSession, d: str) -> DataFrame:
-    """Three compartments and an effect site, driven by the purchases: tested against a step-by-step integration."""
-    m = S.compartment_matrix(0.119, 0.112, 0.042, 0.055, 0.0033, 0.26)
-    return S.linear_system(_rows(spark, d), ["entity"], ["t", "seq"], "bolus", m, 15.9, 5 / 60).select("entity", "seq", "ce")
+    """Three compartments and an effect site, infused by the purchases, with the views as boluses."""
+    m = S.compartment_matrix(*[float(_M1[k]) for k in ("k10", "k12", "k13", "k21", "k31", "ke0")])
+    return S.linear_system(_rows(spark, d), ["entity"], ["t", "seq"], "bolus", m, 15.9, 5 / 60, bolus="rate").select("entity", "seq", _r("ce").alias("ce"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {OBS}, m AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY t, seq) AS i FROM obs),
+y AS (SELECT entity, seq, i, CASE WHEN value < 10 THEN 0.5 ELSE 0.0 END AS level, CASE WHEN value < 10 THEN 0 ELSE 3 END AS since FROM m WHERE i = 1
+  UNION ALL SELECT entity, seq, i, new, CASE WHEN new <> level THEN 0 ELSE since + 1 END FROM (
+    SELECT m.entity, m.seq, m.i, y.level, y.since, CASE WHEN y.since + 1 <= 2 OR m.value IS NULL THEN y.level WHEN m.value < 10 THEN least(3.0, y.level + 0.5) WHEN m.value > 40 THEN 0.0 ELSE y.level END AS new
+    FROM y JOIN m ON m.entity = y.entity AND m.i = y.i + 1))
+SELECT entity, seq, CAST(level AS DOUBLE) AS level FROM y"""
+)
 def scan_controller(spark: SparkSession, d: str) -> DataFrame:
     return S.controller(_obs(spark, d), ["entity"], ["t", "seq"], "value", 10.0, 40.0, 0.5, 3.0, 2).select("entity", "seq", "level")
 
@@ -239,24 +275,105 @@ def fn_response_surfaces(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+_PEOPLE = "who AS (SELECT DISTINCT entity, 50.0::DOUBLE + entity % 50 AS w, 20.0::DOUBLE + entity % 60 AS age, 150.0::DOUBLE + entity % 45 AS h, entity % 2 = 0 AS male FROM obs)"
+_KS = ("k10", "k12", "k13", "k21", "k31", "ke0")
+_BMI = "(w / pow(h / 100, 2))"
+_DRUGS_SQL = f"""rows_ AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY t, seq) AS i, CASE WHEN track = 'purchase' THEN value ELSE 0 END AS buy, CASE WHEN track = 'view' THEN value ELSE 0 END AS seen,
+  CASE WHEN track = 'click' THEN value ELSE 0 END AS hit FROM obs JOIN who USING (entity)),
+m0 AS (
+  SELECT entity, seq, i, 'a' AS drug, 0 AS kind, seen / 3 AS r, buy AS b, 0.228 * w AS v1, 0.119 AS k10, 0.112 AS k12, 0.0419 AS k13, 0.055 AS k21, 0.0033 AS k31, 0.26 AS ke0, 1.0 AS ke FROM rows_
+  UNION ALL SELECT entity, seq, i, 'b', 0, hit, 0, 5.1 - 0.0201 * (age - 40) + 0.0722 * (9270 * w / CASE WHEN male THEN 6680 + 216 * {_BMI} ELSE 8780 + 244 * {_BMI} END - 50), 0.595 - 0.007 * (age - 40), 0.476, 0.212, 0.403 - 0.0026 * (age - 40), 0.029, 0.6, 1.0 FROM rows_
+  UNION ALL SELECT entity, seq, i, 'c', 0, 0, buy, 0.07 * w, 0.0037 / 0.07, 0.093, 0.0, 0.093 * 0.07 / 0.13, 0.0, 0.105, 1.0 FROM rows_
+  UNION ALL SELECT entity, seq, i, 'd', 1, seen, buy, 1, 0, 0, 0, 0, 0, 0, ln(2) / 300 FROM rows_ UNION ALL SELECT entity, seq, i, 'e', 1, 0, buy, 1, 0, 0, 0, 0, 0, 0, ln(2) / 600 FROM rows_
+  UNION ALL SELECT entity, seq, i, 'f', 2, seen, 0, 1, 0, 0, 0, 0, 0, 0, 1 FROM rows_ UNION ALL SELECT entity, seq, i, 'g', 2, hit, buy, 1, 0, 0, 0, 0, 0, 0, 1 FROM rows_),
+m AS MATERIALIZED (SELECT entity, seq, i, drug, kind, r::DOUBLE AS r, b::DOUBLE AS b, v1::DOUBLE AS v1, k10::DOUBLE AS k10, k12::DOUBLE AS k12, k13::DOUBLE AS k13, k21::DOUBLE AS k21, k31::DOUBLE AS k31, ke0::DOUBLE AS ke0, ke::DOUBLE AS ke,
+  coalesce(lead(b) OVER (PARTITION BY entity, drug ORDER BY i), 0)::DOUBLE AS nb FROM m0)"""
+
+
+@query(
+    f"""WITH RECURSIVE {OBS}, {_PEOPLE}, {_DRUGS_SQL},
+y AS (SELECT entity, seq, drug, i, nb, kind, CASE kind WHEN 0 THEN b / v1 ELSE 0 END AS c1, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS c3, CASE kind WHEN 1 THEN b WHEN 2 THEN r ELSE 0 END AS c4 FROM m WHERE i = 1
+  UNION ALL SELECT entity, seq, drug, i, nb, kind, c1, c2, c3, CASE kind WHEN 0 THEN c4 WHEN 1 THEN (p4 + b) * exp(-ke * 5) + r / 60 / ke * (1 - exp(-ke * 5)) ELSE r END FROM (
+  {_rk4("(SELECT m.*, y.c1, y.c2, y.c3, y.c4, y.c4 AS p4 FROM y JOIN m ON m.entity = y.entity AND m.drug = y.drug AND m.i = y.i + 1)", "entity, seq, drug, i, nb, kind, p4, b, r, ke", {k: k for k in _KS}, "(5.0::DOUBLE / 60)", "CASE kind WHEN 0 THEN r / v1 ELSE 0 END", "c1 + CASE kind WHEN 0 THEN b / v1 ELSE 0 END")}))
+SELECT entity, seq, drug, round(c4 + CASE kind WHEN 1 THEN nb ELSE 0 END, 5) AS ce FROM y"""
+)
+def scan_drug_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Seven drugs of each entity in one scan: compartments with published parameters, exponential effects, plain rates."""
+    from ..functions import kinetics as K
+
+    e = F.col("entity")
+    w, age, h, male = (50 + e % 50).cast("double"), (20 + e % 60).cast("double"), (150 + e % 45).cast("double"), e % 2 == 0
+    on = lambda track: F.when(F.col("track") == track, F.col("value")).otherwise(0.0)
+    none, buy, seen, hit = F.lit(0.0), on("purchase"), on("view"), on("click")
+    drugs = {
+        "a": S.Drug("linear", seen / 3, buy, K.marsh(w)), "b": S.Drug("linear", hit, none, K.minto(w, age, h, male)), "c": S.Drug("linear", none, buy, K.wierda(w)),
+        "d": S.Drug("exponential", seen, buy, ke=math.log(2) / 300), "e": S.Drug("exponential", none, buy, ke=math.log(2) / 600), "f": S.Drug("rate", seen, none), "g": S.Drug("rate", hit, buy),
+    }
+    return S.drug_effects(_obs(spark, d), ["entity"], ["t", "seq"], drugs, 5.0).select("entity", "seq", "drug", _r("ce", 5).alias("ce"))
+
+
+@query(
+    f"""WITH RECURSIVE {OBS}, {_PEOPLE}, {_DRUGS_SQL},
+y AS (SELECT entity, seq, drug, i, b / v1 AS c1, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS c3, 0.0::DOUBLE AS c4 FROM m WHERE i = 1 AND drug = 'a'
+  UNION ALL {_rk4("(SELECT m.*, y.c1, y.c2, y.c3, y.c4 FROM y JOIN m ON m.entity = y.entity AND m.drug = y.drug AND m.i = y.i + 1)", "entity, seq, drug, i", {k: k for k in _KS}, "(5.0::DOUBLE / 60)", "r / v1", "c1 + b / v1")})
+SELECT entity, seq, round(c4, 5) AS ce FROM y"""
+)
 def scan_compartments(spark: SparkSession, d: str) -> DataFrame:
-    """Each entity with its own published parameters, driven by its rates."""
+    """Each entity with its own published parameters, driven by its rates and boluses."""
     from ..functions import kinetics as K
 
-    e = F.col("entity").cast("double")
-    p = K.schnider(60 + e % 40, 25 + e % 50, 155 + e % 40, e % 2 == 0)
-    return S.compartments(_rows(spark, d).withColumn("p", p), ["entity"], ["t", "seq"], "rate", "p", 5 / 60).select("entity", "seq", "ce")
+    rows = _rows(spark, d).withColumns({"p": K.marsh((50 + F.col("entity") % 50).cast("double")), "rate": F.col("rate") / 3})
+    return S.compartments(rows, ["entity"], ["t", "seq"], "rate", "p", 5 / 60, bolus="bolus").select("entity", "seq", _r("ce", 5).alias("ce"))
 
 
-@query()
+_M2 = dict(k10="0.0119", k12="0.0112", k13="0.0042", k21="0.0055", k31="0.00033", ke0="0.026")
+
+
+@query(
+    f"""WITH RECURSIVE {OBS}, g AS (SELECT DISTINCT entity, t FROM obs WHERE track = 'view'),
+rate AS (SELECT g.entity, g.t, min_by(o.value, o.t) AS r FROM g JOIN obs o ON o.entity = g.entity AND o.track = 'click' AND g.t BETWEEN o.t AND o.t + 3600 GROUP BY 1, 2),
+near AS (SELECT b.entity, b.value, min_by(g.t, (abs(g.t - b.t), g.t)) AS t FROM obs b JOIN g ON g.entity = b.entity WHERE b.track = 'purchase' GROUP BY b.entity, b.seq, b.value),
+dose AS (SELECT entity, t, sum(value) AS b FROM near GROUP BY 1, 2),
+m AS (SELECT g.entity, g.t, row_number() OVER w AS i, coalesce(g.t - lag(g.t) OVER w, 0) / 60 AS h, coalesce(r, 0) / 15.9 AS u, coalesce(b, 0) / 15.9 AS b FROM g LEFT JOIN rate USING (entity, t) LEFT JOIN dose USING (entity, t) WINDOW w AS (PARTITION BY g.entity ORDER BY g.t)),
+y AS (SELECT entity, t, i, b AS c1, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS c3, 0.0::DOUBLE AS c4 FROM m WHERE i = 1
+  UNION ALL SELECT entity, t, i, c1 + b, c2, c3, c4 FROM ({_rk4("(SELECT m.*, y.c1, y.c2, y.c3, y.c4 FROM y JOIN m ON m.entity = y.entity AND m.i = y.i + 1)", "entity, t, i, b", _M2, "h", "u")}))
+SELECT entity, t, CASE WHEN abs(c4) < 1e6 THEN round(c4, 4) END AS ce FROM y"""
+)
 def scan_infused(spark: SparkSession, d: str) -> DataFrame:
-    """Views as grid times, clicks as infusions of an hour, purchases as boluses."""
+    """Views as grid times, clicks as infusions of an hour, purchases as boluses. Steps are as long as the views lie apart, and
+    long ones diverge: such values aren't shown."""
     o = _obs(spark, d)
     grid = o.where("track = 'view'").select("entity", "t")
     inf = o.where("track = 'click'").select("entity", F.col("t").alias("start"), (F.col("t") + 3600).alias("end"), F.col("value").alias("rate"))
     bol = o.where("track = 'purchase'").select("entity", "t", F.col("value").alias("dose"))
-    return S.infused(grid, inf, bol, ["entity"], S.compartment_matrix(0.0119, 0.0112, 0.0042, 0.0055, 0.00033, 0.026), 15.9)
+    got = S.infused(grid, inf, bol, ["entity"], S.compartment_matrix(*[float(_M2[k]) for k in _KS]), 15.9)
+    return got.select("entity", "t", F.when(F.abs("ce") < 1e6, _r("ce", 4)).alias("ce"))
+
+
+_SERIES = f"{OBS}, p AS (SELECT seq, entity, t FROM obs WHERE track = 'view'), s AS (SELECT entity, t, max(seq) AS sid FROM obs WHERE track = 'purchase' GROUP BY 1, 2)"
+
+
+@query(
+    f"""WITH {_SERIES}, b AS (SELECT p.*, s.sid AS bid, s.t AS bt FROM p ASOF LEFT JOIN s ON p.entity = s.entity AND p.t >= s.t), f AS (SELECT p.seq, s.sid AS fid, s.t AS ft FROM p ASOF LEFT JOIN s ON p.entity = s.entity AND p.t <= s.t),
+n AS (SELECT seq, CASE WHEN bt IS NULL OR ft - t < t - bt THEN fid ELSE bid END AS sid, CASE WHEN bt IS NULL OR ft - t < t - bt THEN ft - t ELSE t - bt END AS gap FROM b JOIN f USING (seq))
+SELECT seq, CASE WHEN gap <= 43200 THEN sid END AS sid, CASE WHEN gap <= 43200 THEN round(gap * 1e6)::BIGINT END AS gap_us FROM n"""
+)
+def asof_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The purchase nearest in time to each view, at most half a day away: two irregular series."""
+    p, s = _series(spark, d)
+    return asof_join(p, s, ["entity"], ["sid"], "nearest", 43_200.0, seq="sid").select("seq", "sid", F.round(F.col("gap") * 1e6).cast("long").alias("gap_us"))
+
+
+@query(f"WITH {_SERIES} SELECT p.seq, s.sid, round((s.t - p.t) * 1e6)::BIGINT AS gap_us FROM p ASOF LEFT JOIN s ON p.entity = s.entity AND p.t < s.t")
+def asof_forward(spark: SparkSession, d: str) -> DataFrame:
+    """The first purchase strictly after each view."""
+    p, s = _series(spark, d)
+    return asof_join(p, s, ["entity"], ["sid"], "forward", exact=False, seq="sid").select("seq", "sid", F.round(F.col("gap") * 1e6).cast("long").alias("gap_us"))
+
+
+def _series(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    o = _obs(spark, d)
+    return o.where("track = 'view'").select("seq", "entity", "t"), o.where("track = 'purchase'").select("entity", "t", F.col("seq").alias("sid"))
 
 
 @query(f"WITH {_PAIRS}, {_DIV}, an AS (SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(note, '^t=([0-9.]+)s', 1), '') AS DOUBLE), split_t) AS ta FROM meta) SELECT pair_id, coalesce(bool_or(d) FILTER (t > ta), false) AS differs FROM j JOIN an USING (pair_id) GROUP BY pair_id")

@@ -20,7 +20,8 @@ def _bucket_sql(key: str, n: int) -> str:
     return f"list_reduce(list_transform(string_split(sha256({key}), ''), lambda c: strpos('0123456789abcdef', c)::BIGINT - 1), lambda a, c: (a * 16 + c) % {n}, 0::BIGINT)"
 
 
-_NORM = r"regexp_replace(regexp_replace(strip_accents(lower({x})), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+#: What has no ASCII form without its accents is dropped before the runs are replaced.
+_NORM = r"regexp_replace(regexp_replace(lower(regexp_replace(strip_accents({x}), '[^\x00-\x7F]+', '', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
 
 
 @query(f"SELECT doc_id, {_NORM.format(x='text')} AS item, {_NORM.format(x='source')} AS src FROM documents")

@@ -213,6 +213,24 @@ def rel_rate_at(spark: SparkSession, d: str) -> DataFrame:
     return R.last_writer(pt, iv, ["entity"], "row", "v", "seq", F.lit(0.0), 86_400.0, last=False)
 
 
+@query(
+    f"""WITH {OBS}, a AS (SELECT entity, t AS "start", lead(t) OVER (PARTITION BY entity ORDER BY t, seq) AS "end", CASE WHEN value < 5 THEN 0 ELSE value END AS rate FROM obs WHERE track = 'purchase'),
+pt AS (SELECT seq AS row, entity, t FROM obs WHERE track = 'view')
+SELECT row, coalesce(max_by(rate, "start"), 0.0) AS last_rate, coalesce(min_by(rate, "start"), 0.0) AS first_rate, count(rate)::INT > 0 AS covered
+FROM pt LEFT JOIN a ON pt.entity = a.entity AND t >= "start" AND (t <= "end" OR "end" IS NULL) AND rate > 0 GROUP BY row"""
+)
+def rel_open_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Rates set by purchases hold until the next one, the last of an entity for ever."""
+    o = _obs(spark, d)
+    acts = o.where("track = 'purchase'").withColumn("rate", F.when(F.col("value") < 5, 0.0).otherwise(F.col("value")))
+    iv = R.actions_to_intervals(acts, ["entity"], ["t", "seq"], "t", "rate")
+    pt = o.where("track = 'view'").select(F.col("seq").alias("row"), "entity", "t")
+    last = R.last_writer(pt, iv, ["entity"], "row", "rate", "start", F.lit(0.0), 3600.0).withColumnRenamed("rate", "last_rate")
+    first = R.last_writer(pt, iv, ["entity"], "row", "rate", "start", F.lit(0.0), 3600.0, last=False).withColumnRenamed("rate", "first_rate")
+    over = R.covered(pt, iv, ["entity"], "row", 3600.0).select("row", (F.col("covered") == 1).alias("covered"))
+    return last.join(first, "row").join(over, "row")
+
+
 @query(
     f"""WITH {OBS}, e AS (SELECT *, value > 8 AS o, lag(value > 8) OVER w AS p FROM obs WINDOW w AS (PARTITION BY entity ORDER BY t, seq)),
 i AS (SELECT *, sum((o AND NOT coalesce(p, false))::INT) OVER (PARTITION BY entity ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS island FROM e)
