@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .aggregates import edges_below
 from .ordered import cumulated, quantiles, row_numbers
+from .vector_index import build, search
 
 
 def distances(df: DataFrame, x: str, side: Column, group: list[str]) -> DataFrame:
@@ -79,25 +80,11 @@ def accuracy(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return c.agg((F.sum("hit") / F.sum("n")).alias("accuracy"), F.avg(F.col("hit") / F.col("n")).alias("balanced_accuracy"))
 
 
-def nearest(queries: DataFrame, base: DataFrame, vec: str, id_col: str, k: int) -> DataFrame:
-    """(query, id, rank, distance) of the k nearest base vectors of each query, itself excluded; ties by id. Exact: `queries` is a
-    stated set (a block of bounded size, see `neighbour_overlap`) sent to all; each task keeps its own top k before the shuffle."""
-    d = F.aggregate(F.zip_with("__qv", vec, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    q = F.broadcast(queries.select(F.col(id_col).alias("query"), F.col(vec).alias("__qv")))
-    rows = base.join(q, F.col(id_col) != F.col("query")).select("query", F.col(id_col).alias("id"), F.sqrt(d).alias("distance"))
-    w = Window.partitionBy("query").orderBy("distance", "id")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def neighbour_overlap(df: DataFrame, vec: str, id_col: str, label: str, k: int = 20, every: int = 1, most: int = 20_000) -> DataFrame:
-    """(label, n, mean, median) of the share of other labels among the k nearest of each query. Queries are the ids that
-    `every` divides, taken in blocks of about `most`, each against all rows."""
+def neighbour_overlap(df: DataFrame, vec: str, id_col: str, label: str, k: int = 20, every: int = 1, pivots: int | None = None) -> DataFrame:
+    """(label, n, mean, median) of the share of other labels among the k nearest of each query. Queries are the ids that `every`
+    divides, searched among all rows by the metric index. Null vectors have no neighbours and are none."""
     queries = df.where(F.col(id_col) % every == 0)
-    blocks = -(-queries.count() // most)
-    n = nearest(queries, df, vec, id_col, k) if blocks <= 1 else None
-    for i in range(blocks if blocks > 1 else 0):
-        part = nearest(queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == i), df, vec, id_col, k)
-        n = part if n is None else n.unionByName(part)
+    n, _ = search(build(df, vec, id_col, pivots), queries, vec, id_col, k)
     tags = df.select(F.col(id_col).alias("id"), F.col(label).alias("__l"))
     j = n.join(tags, "id").join(queries.select(F.col(id_col).alias("query"), F.col(label).alias("label")), "query")
     per = j.groupBy("query", "label").agg(F.avg((F.col("__l") != F.col("label")).cast("int")).alias("share"))

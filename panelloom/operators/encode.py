@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import row_numbers
+from .positions import positions
 
 from ..functions.scalar import bucket, normalize_item, to_number, truthy
 
@@ -119,3 +120,52 @@ def exponential(u: Column, mean: float) -> Column:
 def normal(u: Column, v: Column) -> Column:
     """Standard normal by Box and Muller."""
     return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
+
+
+def lognormal(z: Column, mu: float, sigma: float) -> Column:
+    """Of a standard normal number."""
+    return F.exp(mu + sigma * z)
+
+
+def poisson(u: Column, mean: float) -> Column:
+    """Inversion: the least k whose cumulated probability reaches u. The sum goes on as far as 1 - 1e-16 of the mass can lie."""
+    top = int(mean + 12 * mean**0.5 + 40)
+    one = F.struct(F.lit(0).alias("k"), F.exp(F.lit(-float(mean))).alias("p"), F.exp(F.lit(-float(mean))).alias("s"))
+
+    def more(a: Column, i: Column) -> Column:
+        p = a["p"] * F.lit(float(mean)) / i
+        return F.when(u > a["s"], F.struct(i.alias("k"), p.alias("p"), (a["s"] + p).alias("s"))).otherwise(a)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(top)), one, more)["k"]
+
+
+def gamma(seed: str, shape: float, scale: float, *keys: Column, tries: int = 12) -> Column:
+    """Rejection from a normal proposal (accepted 95 % of the time or more): the first of `tries` attempts, each with hashed numbers of
+    its own, that is accepted. All fail with a probability below 1e-15; then the mean is given. Shapes below 1 are drawn from the next
+    larger one and scaled by a power of a further number. The same on any partitioning."""
+    a = shape if shape >= 1 else shape + 1
+    d = a - 1 / 3
+    c = 1 / (9 * d) ** 0.5
+    drawn = []
+    for i in range(tries):
+        x = normal(uniform(f"{seed}/{i}/x", *keys), uniform(f"{seed}/{i}/y", *keys))
+        v = F.pow(1 + c * x, F.lit(3.0))
+        taken = F.log(1 - uniform(f"{seed}/{i}/u", *keys)) < 0.5 * x * x + d - d * v + d * F.log(v)
+        drawn.append(F.when((v > 0) & taken, d * v))
+    out = F.coalesce(*drawn, F.lit(d)) * scale
+    return out if shape >= 1 else out * F.pow(1 - uniform(f"{seed}/power", *keys), F.lit(1 / shape))
+
+
+def balanced_folds(df: DataFrame, entity: str, folds: int = 5, seed: str = "f") -> DataFrame:
+    """(entity, n, fold): all rows of an entity in one fold, and the folds' sizes apart by the largest entity's at most. Entities are
+    dealt by descending size (ties by hash) forth and back; their order comes from global positions, so none sees all of them."""
+    sizes = df.groupBy(entity).agg(F.count("*").alias("n")).withColumn("__h", F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(entity).cast("string"), F.lit(""))), 256))
+    rows = positions(sizes, [F.col("n").desc(), "__h"], "__p")
+    at = F.col("__p") % folds
+    fold = F.when(F.floor(F.col("__p") / folds) % 2 == 0, at).otherwise(folds - 1 - at)
+    return rows.select(entity, "n", fold.cast("int").alias("fold"))
+
+
+def prefix_mask(x: Column, n: Column | int) -> Column:
+    """The array's first n elements, the others 0."""
+    return F.transform(x, lambda v, i: F.when(i < n, v).otherwise(F.lit(0).cast("double")))

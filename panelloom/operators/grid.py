@@ -182,3 +182,8 @@ def case_bounds(obs: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
 def step_hold(held: Column) -> Column:
     """A held step signal is 0, not null, before its first event."""
     return F.coalesce(held, F.lit(0.0))
+
+
+def within_phase(x: Column, t: Column, on: Column, off: Column) -> Column:
+    """x where t lies in [on, off], else null. A missing `off` is open; without an `on` the phase hasn't been."""
+    return F.when(on.isNotNull() & (t >= on) & (off.isNull() | (t <= off)), x)

@@ -1,8 +1,9 @@
 """Exact order statistics without a whole group in one task.
 
-Rows are dealt by value buckets at approximate quantiles; each bucket is ordered for itself, and the buckets' counts are then
-carried over `BUCKETS` rows a group. The approximation decides only how even the buckets are. Nulls take no part; null group
-keys are a group like any other. NaN and infinite values count as missing, as everywhere."""
+A column's distinct values with their counts are written once. Up to `SMALL` of them are ordered by one window a group. More are dealt
+by ranges of (group, value) in buckets of about `SMALL` rows; each bucket is ordered for itself, and the buckets' counts are then
+carried over a row a bucket. Row numbers come from global positions (`positions`), which split equal values and nulls. Nulls take no
+part in the statistics; null group keys are a group like any other. NaN and infinite values count as missing, as everywhere."""
 
 from __future__ import annotations
 
@@ -11,9 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import scratch
 from .grid import finite
+from .positions import positions
 
-BUCKETS = 64
+SMALL = 500_000
 
 
 def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
@@ -23,20 +26,28 @@ def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
     return a.join(b, on).drop(*[f"__r_{c}" for c in cols])
 
 
-def in_buckets(df: DataFrame, x: str, name: str = "__k") -> DataFrame:
-    """`df` with the number of the value bucket of numeric x."""
-    edges = df.agg(F.percentile_approx(x, F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("__e"))
-    return df.join(F.broadcast(edges)).withColumn(name, F.size(F.filter("__e", lambda e: e <= F.col(x)))).drop("__e")
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cumulated(df: DataFrame, x: str, side: Column, group: list[str]) -> DataFrame:
     """Distinct values with counts (a, b), running sums with the value (ca, cb), totals (na, nb) and the next value."""
     real = dict(df.dtypes)[x] in ("double", "float")
     n = df.where((finite(x) if real else F.col(x)).isNotNull()).groupBy(*group, F.col(x).alias("x")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
-    n = in_buckets(n, "x")
-    one = [F.col(c) for c in group] or [F.lit(0)]
+    n = _written(n, "values")
+    one, size = [F.col(c) for c in group] or [F.lit(0)], n.count()  # from the footers
+    if size <= SMALL:
+        order, whole = Window.partitionBy(*one).orderBy("x"), Window.partitionBy(*one)
+        upto = order.rowsBetween(Window.unboundedPreceding, 0)
+        return n.select(
+            *group, "x", "a", "b", F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb"), F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"), F.lead("x").over(order).alias("next")
+        )
+    by = [*[F.col(c).asc_nulls_first() for c in group], F.col("x").asc()]
+    n = _written(n.repartitionByRange(-(-size // SMALL), *by).withColumn("__k", F.spark_partition_id()), "buckets")
     k = n.groupBy(*group, "__k").agg(F.sum("a").alias("ka"), F.sum("b").alias("kb"), F.min("x").alias("kx"))
-    order = Window.partitionBy(*one).orderBy("__k")  # BUCKETS rows a group
+    order = Window.partitionBy(*one).orderBy("__k")  # a row a bucket
     before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*one)
     none = lambda c: F.coalesce(c, F.lit(0))
     k = k.select(
@@ -58,20 +69,17 @@ def quantiles(df: DataFrame, x: str, ps: list[float], group: list[str], out: str
         at = (F.col("na") - 1) * F.lit(float(p))
         for name, k in (("l", F.floor(at)), ("h", F.ceil(at))):
             cols.append(F.min(F.when(F.col("ca") > k, F.col("x"))).alias(f"__{name}{len(cols) // 2}"))
-    found = c.groupBy(*group).agg(F.max("na").alias("__n"), *cols)
-    value = lambda i, p: F.col(f"__l{i}") + ((F.col("__n") - 1) * p - F.floor((F.col("__n") - 1) * p)) * (F.col(f"__h{i}") - F.col(f"__l{i}"))
+    found = c.groupBy(*group).agg(F.max("na").alias("__rn_n"), *cols)
+    value = lambda i, p: F.col(f"__l{i}") + ((F.col("__rn_n") - 1) * p - F.floor((F.col("__rn_n") - 1) * p)) * (F.col(f"__h{i}") - F.col(f"__l{i}"))
     return found.select(*group, F.array(*[value(i, F.lit(float(p))) for i, p in enumerate(ps)]).alias(out))
 
 
-def row_numbers(df: DataFrame, x: str, group: list[str], tie: list[str] | None = None, out: str = "rank", count: str | None = None) -> DataFrame:
-    """`df` with the row number by numeric x (then `tie`) within each group, and with the group's `count`. Rows with a null x
-    come first."""
-    rows = in_buckets(df, x, "__rn_k").withColumn("__rn_k", F.when(F.col(x).isNull(), -1).otherwise(F.col("__rn_k")))
-    one = [F.col(c) for c in group] or [F.lit(0)]
-    k = rows.groupBy(*group, "__rn_k").agg(F.count("*").alias("__rn_n"))
-    order = Window.partitionBy(*one).orderBy("__rn_k")
-    k = k.select(*group, "__rn_k", F.coalesce(F.sum("__rn_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__rn_p"), F.sum("__rn_n").over(Window.partitionBy(*one)).alias("__rn_t"))
-    rows = rows.withColumn("__rn_i", F.row_number().over(Window.partitionBy(*group, "__rn_k").orderBy(x, *(tie or []))))
-    rows = _same(rows, k, [*group, "__rn_k"]).withColumn(out, (F.col("__rn_p") + F.col("__rn_i")).cast("long"))
-    rows = rows.withColumn(count, F.col("__rn_t")) if count else rows
-    return rows.drop("__rn_k", "__rn_i", "__rn_p", "__rn_t")
+def row_numbers(df: DataFrame, x: str, group: list[str], tie: list[str | Column] | None = None, out: str = "rank", count: str | None = None) -> DataFrame:
+    """`df` with the row number by x (then `tie`, then a hash of the row) within each group, and with the group's `count`. Rows with a
+    null x come first. A group's rows lie together in the global order, so a row's number is its position less the group's first."""
+    rows = positions(df, [*group, x, *(tie or [])], "__rn_pos")
+    firsts = rows.groupBy(*group).agg(F.min("__rn_pos").alias("__rn_first"), F.count("*").alias("__rn_n"))
+    rows = _same(rows, firsts, group) if group else rows.join(F.broadcast(firsts))
+    rows = rows.withColumn(out, F.col("__rn_pos") - F.col("__rn_first") + 1)
+    rows = rows.withColumn(count, F.col("__rn_n")) if count else rows
+    return rows.drop("__rn_pos", "__rn_first", "__rn_n")

@@ -34,10 +34,15 @@ def probe(df: DataFrame, features: list[str], label: str, entity: str, folds: in
 
 
 def ablation(df: DataFrame, features: list[str], label: str, entity: str, folds: int = 2) -> DataFrame:
-    """(kind, feature, auc): each feature alone, all features, and all but one. A loop over features, each a Spark job."""
-    sets = [("alone", f, [f]) for f in features] + [("all", "", features)] + [("without", f, [x for x in features if x != f]) for f in features]
-    out = None
-    for kind, f, cols in sets:
-        r = probe(df, cols, label, entity, folds).agg(F.avg("auc").alias("auc")).select(F.lit(kind).alias("kind"), F.lit(f).alias("feature"), "auc")
-        out = r if out is None else out.unionByName(r)
-    return out
+    """(kind, feature, auc): each feature alone, the best ones together as one after the other joins them (`cumulative`, in the order of
+    their own scores, ties by name; the last is all of them), and all but one. A loop over features, each a Spark job."""
+
+    def score(kind: str, name: str, cols: list[str]) -> tuple[str, str, float | None]:
+        return kind, name, probe(df, cols, label, entity, folds).agg(F.avg("auc")).first()[0]
+
+    rows = [score("alone", f, [f]) for f in features]
+    best = [f for _, f, auc in sorted(rows, key=lambda r: (-(r[2] if r[2] is not None else -1.0), r[1]))]
+    rows += [score("cumulative", best[k], best[: k + 1]) for k in range(1, len(best))]
+    rows += [("all", "", rows[-1][2])] if len(features) > 1 else []
+    rows += [score("without", f, [x for x in features if x != f]) for f in features if len(features) > 1]
+    return df.sparkSession.createDataFrame(rows, "kind string, feature string, auc double")

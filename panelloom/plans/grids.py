@@ -257,3 +257,18 @@ def win_history(spark: SparkSession, d: str) -> DataFrame:
     h = _phased(spark, d).select("entity", "t", W.history("ma", ["entity"], "t", 10 * STEP, STEP).alias("h"))
     n = F.when(F.size("h") > 0, F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + x))
     return h.select("entity", "t", F.size("h").alias("n_history"), n.alias("n_observed"))
+
+
+@query(
+    f"""WITH {OBS}, {GRID} SELECT g.entity, g.k, coalesce(s.value, 0.0) AS held,
+  CASE WHEN g.t >= o.on_t AND (o.off_t IS NULL OR g.t <= o.off_t) THEN coalesce(s.value, 0.0) END AS within FROM grid g
+  ASOF LEFT JOIN (SELECT * FROM obs WHERE track = 'purchase') s ON g.entity = s.entity AND g.t >= s.t
+  LEFT JOIN (SELECT entity, min(t) FILTER (track = 'view') AS on_t, max(t) FILTER (track = 'click' AND entity % 3 <> 0) AS off_t FROM obs GROUP BY 1) o ON o.entity = g.entity"""
+)
+def grid_step_hold(spark: SparkSession, d: str) -> DataFrame:
+    """A step signal held from its events on, 0 before the first, and null outside its phase."""
+    o = _obs(spark, d)
+    held = G.ffill_asof(o.where("track = 'purchase'"), _grid(o), ["entity"], None, seq="seq", bucket=7 * 86_400)
+    phase = o.groupBy("entity").agg(F.min(F.when(F.col("track") == "view", F.col("t"))).alias("on_t"), F.max(F.when((F.col("track") == "click") & (F.col("entity") % 3 != 0), F.col("t"))).alias("off_t"))
+    rows = held.join(phase, "entity", "left").withColumn("held", G.step_hold(F.col("value")))
+    return rows.select("entity", "k", "held", G.within_phase(F.col("held"), F.col("t"), F.col("on_t"), F.col("off_t")).alias("within"))

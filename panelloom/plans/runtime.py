@@ -1,4 +1,4 @@
-"""Queries on sources, streams, probes and generated cases."""
+"""Queries on sources, streams and probes."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grid as G
-from ..operators import probes, simulate
+from ..operators import probes
 from ..sources import io
+from ..sources.ledger import Ledger
 from ..streaming import streams
 from .registry import query, table
 
@@ -124,10 +125,43 @@ def probe_ablation(spark: SparkSession, d: str) -> DataFrame:
     return probes.ablation(li, ["l_quantity", "l_discount"], "label", "l_orderkey")
 
 
-@query()
-def sim_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Generated cases on the grid operators: samples and coverage of each track."""
-    obs = simulate.simulate(spark, 24, seed=7)
-    grid = G.make_grid(G.bounds(obs, ["entity"], 5.0), 5.0).join(F.broadcast(obs.select("track").distinct()))
-    filled = G.ffill_asof(obs, grid, ["entity", "track"], 30.0)
-    return G.coverage(filled, ["entity", "track"])
+@query(
+    """SELECT o_orderstatus, 'b' || (o_orderkey % 3)::INT AS batch, count(*)::BIGINT AS n, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE round(sum(o_totalprice), 2) END AS total FROM orders GROUP BY o_orderstatus, o_orderkey % 3"""
+)
+def src_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches appended, one of them twice, one after a try that died before it was recorded, one with fewer columns."""
+    o, led = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), Ledger(spark, io.scratch(spark, "ledger"), ["o_orderstatus"])
+    part = [o.where(F.col("o_orderkey") % 3 == k) for k in range(3)]
+    part[1].write.parquet(f"{led.path}/data/batch=b1")  # rows that no ledger knows
+    done = [led.append(part[0], "b0"), led.append(part[0], "b0"), led.append(part[1], "b1"), led.append(part[2].drop("o_totalprice"), "b2")]
+    if done != [True, False, True, True] or led.verify():
+        raise ValueError(f"batches aren't as recorded: {done}")
+    return led.read().groupBy("o_orderstatus", "batch").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query(
+    """SELECT a.l_orderkey, a.l_linenumber, a.l_quantity, b.l_extendedprice * (1 - b.l_discount) AS net
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.l_linenumber <= 2"""
+)
+def src_colocated_join(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables of the same composite key, bucketed and sorted by it: joined without a shuffle of either."""
+    li, key = table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]
+    a = io.write_bucketed(li.where("l_linenumber <= 2").select(*key, "l_quantity"), io.scratch(spark, "left"), key, 8)
+    b = io.write_bucketed(li.select(*key, (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net")), io.scratch(spark, "right"), key, 8)
+    return a.join(b.hint("merge"), key)
+
+
+@query(
+    """SELECT kind, count(*)::BIGINT AS n, count(amount)::BIGINT AS n_amount, count(note)::BIGINT AS n_note, round(sum(amount), 2) AS total FROM (
+  SELECT 'customer' AS kind, c_acctbal::DOUBLE AS amount, c_mktsegment AS note FROM customer UNION ALL SELECT 'supplier', s_acctbal, NULL FROM supplier UNION ALL SELECT 'part', NULL, p_brand FROM part) GROUP BY kind"""
+)
+def src_merged_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of differing schemas under one path, read as one table: each has some of the columns."""
+    path = io.scratch(spark, "merged")
+    c = table(spark, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_acctbal").cast("double").alias("amount"), F.col("c_mktsegment").alias("note"))
+    s = table(spark, d, "supplier").select(F.col("s_acctbal").cast("double").alias("amount"), F.lit("supplier").alias("kind"))
+    p = table(spark, d, "part").select(F.col("p_brand").alias("note"), F.lit("part").alias("kind"))
+    for k, part in enumerate((c, s, p)):
+        part.write.parquet(f"{path}/{k}")
+    rows = io.read_projected(spark, [f"{path}/{k}" for k in range(3)], {"kind": "string", "amount": "double", "note": "string"}, merge=True)
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count("amount").alias("n_amount"), F.count("note").alias("n_note"), F.round(F.sum("amount"), 2).alias("total"))

@@ -252,11 +252,93 @@ def dist_centroid_separation(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT dim AS k, 1 / (1 + dim) AS a, 2 / (1 + dim) AS b FROM (SELECT unnest(range(64)) AS dim)) SELECT min(k) FILTER (a < 0.1 AND b < 0.1)::BIGINT AS first_k, true AS monotone FROM e"""
+    """WITH e AS (SELECT l_quantity AS k, 1 - coalesce(sum(n) OVER (ORDER BY l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER () AS a, 1.0::DOUBLE / l_quantity AS b
+  FROM (SELECT l_quantity, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1))
+SELECT min(k) FILTER (a < 0.3 AND b < 0.5) AS first_k, (SELECT bool_and(a <= p) FROM (SELECT a, lag(a, 1, 2.0) OVER (ORDER BY k) AS p FROM e)) AS monotone FROM e"""
 )
 def dist_first_below(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.range(64).select(F.col("id").alias("k"), (1 / (1 + F.col("id"))).alias("a"), (2 / (1 + F.col("id"))).alias("b"))
-    return D.first_below(e, "k", ["a", "b"], 0.1)
+    """The quantity from which on less than 30 % of the lines are as large, and whether that share never rises."""
+    c = D.cumulated(table(spark, d, "lineitem"), "l_quantity", F.lit(True), [])
+    e = c.select(F.col("x").alias("k"), (1 - (F.col("ca") - F.col("a")) / F.col("na")).alias("a"), (1 / F.col("x")).alias("b"))
+    return D.first_below(e.withColumns({"a": F.col("a") / 0.3, "b": F.col("b") / 0.5}), "k", ["a", "b"], 1.0)
+
+
+@query(f"WITH {_NN} SELECT query, id, rank::INT AS rank, round(d, 6) AS distance FROM t")
+def dist_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 nearest of all vectors to each hundredth one, by the metric index."""
+    from ..operators import vector_index as V
+
+    e = table(spark, d, "embeddings")
+    found, _ = V.search(V.build(e, "embedding", "vec_id"), e.where("vec_id % 100 = 0"), "embedding", "vec_id", 20)
+    return found.select("query", "id", "rank", _r("distance").alias("distance"))
+
+
+@query(
+    """SELECT l_returnflag, count(l_extendedprice)::BIGINT AS n, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 3) AS std, min(l_extendedprice) AS low, max(l_extendedprice) AS high,
+  true AS median_within, true AS distinct_within FROM lineitem GROUP BY l_returnflag"""
+)
+def agg_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """States of three parts of the lines merged, with the estimates' errors: the median's rank within 2 %, the distinct count within 5 %."""
+    from ..operators import sketches as K
+
+    li, g, x = table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice"
+    parts = [li.where(F.pmod(F.col("l_orderkey"), F.lit(3)) == k) for k in range(3)]
+    held = K.updated(K.updated(K.state(parts[0], g, x), parts[1], g, x), parts[2], g, x)
+    e = K.estimates(held, g, [0.5]).withColumn("q", F.col("quantiles")[0])
+    true = li.join(F.broadcast(e.select(*g, "q")), g).groupBy(*g).agg((F.count_if(F.col(x) <= F.col("q")) / F.count(x)).alias("rank"), F.count_distinct(x).alias("d"))
+    rows = e.join(true, g)
+    return rows.select(
+        *g, "n", _r("mean", 4).alias("mean"), _r("std", 3).alias("std"), "low", "high",
+        (F.abs(F.col("rank") - 0.5) <= 0.02).alias("median_within"), (F.abs(F.col("n_distinct") / F.col("d") - 1) <= 0.05).alias("distinct_within"),
+    )
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END NULLS FIRST, l_orderkey, l_linenumber) - 1 AS position FROM lineitem"""
+)
+def ord_positions(spark: SparkSession, d: str) -> DataFrame:
+    """The position of each line in the order of a column with few values and many nulls, then of the key."""
+    from ..operators.positions import positions
+
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity")).alias("q"))
+    return positions(li, ["q", "l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "position")
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_quantity, l_orderkey, l_linenumber) - 1 AS position FROM lineitem)
+SELECT * FROM p ORDER BY sha256('7:' || position) LIMIT 500"""
+)
+def ord_sample(spark: SparkSession, d: str) -> DataFrame:
+    """500 lines at positions drawn from all, each as likely as any other."""
+    from ..operators.positions import sample_positions
+
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return sample_positions(li, ["l_quantity", "l_orderkey", "l_linenumber"], 500, "7").drop("l_quantity")
+
+
+@query(
+    """WITH u AS (SELECT event_id, ('0x' || sha256('p:' || event_id)[1:13])::BIGINT / 4503599627370496.0::DOUBLE AS u FROM events),
+c AS (SELECT k, sum(exp(k * ln(4.5) - 4.5 - lgamma(k + 1))) OVER (ORDER BY k) AS s FROM (SELECT unnest(range(0, 60))::DOUBLE AS k))
+SELECT event_id, (SELECT count(*) FROM c WHERE s < u)::INT AS k FROM u"""
+)
+def split_poisson_draws(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", E.poisson(E.uniform("p", F.col("event_id")), 4.5).alias("k"))
+
+
+@query(
+    """WITH n AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY n DESC, sha256('f:' || user_id)) - 1 AS p FROM n)
+SELECT user_id, n::BIGINT AS n, (CASE WHEN p // 5 % 2 = 0 THEN p % 5 ELSE 4 - p % 5 END)::INT AS fold FROM p"""
+)
+def split_balanced_folds(spark: SparkSession, d: str) -> DataFrame:
+    return E.balanced_folds(table(spark, d, "events"), "user_id")
+
+
+@query(
+    """SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: CASE WHEN i <= vec_id % 65 THEN x::DOUBLE ELSE 0 END)), 6) AS head, len(embedding)::INT AS n FROM embeddings"""
+)
+def fn_prefix_mask(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").withColumn("p", E.prefix_mask(F.col("embedding").cast("array<double>"), (F.col("vec_id") % 65).cast("int")))
+    return e.select("vec_id", _r(F.aggregate("p", F.lit(0.0), lambda s, x: s + x)).alias("head"), F.size("p").alias("n"))
 
 
 @query("SELECT count(*)::BIGINT AS n, round(avg(abs(l_quantity * 1.005 - l_quantity) / l_quantity), 9) AS error, count(*) > 10 AND avg(abs(l_quantity * 1.005 - l_quantity) / l_quantity) < 0.01 AS passed FROM lineitem WHERE l_quantity > 0.1")

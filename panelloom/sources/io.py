@@ -84,6 +84,14 @@ def write_partitioned(df: DataFrame, path: str, parts: list[str], entity: str, o
     dealt.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", max_records).partitionBy(*parts).parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, keys: list[str], buckets: int) -> DataFrame:
+    """The rows as a table bucketed and sorted by `keys`, under a name of its own: tables with the same keys and number of buckets are
+    joined and grouped by them without a shuffle. Rows are dealt by bucket first, so that a bucket is one file."""
+    name = f"panelloom_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't processed yet."""
     return df.join(done.select(key).distinct(), key, "left_anti")

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from panelloom.operators import simulate
 from panelloom.sources import io
 from panelloom.streaming import streams
 
@@ -53,14 +52,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert streams.first_seen(df, ["user_id"]).count() == 3
 
 
-def test_generation_is_stable(spark):
-    a = simulate.simulate(spark, 3, seed=5, duration=300.0)
-    b = simulate.simulate(spark, 3, seed=5, duration=300.0).repartition(7)
-    assert io.table_hash(a).first() == io.table_hash(b).first()
-    text, spans = simulate.note_spans("Patient {n}, {a} y.", {"n": "Ü X", "a": "40"})
-    assert [text[x:y] for _, x, y in spans] == ["Ü X", "40"]
-
-
 def test_entry_has_sql_for_known_queries_only(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 100

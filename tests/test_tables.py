@@ -133,7 +133,7 @@ def test_neighbours(spark):
     df = mk(0)
     whole = D.neighbour_overlap(df, "v", "id", "l", 10)
     rounded = lambda d: sorted((r["label"], r["n"], round(r["mean"], 9), round(r["median"], 9)) for r in d.collect())
-    assert rounded(D.neighbour_overlap(df, "v", "id", "l", 10, most=17)) == rounded(whole)
+    assert rounded(D.neighbour_overlap(df, "v", "id", "l", 10, pivots=3)) == rounded(whole)
 
 
 def steps(spark, n, **cols):
