@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import edges_below
-from .ordered import cumulated, quantiles, row_numbers
+from .ordered import cumulated, quantiles, quantiles_of, row_numbers
 from .vector_index import build, search
 
 
@@ -42,9 +42,8 @@ def total_variation(df: DataFrame, category: str, side: Column, missing: str = "
 
 def mutual_information(df: DataFrame, x: str, y: str, bins: int = 10, least: int = 50) -> DataFrame:
     """In nats, over bins at the distinct deciles; the maximum has a bin of its own; 0 below `least` rows."""
-    q = lambda c, e: quantiles(v, c, [i / bins for i in range(bins + 1)], []).select(F.array_distinct("q").alias(e))
     v = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    edges = q(x, "__ex").join(F.broadcast(q(y, "__ey")))
+    edges = quantiles_of(v, [(x, "__ex"), (y, "__ey")], [i / bins for i in range(bins + 1)]).select(*[F.array_distinct(e).alias(e) for e in ("__ex", "__ey")])
     at = lambda c, e: edges_below(F.col(c), e, bins + 1) - 1
     b = v.join(F.broadcast(edges)).groupBy(at(x, "__ex").alias("bx"), at(y, "__ey").alias("by")).agg(F.count("*").alias("n"))
     over = lambda c: F.sum("n").over(Window.partitionBy(c))  # noqa: E731  (bins + 1) ** 2 rows at most

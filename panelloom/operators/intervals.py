@@ -11,7 +11,7 @@ holds from ever. Such intervals are on a level of their own with one bin. Points
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FANOUT = 4
@@ -29,14 +29,19 @@ def width_of(level: Column, span: float) -> Column:
     return F.pow(F.lit(float(FANOUT)), level) * F.lit(float(span))
 
 
-def binned(intervals: DataFrame, span: float) -> DataFrame:
-    """The intervals with __level and __bin, a row for each bin that they touch (two at most), and with null for open ends."""
+def levelled(intervals: DataFrame, span: float) -> DataFrame:
+    """The intervals that don't end before they start, with __s and __e, null where open, and their __level."""
     start, end = _bound("start"), _bound("end")
     iv = intervals.withColumns({"__s": start, "__e": end}).where(F.col("__s").isNull() | F.col("__e").isNull() | (F.col("__e") >= F.col("__s")))
     length = (F.col("__e") - F.col("__s")) / F.lit(float(span))
     level = F.when(length <= 1, 0).otherwise(F.ceil(F.log(length) / F.log(F.lit(float(FANOUT)))))
     level = F.when(length.isNull() | (level > TOP), OPEN).otherwise(level).cast("int")
-    iv = iv.withColumn("__level", level)
+    return iv.withColumn("__level", level)
+
+
+def binned(intervals: DataFrame, span: float) -> DataFrame:
+    """`levelled` with __bin, a row for each bin that an interval touches (two at most)."""
+    iv = levelled(intervals, span)
     at = lambda c: F.floor(F.col(c) / width_of(F.col("__level"), span))
     bins = F.when(F.col("__level") == OPEN, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(at("__s"), at("__e")))
     return iv.withColumn("__bin", F.explode(bins))
@@ -46,9 +51,9 @@ def intervals_at(points: DataFrame, intervals: DataFrame, keys: list[str], span:
     """Points joined with the intervals of their keys that hold them: start <= t <= end, or t < end if not `closed`. `span` is the
     least width of a bin: about the length of the shortest common intervals."""
     iv = binned(intervals, span)
-    levels = iv.select("__level").distinct()  # at most TOP + 2 rows
+    levels = levelled(intervals, span).agg(F.collect_set("__level").alias("__levels"))  # one row of TOP + 2 numbers at most
     at = F.when(F.col("__level") == OPEN, F.lit(0).cast("long")).otherwise(F.floor(F.col(t) / width_of(F.col("__level"), span)))
-    looks = points.crossJoin(F.broadcast(levels)).withColumn("__bin", at)
+    looks = points.crossJoin(F.broadcast(levels)).withColumn("__level", F.explode("__levels")).drop("__levels").withColumn("__bin", at)
     inside = (F.col("__s").isNull() | (F.col(t) >= F.col("__s"))) & (F.col("__e").isNull() | ((F.col(t) <= F.col("__e")) if closed else (F.col(t) < F.col("__e"))))
     known = F.col(t).isNotNull() & ~F.isnan(F.col(t).cast("double"))
     return looks.join(iv, [*keys, "__level", "__bin"]).where(inside & known).drop("__level", "__bin", "__s", "__e")
@@ -68,8 +73,6 @@ def split_intervals(intervals: DataFrame, cuts: DataFrame, keys: list[str], span
     j = intervals_at(c, intervals.select(*keys, "id", "start", "end"), keys, span, "p")
     c = j.where((F.col("start").isNull() | (F.col("p") > F.col("start"))) & (F.col("end").isNull() | (F.col("p") < F.col("end")))).select(*keys, "id", "p", "end")
     p = intervals.select(*keys, "id", F.col("start").alias("p"), "end").unionByName(c).distinct()
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys, "id").orderBy(F.col("p").asc_nulls_first())
     return p.select(*keys, "id", F.col("p").alias("start"), F.coalesce(F.lead("p").over(w), F.col("end")).alias("end"))
 

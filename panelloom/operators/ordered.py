@@ -1,6 +1,6 @@
 """Exact order statistics without a whole group in one task.
 
-A column's distinct values with their counts are written once. Up to `SMALL` of them are ordered by one window a group. More are dealt
+Quantiles of at most `DIRECT` rows are one aggregate, which holds a group's distinct values. Beyond, and for running counts, a column's distinct values with their counts are written once. Up to `SMALL` of them are ordered by one window a group. More are dealt
 by ranges of (group, value) in buckets of about `SMALL` rows; each bucket is ordered for itself, and the buckets' counts are then
 carried over a row a bucket. Row numbers come from global positions (`positions`), which split equal values and nulls. Nulls take no
 part in the statistics; null group keys are a group like any other. NaN and infinite values count as missing, as everywhere."""
@@ -17,6 +17,7 @@ from .grid import finite
 from .positions import positions
 
 SMALL = 500_000
+DIRECT = 1_000_000
 
 
 def _same(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
@@ -62,8 +63,13 @@ def cumulated(df: DataFrame, x: str, side: Column, group: list[str]) -> DataFram
 
 
 def quantiles(df: DataFrame, x: str, ps: list[float], group: list[str], out: str = "q") -> DataFrame:
-    """(group, out): an array of the exact quantiles of x, linear between neighbours."""
-    c = cumulated(df.select(*group, F.col(x).cast("double").alias("__x")), "__x", F.lit(True), group)
+    """(group, out): an array of the exact quantiles of x, linear between neighbours; groups without a value have no row."""
+    rows = df.select(*group, F.col(x).cast("double").alias("__x"))
+    if rows.count() <= DIRECT:
+        none = F.array(*[F.lit(None).cast("double") for _ in ps])
+        v = rows.withColumn("__x", finite("__x")).where("__x is not null")
+        return v.groupBy(*group).agg(F.coalesce(F.percentile("__x", F.array(*[F.lit(float(p)) for p in ps])), none).alias(out))
+    c = cumulated(rows, "__x", F.lit(True), group)
     cols = []
     for p in ps:
         at = (F.col("na") - 1) * F.lit(float(p))
@@ -74,6 +80,13 @@ def quantiles(df: DataFrame, x: str, ps: list[float], group: list[str], out: str
     return found.select(*group, F.array(*[value(i, F.lit(float(p))) for i, p in enumerate(ps)]).alias(out))
 
 
+def quantiles_of(df: DataFrame, cols: list[tuple[str, str]], ps: list[float]) -> DataFrame:
+    """One row with an array of exact quantiles of each column (column and name of the array); few rows are read once for all."""
+    if df.count() <= DIRECT:
+        return df.agg(*[F.percentile(finite(F.col(c).cast("double")), F.array(*[F.lit(float(p)) for p in ps])).alias(out) for c, out in cols])
+    return reduce(lambda a, b: a.join(F.broadcast(b)), [quantiles(df, c, ps, [], out) for c, out in cols])
+
+
 def row_numbers(df: DataFrame, x: str, group: list[str], tie: list[str | Column] | None = None, out: str = "rank", count: str | None = None) -> DataFrame:
     """`df` with the row number by x (then `tie`, then a hash of the row) within each group, and with the group's `count`. Rows with a
     null x come first. A group's rows lie together in the global order, so a row's number is its position less the group's first."""

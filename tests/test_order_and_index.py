@@ -41,6 +41,7 @@ def test_buckets_of_many_values(spark, monkeypatch):
     rows = [(str(g) if g else None, float(v)) for g, v in zip(rng.integers(0, 3, 3000), rng.normal(size=3000), strict=True)]
     df, ps = spark.createDataFrame(rows, "g string, x double"), [0.0, 0.1, 0.5, 0.99, 1.0]
     monkeypatch.setattr(O, "SMALL", 100)
+    monkeypatch.setattr(O, "DIRECT", 0)
     for r in O.quantiles(df, "x", ps, ["g"]).collect():
         assert np.allclose(r["q"], np.quantile([x for g, x in rows if g == r["g"]], ps))
     assert np.allclose(O.quantiles(df, "x", ps, []).first()["q"], np.quantile([x for _, x in rows], ps))
