@@ -110,7 +110,7 @@ def _searched(asked: DataFrame, index: Index, k: int) -> DataFrame:
     """(query, id, distance, seen): of each query the k nearest rows of each chunk it goes to; seen: the rows it was compared with."""
 
     def run(base: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        who_, ids_, far_, seen = [], [], [], []
         if len(base) and len(some):
             base = base.sort_values("id")
             v, r, ids = np.stack(base["v"].to_numpy()).astype(float), base["r"].to_numpy(), base["id"].to_numpy()
@@ -120,10 +120,11 @@ def _searched(asked: DataFrame, index: Index, k: int) -> DataFrame:
                 far = _far(v[near], np.asarray(q, dtype=float))
                 best = np.argsort(far, kind="stable")[:k]
                 best = best if open_ else best[far[best] <= most * _IN]
-                out.append(pd.DataFrame({"query": who, "id": ids[near[best]], "distance": far[best], "seen": 0}))
-                out.append(pd.DataFrame({"query": [who], "id": [None], "distance": [None], "seen": [len(near)]}))
-        names = ["query", "id", "distance", "seen"]
-        return pd.concat(out)[names].astype({"id": "object"}) if out else pd.DataFrame({c: [] for c in names})
+                who_ += [who] * (len(best) + 1)
+                ids_ += [*ids[near[best]].tolist(), None]  # a row about the query itself comes last
+                far_ += [*far[best].tolist(), None]
+                seen += [0] * len(best) + [len(near)]
+        return pd.DataFrame({"query": who_, "id": pd.Series(ids_, dtype="object"), "distance": pd.Series(far_, dtype="float64"), "seen": seen})
 
     kind = index.rows.schema["id"].dataType
     schema = StructType([StructField("query", asked.schema["query"].dataType), StructField("id", kind), *StructType.fromDDL("distance double, seen long").fields])
