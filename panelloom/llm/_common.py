@@ -85,8 +85,9 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def sweep(self) -> None:
-        """Collects the driver's garbage, and with it the shuffles of plans that are gone."""
+        """Collects the driver's garbage, and with it the shuffles of plans that are gone, and gives freed memory back."""
         gc.collect()
+        _trim()
         self.spark._jvm.System.gc()
 
 

@@ -9,7 +9,8 @@ and the join on shingles finds every other link. The stage of the corpus pipelin
 3. Candidates by shingles: sets of similarity s or more share one of the first n - ceil(s * n) + 1 of their n shingles, in any
    order that is the same for all texts. So every linked pair meets in a bucket (a shingle with the nodes that have it among
    their first). The order decides only how large buckets are: shingles that are common in a sample of the texts come late,
-   and those whose buckets turn out large come last, the larger the later.
+   and those whose buckets turn out to have more than `MANY` nodes come last, the larger the later: so texts are found by what
+   few others have, and a phrase that more texts have as the corpus grows makes no more pairs.
 4. Two nodes' counts of shingles by `PARTS` parts of the hash bound their common shingles from above; pairs that cannot
    reach s by this bound need no look at their sets.
 5. The SimHash candidates and all pairs of buckets with up to `few` nodes are verified. Larger buckets are searched in `rounds`
@@ -45,6 +46,8 @@ from .simhash import codes_of, components, linked_codes, shingles
 SLOTS = 1 << 22
 PARTS = 128
 LISTED = 1 << 18
+LATE = 1 << 20
+MANY = 8
 HEADS = 8
 
 
@@ -77,7 +80,10 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.where("doc_id is not null")
 
 
-def common_shingles(src: DataFrame, size: int, sample: int = 20_000, least: int = 8) -> dict[int, int]:
+Late = tuple[np.ndarray, np.ndarray]  # shingles, and how many texts have each
+
+
+def common_shingles(src: DataFrame, size: int, sample: int = 20_000, least: int = 8) -> Late:
     """Values that `least` of about `sample` texts have, `LISTED` at most, and about how many of all texts have each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,16 +94,31 @@ def common_shingles(src: DataFrame, size: int, sample: int = 20_000, least: int
     share = min(1.0, sample / max(src.count(), 1))
     drawn = src.where(hash_unit(F.col("doc_id"), F.lit("near copies")) < share)
     found = arrow(drawn.select("doc_id", "text"), run, "tok long").groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return {r["tok"]: int(r["n"] / share) for r in found.orderBy(F.desc("n"), "tok").limit(LISTED).collect()}
+    tok, n = _columns(found.orderBy(F.desc("n"), "tok").limit(LISTED))
+    return tok, (n / share).astype(np.int64)
+
+
+def _columns(df: DataFrame) -> Late:
+    got = df.toArrow()
+    return got.column(0).to_numpy(), got.column(1).to_numpy()
+
+
+def merged(a: Late, b: Late) -> Late:
+    """The shingles of both, with the larger number of those in both."""
+    tok, at = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
+    n = np.zeros(len(tok), np.int64)
+    np.maximum.at(n, at, np.concatenate((a[1], b[1])))
+    return tok, n
 
 
 class Order:
     """The late shingles: values, sorted, and the place of each by how many texts have it. All others have place 0."""
 
-    def __init__(self, late: dict[int, int]):
-        self.tok = np.array(sorted(late), dtype=np.int64)
-        n = np.array([late[t] for t in self.tok.tolist()], dtype=np.int64)
-        self.place = np.zeros(len(n), np.int64)
+    def __init__(self, late: dict[int, int] | Late):
+        tok, n = (np.array(list(x), dtype=np.int64) for x in (late.keys(), late.values())) if isinstance(late, dict) else late
+        by = np.argsort(tok)
+        self.tok, n = tok[by], n[by]
+        self.place = np.zeros(len(n), np.int32)
         self.place[np.argsort(n, kind="stable")] = np.arange(1, len(n) + 1)
 
     def places(self, h: np.ndarray) -> np.ndarray:
@@ -110,7 +131,7 @@ class Order:
 
 def outlines(src: DataFrame, order: Order, size: int, share: Fraction) -> DataFrame:
     """(doc_id, digest, node, code, n, parts, prefix); `parts` has a byte for each part of the hash, 255 for that many or more."""
-    held = src.sparkSession.sparkContext.broadcast(order)  # LISTED shingles for each round of `late` at most
+    held = src.sparkSession.sparkContext.broadcast(order)  # LISTED shingles and LATE for each round at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,11 +242,14 @@ def linked(
         met = nodes.select("node", "n", F.posexplode("prefix").alias("i", "tok"))
         shared = met.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1")  # a node has a shingle once
         shared = scratch.keep(shared, "shared")
-        bound = max(256, shared.agg(F.sum("m")).first()[0] or 0) // LISTED  # so LISTED shingles at most are larger
-        hot = shared.where(F.col("m") > max(256, bound)).collect() if k < 2 else []
-        if not any(r["tok"] not in late for r in hot):
+        total = shared.agg(F.sum("m")).first()[0] or 0
+        hot = _columns(shared.where(F.col("m") > max(MANY, total // LATE))) if k < 2 else late  # LATE shingles at most are larger
+        new = hot[1][~np.isin(hot[0], late[0])]
+        if new @ new <= total:  # their pairs are fewer than the buckets' rows
             break
-        late |= {r["tok"]: max(late.get(r["tok"], 0), r["m"]) for r in hot}
+        late = merged(late, hot)
+        del hot, new
+        scratch.sweep()
         for t in (fps, nodes, shared):
             scratch.drop(t)
     rows = scratch.keep(met.join(shared, "tok"), "buckets")

@@ -106,3 +106,24 @@ def test_pairs_left_hold_every_link_and_templates_make_none(spark):
 def test_columns_with_names_of_the_stage(spark):
     docs = spark.createDataFrame([(1, "a b c", 5, "x", 2), (1, "a b c", 5, "w", 2), (2, "A b c", 6, "y", 3)], "doc_id long, text string, __id0 int, __digest0 string, __row int")
     assert [tuple(r) for r in N.one_of_each(docs).collect()] == [(1, "a b c", 5, "w", 2)]
+
+
+def test_common_phrases_make_no_large_buckets(spark, monkeypatch):
+    """Texts with phrases that some dozens of others have, too: the buckets that are left follow the texts, not their square."""
+    seen, rng = {}, np.random.default_rng(9)
+    phrases = [" ".join(f"p{x}" for x in rng.integers(0, 10**6, 9)) for _ in range(60)]
+    old = N.possible
+
+    def counted(pairs, parts, share):
+        seen.setdefault(len(texts), pairs.count())
+        return old(pairs, parts, share)
+
+    monkeypatch.setattr(N, "possible", counted)
+    monkeypatch.setattr(N, "linked_codes", lambda codes, *_: codes.sparkSession.createDataFrame([], "u long, v long"))
+    monkeypatch.setattr(N, "common_shingles", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    for n in (300, 900):
+        texts = [" ".join([phrases[i] for i in rng.integers(0, 60, 4)] + [f"w{x}" for x in rng.integers(0, 10**6, 60)]) for _ in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = N.linked(docs, few=10**6)
+        assert found.select("component_id").distinct().count() == n
+    assert seen[900] < 4 * max(seen[300], 100), seen
