@@ -13,11 +13,15 @@ from panelloom.llm import decontaminate, langid, near_copies, pii, transducer
 from panelloom.llm._common import Scratch, is_held_out, table
 from panelloom.llm.token_file import public_path
 
+#: Share of a text that its main language has at least.
+MAIN_SHARE = 0.5
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents without a language: null texts and texts without a letter."""
+    """Drops the documents without a main language: null texts, texts without a letter, and texts of which no learned language has
+    a share of `MAIN_SHARE`."""
     model = langid.fit(docs.where(~is_held_out()))
-    return langid.keep_identified(docs, model)
+    return langid.keep_identified(docs, model, MAIN_SHARE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

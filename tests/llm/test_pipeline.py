@@ -80,3 +80,11 @@ def test_rows_of_one_id_are_told_by_their_texts(spark):
     rows = [(3, EN * 3, "b"), (7, EN * 3, "a"), (7, other, "a"), (7, other, "c"), (3, EN * 3, "a"), (9, EN * 3 + "x", "a"), (5, None, "a"), (5, "", "a")]
     kept = C.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "")
     assert sorted(map(tuple, kept.collect()), key=str) == [(3, EN * 3, "a"), (5, None, "a"), (7, other, "a")]
+
+
+def test_texts_without_a_main_language_are_dropped(spark):
+    own = {"en": EN, "fr": FR, "de": "das haus und der garten des königs mit einem fluss der im norden war ", "es": "la casa y el jardín del rey con un río que estaba en el norte "}
+    rows = [(k, (t + f"{k} ") * 4, lang, "s", 0) for k, (lang, t) in enumerate(list(own.items()) * 6)]
+    rows += [(100, (EN * 5 + FR), None, "s", 0), (101, "".join(t * 4 for t in own.values()), None, "s", 0), (102, EN, None, "s", 0)]
+    kept = {r["doc_id"] for r in C.language(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert {r[0] for r in rows} - kept == {101}
