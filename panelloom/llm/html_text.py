@@ -10,12 +10,12 @@
 2. Pages are put in the order of (host, path, id) over the whole table and numbered; each page is paired with the next one of
    its host, so with both its nearest URLs. Numbering goes by sorted ranges and their row counts, and pairing by the number, so
    that a host with a third of all pages is dealt as evenly as any other.
-3. Lines of an article or main element are protected but for those in doubt: copies of an article under two URLs of a host share
-   all their lines, and deleting those would lose the text. The other lines of a pair are aligned by longest common subsequence; a
-   line aligned with either neighbour is shared.
-4. Shared lines in doubt and shared body lines are deleted. A page with an article is its protected lines and what is left of those
-   in doubt; one without is its body lines that aren't shared, or all body lines where every one is shared (a copy of its neighbour).
-   Furniture never counts.
+3. All lines of a pair are aligned by longest common subsequence, those of articles and furniture, too; a line aligned with either
+   neighbour is shared.
+4. Lines of an article or main element are protected but for those in doubt: copies of an article under two URLs of a host share
+   all their lines, and deleting those would lose the text. A shared line is common furniture where neither page protects it:
+   such lines in doubt and such body lines are deleted. A page with an article is its protected lines and what is left of those
+   in doubt; one without is what is left of its body lines, or all of them where none is left (a copy of its neighbour). Furniture never counts.
 
 Null and empty pages have an empty text. Pages without a host are not paired. Repeated rows (same id, url and
 page) count once in the order and are extracted row by row.
@@ -37,7 +37,9 @@ from ._common import Scratch, arrow, table
 from .url_rules import split_url
 
 FURNITURE, BODY, ARTICLE, DOUBT = 0, 1, 2, 3
+#: Bytes of a line's outline: its digest and a flag.
 LINE = 12
+_SURE, _LOOSE = b"\x01", b"\x00"
 #: Within page_lines: furniture that an article or main element cannot leave. Its lines are FURNITURE.
 CLOSED = -1
 
@@ -236,14 +238,14 @@ def _parsed(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[tuple[list
 
 
 def outlines(src: DataFrame) -> DataFrame:
-    """(key, page_id, host, path, hashes): `LINE` bytes, a BLAKE2 digest, for each line of a page that isn't protected. `key` is
-    the SHA-256 of a row's id, url and page. Different lines or rows of one digest can't be made on purpose, nor by chance."""
+    """(key, page_id, host, path, hashes): `LINE` bytes for each line of a page, a BLAKE2 digest and whether the line is protected.
+    `key` is the SHA-256 of a row's id, url and page. Different lines or rows of one digest can't be made on purpose, nor by chance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b, got in _parsed(big):
                 places = [split_url(u) for u in b.column(2).to_pylist()]
-                h = [b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=LINE).digest() for x, z in zip(*g, strict=True) if z != ARTICLE) for g in got]
+                h = [b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=LINE - 1).digest() + (_SURE if z == ARTICLE else _LOOSE) for x, z in zip(*g, strict=True)) for g in got]
                 cols = [b.column(0), b.column(1), *(pa.array(x, pa.string()) for x in zip(*places, strict=True)), pa.array(h, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "page_id", "host", "path", "hashes"])
 
@@ -252,8 +254,8 @@ def outlines(src: DataFrame) -> DataFrame:
 
 def texts(src: DataFrame) -> DataFrame:
     """(key, page_id, url, article, body, at, n_lines): the text of an article's lines where none is in doubt, else null and the lines
-    that may be deleted among `body`: those of an article with lines in doubt, or the body lines. at: their numbers among the lines
-    that aren't protected, -1 for protected ones."""
+    that may be deleted among `body`: those of an article with lines in doubt, or the body lines. at: their
+    numbers among all lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -268,12 +270,8 @@ def texts(src: DataFrame) -> DataFrame:
                         at.append([])
                         continue
                     kinds = (ARTICLE, DOUBT) if own else (BODY,)
-                    no, nos = 0, []
-                    for z in zones:
-                        nos.append(-1 if z == ARTICLE else no)
-                        no += z != ARTICLE
                     body.append([x for x, z in zip(lines, zones, strict=True) if z in kinds])
-                    at.append([k for k, z in zip(nos, zones, strict=True) if z in kinds])
+                    at.append([k for k, z in enumerate(zones) if z in kinds])
                 cols = [
                     b.column(0), b.column(1), b.column(2), pa.array(article, pa.string()), pa.array(body, pa.list_(pa.string())), pa.array(at, pa.list_(pa.int32())),
                     pa.array([len(g[0]) for g in got], pa.int32()),
@@ -299,22 +297,26 @@ def numbered(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def shared_lines(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, shared): numbers of a page's lines that are aligned with the page before or after."""
+    """(key, shared, common): numbers of a page's lines that are aligned with the page before or after, and of those that neither
+    of the two pages protects."""
     a = numbered(pages, scratch)
     b = a.select((F.col("n") - 1).alias("n"), F.col("host").alias("host2"), F.col("key").alias("key2"), F.col("hashes").alias("hashes2"))
     pairs = a.join(b, "n").where("host = host2").select("key", "hashes", "key2", "hashes2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, at = [], []
+            key, at, loose = [], [], []
             for k1, h1, k2, h2 in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                p, q = aligned(*([h[k : k + LINE] for k in range(0, len(h), LINE)] for h in (h1, h2)))
+                p, q = aligned(*([h[k : k + LINE - 1] for k in range(0, len(h), LINE)] for h in (h1, h2)))
+                both = [(i, j) for i, j in zip(p, q, strict=True) if not h1[i * LINE + LINE - 1] and not h2[j * LINE + LINE - 1]]
                 key += [k1, k2]
                 at += [p, q]
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(at, pa.list_(pa.int32()))], names=["key", "at"])
+                loose += [[i for i, _ in both], [j for _, j in both]]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), *(pa.array(x, pa.list_(pa.int32())) for x in (at, loose))], names=["key", "at", "loose"])
 
-    found = arrow(pairs, run, "key binary, at array<int>")
-    return found.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("shared"))  # two rows a page at most
+    found = arrow(pairs, run, "key binary, at array<int>, loose array<int>")
+    both = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    return found.groupBy("key").agg(both("at").alias("shared"), both("loose").alias("common"))  # two rows a page at most
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -322,7 +324,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     texts, so that no copy of the texts is kept between."""
     src = _source(pages, id_col, url_col, html_col)
     shared = shared_lines(outlines(src), Scratch(pages.sparkSession, "html"))
-    own = F.expr("filter(body, (x, i) -> NOT coalesce(array_contains(shared, at[i]), false))")
+    own = F.expr("filter(body, (x, i) -> NOT coalesce(array_contains(common, at[i]), false))")
     both = texts(src).join(shared, "key", "left").withColumn("own", own)
     text = F.expr("coalesce(article, array_join(CASE WHEN size(own) > 0 THEN own ELSE body END, ' '))")
     out = both.select("page_id", "url", text.alias("text"), "n_lines", F.size(F.coalesce("shared", F.array().cast("array<int>"))).alias("n_shared"))

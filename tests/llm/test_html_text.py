@@ -180,3 +180,11 @@ def test_whole_query_equals_brute_force(spark):
         want[i] = " ".join(left or own)
     df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string").repartition(3)
     assert {r["page_id"]: r["text"] for r in H.main_text(df).collect()} == want
+
+
+def test_all_lines_are_aligned_and_articles_stay(spark):
+    """Lines that the pages' articles share count as shared, but stay; what one page protects isn't furniture in the other."""
+    page = lambda k, cls: f"<body><p>top</p><article><h1>Series</h1><p>story {k}</p><div{cls}>note</div></article></body>"
+    rows = [(1, "http://h.com/1", page(1, "")), (2, "http://h.com/2", page(2, " class=related")), (3, "http://x.com/1", page(3, " class=related")), (4, "http://x.com/2", page(4, " class=related"))]
+    got = {r["page_id"]: (r["text"], r["n_shared"]) for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("Series story 1 note", 3), 2: ("Series story 2 note", 3), 3: ("Series story 3", 3), 4: ("Series story 4", 3)}
