@@ -24,8 +24,12 @@ and the join on shingles finds every other link. The stage of the corpus pipelin
    buckets of more than `wide` nodes only the nodes stay for which another component has a partner small enough: texts with a
    common template or near copies with many words of their own, which can't be links by it, make no pairs.
 
+   Of their pairs those are left out, too, whose sets differ in more values than a link may by the parities of their counts by
+   parts: sets of s * (n + m) / (1 + s) common values differ in (1 - s) * (n + m) / (1 + s) at most.
+
 Texts without a word are copies of each other only. Rows with a null id take no part in links. Joins whose keys may be hot have
-an aggregate with one row a key on the other side, so that adaptive execution can split them.
+an aggregate with one row a key on the other side, so that adaptive execution can split them. Rows that a bitmap tells from all
+keys (texts that stay, texts without copies) are not shuffled to meet them.
 """
 
 from __future__ import annotations
@@ -44,11 +48,13 @@ from ._common import Scratch, arrow, hash_unit
 from .simhash import codes_of, components, linked_codes, shingles
 
 SLOTS = 1 << 22
+MOST_SLOTS = 28  # a power of two
 PARTS = 128
 LISTED = 1 << 18
 LATE = 1 << 20
 MANY = 8
 HEADS = 8
+ODD = [f"odd{k}" for k in range(PARTS // 32)]
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +136,8 @@ class Order:
 
 
 def outlines(src: DataFrame, order: Order, size: int, share: Fraction) -> DataFrame:
-    """(doc_id, digest, node, code, n, parts, prefix); `parts` has a byte for each part of the hash, 255 for that many or more."""
+    """(doc_id, digest, node, code, n, parts, prefix, odd); `parts` has a byte for each part of the hash, 255 for that many or more,
+    and odd the parities of the counts by twice as many parts, a bit each."""
     held = src.sparkSession.sparkContext.broadcast(order)  # LISTED shingles and LATE for each round at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,16 +145,33 @@ def outlines(src: DataFrame, order: Order, size: int, share: Fraction) -> DataFr
             for first, end, data, off in T.slices(b.column(1)):
                 h, doc, node, code = shingle_sets(data, off, size)
                 n = np.bincount(doc, minlength=end - first)
-                part = np.bincount(doc * PARTS + (h % np.uint64(PARTS)).astype(np.int64), minlength=PARTS * (end - first))
-                parts = [x.tobytes() for x in np.minimum(part, 255).astype(np.uint8).reshape(-1, PARTS)]
+                part = np.bincount(doc * 2 * PARTS + (h % np.uint64(2 * PARTS)).astype(np.int64), minlength=2 * PARTS * (end - first))
+                odd = np.packbits(part.reshape(-1, 2 * PARTS) & 1, axis=1).view(np.int64)
+                part = part.reshape(-1, 2, PARTS).sum(1)
+                parts = [x.tobytes() for x in np.minimum(part, 255).astype(np.uint8)]
                 order = np.lexsort((h, held.value.places(h), doc))
                 rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
                 on = rank < np.repeat(n + n * -share.numerator // share.denominator + 1, n)  # n - ceil(share * n) + 1
                 own = b.slice(first, end - first)
-                cols = [own.column(0), own.column(2), pa.array(node), pa.array(code.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(parts, pa.binary()), _lists(h[order][on], doc[on], end - first)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "node", "code", "n", "parts", "prefix"])
+                cols = [own.column(0), own.column(2), pa.array(node), pa.array(code.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(parts, pa.binary()), _lists(h[order][on], doc[on], end - first), *map(pa.array, odd.T)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "digest", "node", "code", "n", "parts", "prefix", *ODD])
+
+    return arrow(src, run, "doc_id long, digest binary, node long, code long, n int, parts binary, prefix array<long>" + "".join(f", {x} long" for x in ODD))
 
-    return arrow(src, run, "doc_id long, digest binary, node long, code long, n int, parts binary, prefix array<long>")
+
+def apart(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key surely is none of `keys` (one column), and the others: told by a bitmap of hashes with at least eight
+    slots a key, `MOST_SLOTS` at most. The first have no need to meet the keys, so they aren't shuffled."""
+    slots = 1 << min(MOST_SLOTS, max(16, (8 * keys.count()).bit_length()))
+    word = lambda c: F.floor(F.pmod(F.xxhash64(c), F.lit(slots)) / 64).cast("int")
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(64)).cast("int")
+    one = F.col(f"`{keys.columns[0]}`")
+    got = keys.select(word(one).alias("word"), bit(one).alias("bit")).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+    words = np.zeros(slots // 64, np.int64)
+    words[got["word"].to_numpy()] = got["bits"].to_numpy()
+    held = F.broadcast(rows.sparkSession.createDataFrame(pa.table({"words": [words]})))
+    hit = F.getbit(F.get(held["words"], word(key)), bit(key)) == 1
+    return rows.join(held, hit, "left_anti"), rows.join(held, hit, "left_semi")
 
 
 def _slot(col: str) -> Column:
@@ -191,27 +215,32 @@ def possible(pairs: DataFrame, parts: DataFrame, share: Fraction) -> DataFrame:
     return arrow(both, run, "u long, v long")
 
 
-def unsettled(now: DataFrame, share: Fraction, wide: int) -> DataFrame:
+def unsettled(now: DataFrame, share: Fraction, wide: int, odd: DataFrame | None = None) -> DataFrame:
     """The pairs (u, v) across components that may be links, of the rows (tok, node, n, i, m, c) of buckets: i is the place of the
     shingle tok among the node's first, m the bucket's size, c the node's component.
 
     Pairs of buckets with up to `wide` nodes are counted: those that share as many of their first as a link does, one in a wide
-    bucket taken as shared, and that meet early enough stay. Pairs of wide buckets only have to meet early enough."""
+    bucket taken as shared, and that meet early enough stay. Pairs of wide buckets only have to meet early enough. With `odd`
+    (node and `ODD`) only pairs are made whose parities leave a link open: two sets differ in as many values at least."""
     p, q = share.numerator, share.denominator
     near = f"least(n, nv) * {q}L >= greatest(n, nv) * {p}L"  # so sizes fall into one class or two that follow
     step = F.floor(F.log(F.greatest("n", F.lit(1))) / math.log(q / p) + 1e-9).cast("int")
     most = F.floor((F.col("n") * F.lit(q).cast("long") - F.col("i") * F.lit(p + q).cast("long")) / p).cast("long")  # of a partner's size
-    now = now.select("tok", "node", "n", "m", "c", step.alias("at"), most.alias("most"))
+    bits, alike = [] if odd is None else ODD, "true"
+    if odd is not None:
+        now = now.join(odd, "node")
+        alike = f"({' + '.join(f'bit_count({x} ^ {x}v)' for x in ODD)}) * {q + p}L <= (n + nv) * {q - p}L"
+    now = now.select("tok", "node", "n", "m", "c", step.alias("at"), most.alias("most"), *bits)
 
     def other(rows: DataFrame) -> DataFrame:
-        names = {"node": "v", "n": "nv", "c": "cv", "most": "mv", "at": "av", "h": "hv"}
+        names = {"node": "v", "n": "nv", "c": "cv", "most": "mv", "at": "av", "h": "hv"} | {x: f"{x}v" for x in bits}
         at = F.explode(F.array("at", F.col("at") - 1)).alias("at")
         return rows.select("tok", at, *(F.col(x).alias(y) for x, y in names.items() if x in rows.columns))
 
     in_wide = now.where(F.col("m") > wide)
     held = in_wide.groupBy("node").agg(F.count("*").alias("h"))
     mine = now.where(F.col("m") <= wide).join(held, "node", "left").fillna(0, ["h"])
-    pairs = mine.join(other(mine), ["tok", "at"]).where(f"c <> cv and {near} and (av > at or node > v)")
+    pairs = mine.join(other(mine), ["tok", "at"]).where(f"c <> cv and {near} and (av > at or node > v) and {alike}")
     need = f"(n * {p}L + nv * {p}L + {p + q - 1}L) div {p + q} - (greatest(n, nv) * {p}L + {q - 1}L) div {q} + 1"
     counted = pairs.groupBy(F.col("node").alias("u"), "v", "n", "nv", "h", "hv").agg(F.count("*").alias("k"), F.max("most").alias("most"), F.max("mv").alias("mv"))
     counted = counted.where(f"nv <= most and n <= mv and k + least(h, hv) >= {need}").select("u", "v")
@@ -223,7 +252,7 @@ def unsettled(now: DataFrame, share: Fraction, wide: int) -> DataFrame:
     bound = first.join(second, ["tok", "at"]).select("tok", "at", F.col("first.c").alias("fc"), F.col("first.low").alias("first"), "second")
     able = in_wide.join(bound, ["tok", "at"]).where("if(c = fc, second, first) <= most").drop("fc", "first", "second")
     early = able.where("n <= most").join(other(able), ["tok", "at"])
-    early = early.where(f"c <> cv and {near} and nv <= most and n <= mv and (nv > n or nv = n and node > v)").select(F.col("node").alias("u"), "v")
+    early = early.where(f"c <> cv and {near} and nv <= most and n <= mv and (nv > n or nv = n and node > v) and {alike}").select(F.col("node").alias("u"), "v")
     return counted.unionByName(early)
 
 
@@ -236,9 +265,16 @@ def linked(
     p, q = share.numerator, share.denominator
     scratch, src = Scratch(spark, "copies"), _source(docs, id_col, text_col)
     late = common_shingles(src, size)
+    scratch.sweep()
     for k in range(3):  # the first order, and two in which the shingles of large buckets come last
         fps = scratch.keep(outlines(src, Order(late), size, share), "outlines")
-        nodes = scratch.keep(fps.select("node", "n", "code", "parts", "prefix").dropDuplicates(["node"]), "nodes")
+        twice = scratch.keep(fps.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1").select("node"), "twice")
+        once, more = apart(fps.select("node", "n", "code", "parts", "prefix", *ODD), F.col("node"), twice)
+        nodes = scratch.keep(once.union(more.dropDuplicates(["node"])), "nodes")
+        own = scratch.keep(fps.select("doc_id", "node", "digest"), "own")
+        scratch.drop(fps)
+        del fps, once, more
+        scratch.sweep()
         met = nodes.select("node", "n", F.posexplode("prefix").alias("i", "tok"))
         shared = met.groupBy("tok").agg(F.count("*").alias("m")).where("m > 1")  # a node has a shingle once
         shared = scratch.keep(shared, "shared")
@@ -250,12 +286,14 @@ def linked(
         late = merged(late, hot)
         del hot, new
         scratch.sweep()
-        for t in (fps, nodes, shared):
+        for t in (nodes, own, shared):
             scratch.drop(t)
+    scratch.sweep()
     rows = scratch.keep(met.join(shared, "tok"), "buckets")
-    own = scratch.keep(fps.select("doc_id", "node", "digest"), "own")
-    scratch.drop(fps)
-    parts = scratch.keep(nodes.select("node", "parts").join(rows.select("node").distinct(), "node", "left_semi"), "parts")
+    scratch.drop(shared)
+    scratch.sweep()
+    parts = scratch.keep(nodes.select("node", "parts", *ODD).join(rows.select("node").distinct(), "node", "left_semi"), "parts")
+    parts, odd = parts.select("node", "parts"), parts.select("node", *ODD)
     small, large = rows.where(F.col("m") <= few), rows.where(F.col("m") > few)
     near = f"least(n, nv) * {q}L >= greatest(n, nv) * {p}L"  # sizes
     other = small.select("tok", F.col("node").alias("v"), F.col("n").alias("nv"))
@@ -299,7 +337,7 @@ def linked(
             pairs = now.join(heads, "tok")
             pairs = pairs.where(f"c <> cv and {near}").select(F.col("node").alias("u"), "v")
         else:
-            pairs = unsettled(now, share, wide)
+            pairs = unsettled(now, share, wide, odd)
         link(scratch.keep(possible(pairs, parts, share), "pairs"))
     ids = own.groupBy("node").agg(F.min("doc_id").alias("low"))
     ids = scratch.keep(ids.join(state["comp"], "node", "left").select("node", "low", F.coalesce("component", "node").alias("c")), "ids")
@@ -322,7 +360,8 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     out = scratch.keep(rows.join(kept, ["doc_id", "digest"], "left_anti").select(*key), "out")
     again = scratch.keep(kept.where("rows > 1").select(*key), "again")
     on = (F.col(id_col).cast("long") == F.col(an_id)) & (_digest(text_col) == F.col(a_digest))
-    left = docs.join(out, on, "left_anti")
+    stays, rest = apart(docs, F.col(id_col).cast("long"), out.select(an_id))
+    left = stays.union(rest.join(out, on, "left_anti"))
     if again.isEmpty():
         return left
     same = docs.join(again, on, "left_semi")

@@ -127,3 +127,47 @@ def test_common_phrases_make_no_large_buckets(spark, monkeypatch):
         found = N.linked(docs, few=10**6)
         assert found.select("component_id").distinct().count() == n
     assert seen[900] < 4 * max(seen[300], 100), seen
+
+
+def test_parities_leave_out_pairs_that_differ_too_much(spark):
+    """A group of near copies of one text, each with some words of its own: all meet, and few are links."""
+    rng, share = np.random.default_rng(4), N.Fraction(4, 5)
+    base, texts = [f"b{i}" for i in range(90)], []
+    for k in range(400):
+        words = list(base)
+        for at in rng.choice(90, 3 if k % 2 else 1, replace=False):
+            words[at] = f"c{rng.integers(0, 10**9)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    outlined = N.outlines(N._source(docs, "doc_id", "text"), N.Order({}), 5, share).collect()
+    odd = spark.createDataFrame([(r["doc_id"], *(r[x] for x in N.ODD)) for r in outlined], "node long, " + ", ".join(f"{x} long" for x in N.ODD))
+    words = [t.split() for t in texts]
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    links = {(a, b) for a in range(400) for b in range(a) if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])}
+    now = spark.createDataFrame([(1, k, len(sets[k]), 0, 400, k) for k in range(400)], "tok long, node long, n int, i int, m long, c long")
+    found = {(max(r), min(r)) for r in N.unsettled(now, share, 256, odd).collect()}
+    assert links <= found and len(found) < len(links) + 400 * 399 / 20
+
+
+def test_apart_keeps_every_row_once(spark):
+    rows = spark.range(3000).selectExpr("if(id % 7 = 0, null, id) AS `a.b`", "id")
+    for keys in ([], [5], list(range(0, 3000, 3))):
+        held = spark.createDataFrame([(k,) for k in keys], "k long")
+        stays, rest = N.apart(rows, N.F.col("`a.b`"), held)
+        stays, rest = stays.collect(), rest.collect()
+        assert sorted(r["id"] for r in stays + rest) == list(range(3000))
+        assert not {r["a.b"] for r in stays} & set(keys)
+        assert len(rest) <= len(keys) + 3000 // 5
+
+
+def test_texts_that_stay_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e w{i // 2}") for i in range(40)], "doc_id long, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = N.one_of_each(docs)
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 40, 2))
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.startswith("Union") and "getbit" in plan.lower()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
