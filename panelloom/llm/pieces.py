@@ -50,10 +50,11 @@ def differing(x: np.ndarray, x_start: np.ndarray, y: np.ndarray, y_start: np.nda
 
 
 class ChunkStore:
-    """Sorted chunk hashes with the bytes and the ids of each chunk."""
+    """Sorted chunk hashes with the bytes and the ids of each chunk. `joined` encodes chunks where they lie, (data, start, size) to
+    (ids, number of ids of each), or gives None where it can't; without it chunks are encoded one by one."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list], most: int = MOST, most_bytes: int = MOST_BYTES):
-        self.encode, self.most, self.most_bytes = encode, most, most_bytes
+    def __init__(self, encode: Callable[[list[bytes]], list], most: int = MOST, most_bytes: int = MOST_BYTES, joined: Callable | None = None):
+        self.encode, self.most, self.most_bytes, self.joined = encode, most, most_bytes, joined
         self.clear()
 
     def clear(self) -> None:
@@ -72,7 +73,9 @@ class ChunkStore:
         return np.where(self.keys[at] == keys, self.slot[at], -1)
 
     def _encoded(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each) of chunks, one by one."""
+        """(ids, number of ids of each) of chunks."""
+        if self.joined and (found := self.joined(data, start, size)):
+            return found
         raw = data.tobytes()
         got = self.encode([raw[a : a + n] for a, n in zip(start.tolist(), size.tolist(), strict=True)])
         n = np.fromiter(map(len, got), np.int64, len(got))

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +86,49 @@ def unpack(blocks: bytes, planes: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
+#: Bytes of a text of joined chunks.
+JOINED = 1 << 16
+
+
+def byte_lengths(tokenizer: str) -> np.ndarray | None:
+    """Bytes of each id (0: no such id) of a byte-level tokenizer whose ids tile the text; None for any other."""
+    import json
+
+    t = json.loads(tokenizer)
+    pre, model = t.get("pre_tokenizer") or {}, t["model"]
+    same = not (t.get("normalizer") or t.get("truncation") or t.get("padding")) and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
+    own = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")
+    if not same or model.get("type") != "BPE" or any(model.get(x) for x in own) or any(x["lstrip"] or x["rstrip"] or x["single_word"] for x in t["added_tokens"]):
+        return None
+    size = {i: len(x) for x, i in model["vocab"].items()} | {x["id"]: len(x["content"].encode()) for x in t["added_tokens"]}
+    out = np.zeros(max(size) + 1, np.int64)
+    out[list(size)] = list(size.values())
+    return out
+
+
+def join(encode: Callable[[list[str]], list[list[int]]], length: np.ndarray) -> Callable:
+    """Encodes chunks as texts of many: two are joined only where `chunk_cuts` would part them again, so that no token reaches
+    over, and the ids are parted by their bytes."""
+
+    def joined(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        text, end = data[T.ranges(start, size)], np.cumsum(size)
+        cut = np.zeros(len(text) + 1, dtype=bool)
+        cut[T.chunk_cuts(text)] = True
+        first = end - size
+        new = ~cut[first]
+        new[1:] |= first[1:] // JOINED != first[:-1] // JOINED
+        at, raw = first[new].tolist(), text.tobytes()
+        got = encode([raw[a:z].decode("utf-8") for a, z in zip(at, [*at[1:], len(raw)], strict=True)])
+        ids = np.concatenate([np.array(x, dtype=np.int32) for x in got]) if got else np.zeros(0, np.int32)
+        edge = np.cumsum(length[ids])
+        last = np.searchsorted(edge, end)
+        if not len(edge) or edge[-1] != len(text) or (edge[last] != end).any():
+            return None
+        return ids, np.diff(last, prepend=-1)
+
+    return joined
+
+
 _stores: dict[str, ChunkStore] = CACHES["tokens"]
 
 
@@ -103,7 +146,9 @@ def _store(path: str) -> ChunkStore:
                 out += [e.ids for e in t.encode_batch_fast(part, add_special_tokens=False)]
             return out
 
-        _stores[path] = ChunkStore(encode)
+        length = byte_lengths(t.to_str())
+        batch = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        _stores[path] = ChunkStore(encode, joined=None if length is None else join(batch, length))
     return _stores[path]
 
 

@@ -53,3 +53,41 @@ def test_empty_and_null_ids(spark):
     path = Scratch(spark, "test").path("tokens")
     K.write(spark.createDataFrame([(1, "b"), (None, "a"), (1, "b")], "doc_id long, text string"), path, K.public_path("byte_bpe_50k.json"))
     assert [(r["doc_id"], r["start"]) for r in sorted(K.read(spark, path).collect(), key=lambda r: r["start"])] == [(None, 0), (1, 2), (1, 4)]
+
+
+def test_chunks_are_joined_where_no_token_reaches_over():
+    """All chunks of the texts, in any order, as texts of many and one by one; far fewer texts than chunks are encoded."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from panelloom.llm import _text as T
+    from panelloom.llm.pieces import spans_of
+
+    path = K.public_path("byte_bpe_50k.json")
+    t, rng = Tokenizer.from_file(path), np.random.default_rng(2)
+    alphabet = list("ab1'. \n\t\u3000\u0085é漢\U0001f600") + ["<|endoftext|>", "'s", "  "]
+    texts = [*TEXTS, *("".join(rng.choice(alphabet, 60)) for _ in range(200)), " ".join(f"word{i}" for i in range(20_000))]
+    data, off = T.buffers(pa.array(texts, pa.string()))
+    start, end, _, _ = spans_of(data, off, T.chunk_cuts(data))
+    order, seen = rng.permutation(len(start)), []
+
+    def encode(parts):
+        seen.extend(parts)
+        return [e.ids for e in t.encode_batch_fast(parts, add_special_tokens=False)]
+
+    ids, n = K.join(encode, K.byte_lengths(t.to_str()))(data, start[order], (end - start)[order])
+    want = [t.encode(data[start[k] : end[k]].tobytes().decode(), add_special_tokens=False).ids for k in order]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert len(seen) < len(order) / 5
+    store = K._store(path)
+    assert store.joined is not None
+
+
+def test_other_tokenizers_are_encoded_one_by_one():
+    import json
+
+    t = json.load(open(K.public_path("byte_bpe_50k.json")))
+    assert K.byte_lengths(json.dumps(t)) is not None
+    for change in ({"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {**t["pre_tokenizer"], "add_prefix_space": True}}):
+        assert K.byte_lengths(json.dumps({**t, **change})) is None
+    assert K.join(lambda texts: [[0] for _ in texts], np.ones(1, np.int64))(np.frombuffer(b"a bc", np.uint8), np.array([0, 1]), np.array([1, 3])) is None
