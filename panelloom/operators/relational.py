@@ -61,9 +61,12 @@ def most_complete(df: DataFrame, keys: list[str], cols: list[str], seq: str) ->
     return best.select(*keys, "__r.*")
 
 
-def keep_first(df: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
-    pick = F.max_by if last else F.min_by
-    return df.groupBy(*keys).agg(pick(F.struct(*[c for c in df.columns if c not in keys]), F.struct(*order)).alias("__r")).select(*keys, "__r.*")
+def keep_first(df: DataFrame, keys: list[str], order: list[str], last: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key: the first by `order` (nulls first), or the last. Of equal rows the first by `ties`, such as file and row, which
+    drop out; without them any. Spark leaves out later rows before the shuffle, too, so hot keys combine early."""
+    by = [F.desc_nulls_last(c) if last else F.asc_nulls_first(c) for c in order]
+    w = Window.partitionBy(*keys).orderBy(*by, *ties)
+    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", *ties)
 
 
 def differing_columns(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
@@ -260,10 +260,10 @@ def rel_split_intervals(spark: SparkSession, d: str) -> DataFrame:
 _DUP = "dup AS (SELECT l_orderkey AS id, round(l_extendedprice * 100)::BIGINT AS seq, CASE WHEN l_quantity > 25 THEN l_quantity END AS a, CASE WHEN l_discount > 0.04 THEN l_discount END AS b, CASE WHEN l_tax > 0.03 THEN l_returnflag END AS c FROM lineitem)"
 
 
-def _dup(spark: SparkSession, d: str) -> DataFrame:
+def _dup(spark: SparkSession, d: str, *more: Column) -> DataFrame:
     some = lambda c, x, low: F.when(F.col(c) > low, F.col(x))
     return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("id"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("seq"), some("l_quantity", "l_quantity", 25).alias("a"), some("l_discount", "l_discount", 0.04).alias("b"), some("l_tax", "l_returnflag", 0.03).alias("c")
+        F.col("l_orderkey").alias("id"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("seq"), some("l_quantity", "l_quantity", 25).alias("a"), some("l_discount", "l_discount", 0.04).alias("b"), some("l_tax", "l_returnflag", 0.03).alias("c"), *more
     )
 
 
@@ -276,7 +276,10 @@ def rel_dedup_most_complete(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_DUP} SELECT id, max(seq) AS seq, arg_max(a IS NULL, seq) AS a_null FROM dup GROUP BY id")
 def rel_dedup_keep_last(spark: SparkSession, d: str) -> DataFrame:
-    return R.keep_first(_dup(spark, d), ["id"], ["seq"], last=True).select("id", "seq", F.col("a").isNull().alias("a_null"))
+    # arg_max keeps the first of equal rows in the table's order, and skips rows without seq
+    rows = _dup(spark, d, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    kept = R.keep_first(rows, ["id"], ["seq"], last=True, ties=("file", "row"))
+    return kept.select("id", "seq", F.when(F.col("seq").isNotNull(), F.col("a").isNull()).alias("a_null"))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from panelloom.operators import grid as G
 from panelloom.operators import pairs as P
 from panelloom.operators import relational as R
 from panelloom.operators import scans as N
+from panelloom.plans.catalog import ORACLE_SQL, QUERIES
 
 
 def col(spark, values, kind="double"):
@@ -55,6 +57,29 @@ def test_most_complete(spark):
     assert {r["id"]: r["differing"] for r in R.differing_columns(df, ["id"], ["a", "b"]).collect()} == {10: ["a"], 20: ["a", "b"]}
 
 
+def test_keep_last_takes_the_first_of_equal_rows(spark, tmp_path):
+    one_row = spark.createDataFrame([(1, 5, 0, "x"), (1, 5, 1, "y"), (1, 4, 2, "z"), (2, None, 1, "b"), (2, None, 0, "a"), (3, 1, 1, "d"), (3, None, 0, "c")], "id int, seq int, row int, v string").repartition(3)
+    kept = lambda last: {r["id"]: r["v"] for r in R.keep_first(one_row, ["id"], ["seq"], last=last, ties=("row",)).collect()}
+    assert kept(True) == {1: "x", 2: "a", 3: "d"} and kept(False) == {1: "z", 2: "a", 3: "c"}
+
+    # files of several row groups, read in small splits; one thread of DuckDB reads them in order, several take any of equal rows
+    con = duckdb.connect(config={"threads": 1})
+    (tmp_path / "lineitem.parquet").mkdir()
+    for k, n in enumerate((9000, 3000, 20000)):
+        con.execute(f"""COPY (SELECT (hash(i, {k}) % 900)::BIGINT AS l_orderkey, (hash(i, {k}, 1) % 50)::DOUBLE AS l_quantity, CASE WHEN l_orderkey % 9 > 0 AND i % 7 > 0 THEN (hash(i, {k}, 2) % 4)::DOUBLE END AS l_extendedprice,
+          0.05 AS l_discount, 0.01 AS l_tax, 'A' AS l_returnflag FROM range({n}) r(i)) TO '{tmp_path}/lineitem.parquet/part-{k}.parquet' (FORMAT parquet, ROW_GROUP_SIZE 2048)""")
+    con.execute(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["rel_dedup_keep_last"]).fetchall()
+    split = "spark.sql.files.maxPartitionBytes"
+    try:
+        for size in ("16k", "128m"):
+            spark.conf.set(split, size)
+            got = [(r["id"], r["seq"], r["a_null"]) for r in QUERIES["rel_dedup_keep_last"](spark, str(tmp_path)).collect()]
+            assert sorted(map(repr, got)) == sorted(map(repr, want))
+    finally:
+        spark.conf.unset(split)
+
+
 def test_top_abs(spark):
     df = spark.createDataFrame([("a|b", 0.5), ("c|d", -0.9), ("e|f", 0.1)], "n string, x double")
     assert [r["n"] for r in R.top_abs(df, "x", "n", 2).collect()] == ["c|d", "a|b"]
